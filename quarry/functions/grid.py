@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import WS_CLASS, py_split, py_strip
+from quarry.functions.text import SPARK_WS_CLASS, WS_CLASS, py_split, py_strip
 
-NON_DIGIT_NON_WS = "[^0-9" + WS_CLASS[1:]
+NON_DIGIT_NON_WS = "[^0-9" + SPARK_WS_CLASS[1:]
+NON_DIGIT_NON_WS_RE2 = "[^0-9" + WS_CLASS[1:]
 
 
 def parse_grid(reply: Column) -> Column:

@@ -17,36 +17,26 @@ from quarry.operators.checks import require_columns
 NS = (1, 2, 3)
 
 
-def diversity_columns(text: Column | str, ns=NS) -> list[Column]:
-    """Dist_n, unique_<n>gram, total_<n>gram for each n, case and punctuation kept."""
-    tk = T.py_split(text)
-    cols: list[Column] = []
-    for n in ns:
-        uniq = T.ngram_unique(tk, n)
-        total = T.ngram_total(tk, n)
-        cols += [
-            T.distinct_ratio(uniq, total).alias(f"Dist_{n}"),
-            uniq.alias(f"unique_{n}gram"),
-            total.alias(f"total_{n}gram"),
-        ]
-    return cols
-
-
 def diversity_per_text(df: DataFrame, text_col: str, key_cols: list[str], ns=NS) -> DataFrame:
     """E9 rows: the key columns (natural row index), then the metrics for n = 1..3."""
     require_columns(df, text_col, *key_cols)
-    # Tokenise once; the n-gram arrays are derived from the same token array.
-    tk = df.select(*key_cols, T.py_split(text_col).alias("_tk"))
+    # Tokenise once; each n-gram array is built from the (n-1)-gram array in its own projection, so
+    # no array is computed twice (CollapseProject keeps non-cheap expressions apart).
+    cur = df.select(*key_cols, T.py_split(text_col).alias("_g1"))
+    carried = ["_g1"]
+    for n in range(2, max(ns) + 1):
+        cur = cur.select(*key_cols, *carried, T.extend_grams(f"_g{n - 1}", "_g1", n).alias(f"_g{n}"))
+        carried.append(f"_g{n}")
     out = []
     for n in ns:
-        uniq = T.ngram_unique("_tk", n)
-        total = T.ngram_total("_tk", n)
+        uniq = F.size(F.array_distinct(f"_g{n}")).cast("bigint")
+        total = T.ngram_total("_g1", n)
         out += [
             T.distinct_ratio(uniq, total).alias(f"Dist_{n}"),
             uniq.alias(f"unique_{n}gram"),
             total.alias(f"total_{n}gram"),
         ]
-    return tk.select(*key_cols, *out)
+    return cur.select(*key_cols, *out)
 
 
 def mean_diversity(per_text: DataFrame, group_cols: list[str], ns=NS) -> DataFrame:

@@ -6,7 +6,8 @@ RE2 accepts the same whitespace class as Java, so both sides share ``WS_CLASS``.
 
 from __future__ import annotations
 
-from quarry.functions.text import SPLIT_PATTERN, STRIP_PATTERN
+from quarry.functions.text import SPLIT_PATTERN_RE2 as SPLIT_PATTERN
+from quarry.functions.text import STRIP_PATTERN_RE2 as STRIP_PATTERN
 
 
 def strip(e: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.functions.grid import NON_DIGIT_NON_WS
+from quarry.functions.grid import NON_DIGIT_NON_WS_RE2 as NON_DIGIT_NON_WS
 from quarry.operators import aggregates as A
 from quarry.operators import ordering as O
 from quarry.plans import score as S

@@ -11,7 +11,21 @@ TABLE_NAMES = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Tables whose rows carry long texts: per-row tokenising dominates, so the scan stage must be parallel.
+TEXT_TABLES = frozenset({"documents", "conversations", "pages"})
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool | None = None) -> DataFrame:
+    """Read a driver table. Text tables stored in fewer files than the cluster has cores (a single
+    unsplittable row group, as in the fixtures) are spread round-robin over the cores first; with
+    many input files, as at scale, this is a no-op and no extra shuffle is planned."""
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if balance is None:
+        balance = name in TEXT_TABLES
+    if balance:
+        par = spark.sparkContext.defaultParallelism
+        if len(df.inputFiles()) < par:
+            df = df.repartition(par)
+    return df
