@@ -57,3 +57,24 @@ def shuffle_options(options: Column, seed: int, qid: Column) -> Column:
 def sorted_by(df: DataFrame, *cols) -> DataFrame:
     """O-6: total order on the given columns (a range-partitioned sort at scale)."""
     return df.orderBy(*_cols(cols))
+
+
+def row_index(df: DataFrame, key: str, name: str = "idx", partitions: int | None = None) -> DataFrame:
+    """P-7: 0-based position of each row in ``key`` order without a global window.
+
+    Rows are range-partitioned and sorted by ``key``; inside a partition the position comes from
+    ``monotonically_increasing_id`` (consecutive per partition), and each partition's offset is the
+    count of all earlier partitions - a table with one row per partition (a proven bound), so it is
+    broadcast. Range bounds are sampled deterministically, so recomputation gives the same index."""
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    s = (df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+    sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    from pyspark.sql import Window
+
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (s.join(F.broadcast(offsets), "_pid")
+            .withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
+            .drop("_pid", "_local", "_off"))

@@ -73,11 +73,12 @@ def txt_ngrams(spark, sf):
 
 
 # T-4 ---------------------------------------------------------------------------------------------
-def _div_sql(select_keys="doc_id, source, lang"):
+def _div_sql(select_keys="doc_id, source, lang", rnd=True):
     cols = []
     for n in (1, 2, 3):
         u, t = D.ngram_unique("tk", n), D.ngram_total("tk", n)
-        cols += [f"round({D.ratio(u, t)}, 6) AS Dist_{n}", f"{u} AS unique_{n}gram", f"{t} AS total_{n}gram"]
+        r = f"round({D.ratio(u, t)}, 6)" if rnd else D.ratio(u, t)
+        cols += [f"{r} AS Dist_{n}", f"{u} AS unique_{n}gram", f"{t} AS total_{n}gram"]
     return f"SELECT {select_keys}, {', '.join(cols)} FROM (SELECT {select_keys}, {D.split('text')} AS tk FROM documents)"
 
 
@@ -92,7 +93,7 @@ def txt_distinct_n(spark, sf):
 @register("agg_mean_diversity", f"""
 SELECT source, round(avg(Dist_1), 6) AS mean_Dist_1, round(avg(Dist_2), 6) AS mean_Dist_2,
        round(avg(Dist_3), 6) AS mean_Dist_3, count(*) AS n_texts
-FROM ({_div_sql('doc_id, source')}) GROUP BY source""")
+FROM ({_div_sql('doc_id, source', rnd=False)}) GROUP BY source""")
 def agg_mean_diversity(spark, sf):
     per = M.diversity_per_text(table(spark, sf, "documents"), "text", ["doc_id", "source"])
     means = M.mean_diversity(per, ["source"])
