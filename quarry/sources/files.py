@@ -29,8 +29,10 @@ def read_csv_multiline(spark: SparkSession, path: str, schema: StructType | str,
 
 
 def path_part(path: Column, pattern: str, group: int = 1) -> Column:
-    """A piece of a file path by regex (empty match -> null)."""
-    return F.nullif(F.regexp_extract(path, pattern, group), F.lit(""))
+    """A piece of a file path by regex (empty match -> null), with %XX escapes of partition folder
+    names decoded (a literal '+' is protected first, url_decode would read it as a space)."""
+    raw = F.nullif(F.regexp_extract(path, pattern, group), F.lit(""))
+    return F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
 
 
 def read_result_tree(spark: SparkSession, root: str, schema: StructType | str, glob: str = "results_*.json",
