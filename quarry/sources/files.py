@@ -50,11 +50,17 @@ def read_named_split(spark: SparkSession, path: str, split: str, split_col: str
     return spark.read.parquet(path).where(F.col(split_col) == split)
 
 
-def read_task_dir(spark: SparkSession, path: str, schema: StructType | str, limit: int | None = None) -> DataFrame:
-    """SRC-6: one JSON document per task file, file name kept as key; with ``limit``, only the first
-    ``limit`` files in sorted name order (names are ranked, then the documents semi-joined)."""
-    docs = (spark.read.schema(schema).option("multiLine", True).json(path)
-            .select("*", F.col("_metadata.file_name").alias("task_file")))
+def read_task_dir(spark: SparkSession, path: str, schema: StructType | str, limit: int | None = None,
+                  name_field: str | None = None) -> DataFrame:
+    """SRC-6: one JSON document per task, file name kept as key (``task_file``); with ``limit``, only
+    the first ``limit`` tasks in sorted name order (names are ranked - TakeOrderedAndProject - then
+    the documents semi-joined). ``name_field`` reads tasks landed many per file (JSON lines) whose
+    name is a field of the document instead of the file name."""
+    if name_field is None:
+        docs = (spark.read.schema(schema).option("multiLine", True).json(path)
+                .select("*", F.col("_metadata.file_name").alias("task_file")))
+    else:
+        docs = spark.read.schema(schema).json(path).withColumnRenamed(name_field, "task_file")
     if limit is None:
         return docs
     names = docs.select("task_file").distinct().orderBy("task_file").limit(limit)
