@@ -200,3 +200,9 @@ def results_by_trait(rows: DataFrame) -> DataFrame:
     labelled = rows.select("trait", TX.run_label(F.col("file"), family).alias("label"),
                            F.col("high_trait_rate").alias("rate"), F.col("high_trait_count").alias("count"), "total")
     return labelled.withColumn("n_loaded", F.count(F.lit(1)).over(Window.partitionBy("trait")))
+
+
+def normalize_n(n_text: Column) -> Column:
+    """Ledger Q25: ``config.n`` is a list from two writers and an int from the third; read as text
+    (``[8]``, ``[8, 16]`` or ``8``) and keep the first integer (null when there is none)."""
+    return F.nullif(F.regexp_extract(n_text, r"(-?[0-9]+)", 1), F.lit("")).try_cast("int")
