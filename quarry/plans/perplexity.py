@@ -20,15 +20,23 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.joins import hot_split_join
+from quarry.session import materialize
 
 
 def doc_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, T.py_split(text).alias("tk"))
 
 
+def _tokens_long(tok: DataFrame, key: str, arr, name: str) -> DataFrame:
+    """One row per array element. ``explode_outer`` + a null filter instead of ``explode``: Spark
+    infers ``size(array) > 0`` from an inner explode and pushes it to the scan, where it would
+    tokenise every text a second time (and, on an unsplittable input, in a single task)."""
+    return tok.select(key, F.explode_outer(arr).alias(name)).where(F.col(name).isNotNull())
+
+
 def term_freqs(tok: DataFrame, key: str) -> DataFrame:
     """(doc, w, tf): one row per distinct word of each doc."""
-    return tok.select(key, F.explode("tk").alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf"))
+    return _tokens_long(tok, key, "tk", "w").groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bigram_freqs(tok: DataFrame, key: str) -> DataFrame:
@@ -36,16 +44,19 @@ def bigram_freqs(tok: DataFrame, key: str) -> DataFrame:
     pairs = F.zip_with("tk", F.slice("tk", 2, F.greatest(F.size("tk"), F.lit(1))),
                        lambda a, b: F.struct(a.alias("v"), b.alias("w")))
     pairs = F.slice(pairs, 1, F.greatest(F.size("tk") - 1, F.lit(0)))
-    return (tok.select(key, F.explode(pairs).alias("p")).select(key, "p.v", "p.w")
+    return (_tokens_long(tok, key, pairs, "p").select(key, "p.v", "p.w")
             .groupBy(key, "v", "w").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def unigram_model(tf: DataFrame) -> DataFrame:
-    """(w, c, lp) with lp = ln((c + 1) / (N + V)); N and V are scalar subqueries."""
-    counts = tf.groupBy("w").agg(F.sum("tf").alias("c"))
-    n = counts.select(F.sum("c")).scalar()
-    v = counts.select(F.count(F.lit(1))).scalar()
-    return counts.select("w", "c", F.ln((F.col("c") + 1) / (n + v)).alias("lp"))
+def word_counts(tf: DataFrame) -> DataFrame:
+    """Corpus counts (w, c) from per-doc term frequencies (partial+final aggregate on w)."""
+    return tf.groupBy("w").agg(F.sum("tf").alias("c"))
+
+
+def unigram_model(counts: DataFrame) -> DataFrame:
+    """(w, c, lp) with lp = ln((c + 1) / (N + V)); N and V come from one scalar subquery."""
+    tot = counts.select(F.struct(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))).scalar()
+    return counts.select("w", "c", F.ln((F.col("c") + 1) / (tot["n"] + tot["v"])).alias("lp"))
 
 
 def unigram_scores(tf: DataFrame, model: DataFrame, key: str) -> DataFrame:
@@ -58,7 +69,7 @@ def bigram_scores(tok: DataFrame, tf: DataFrame, key: str, uni: DataFrame) -> Da
     """(doc, sum_lp, n_tokens) under the bigram model (first token by the unigram model)."""
     tf2 = bigram_freqs(tok, key)
     bc = tf2.groupBy("v", "w").agg(F.sum("tf").alias("c_vw"))
-    v_size = uni.select(F.count(F.lit(1))).scalar()
+    v_size = uni.select(F.count(F.lit(1))).scalar()  # V, a scan of the materialized counts
     cv = uni.select(F.col("w").alias("v"), F.col("c").alias("c_v"))
     cond = hot_split_join(bc, cv, ["v"], "c_v")
     lp2 = cond.select("v", "w", "c_vw", F.ln((F.col("c_vw") + 1) / (F.col("c_v") + v_size)).alias("lp"))
@@ -76,8 +87,12 @@ def ngram_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", o
     """R-3: per doc ``Perplexity`` (null when the text has no token), plus the ``keep`` columns."""
     keep = keep or []
     tok = doc_tokens(docs, key, text)
-    tf = term_freqs(tok, key)
-    uni = unigram_model(tf)
+    if order > 1:
+        tok = materialize(tok, "ppl-tokens")  # read by the bigram counts and the first-token scores
+    # Stage tables read by several consumers (corpus counts, totals, hot set, both join branches)
+    # are written once: tokenising happens once and lineage is cut there.
+    tf = materialize(term_freqs(tok, key), "ppl-tf")
+    uni = unigram_model(materialize(word_counts(tf), "ppl-counts"))
     scores = unigram_scores(tf, uni, key) if order == 1 else bigram_scores(tok, tf, key, uni)
     ppl = scores.select(key, F.exp(-F.col("sum_lp") / F.col("n_tokens")).alias("Perplexity"))
     return docs.select(key, *keep).join(ppl, key, "left")
@@ -86,8 +101,8 @@ def ngram_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", o
 def token_logprobs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A (doc, pos, token, logprob) table: each token occurrence scored by the corpus unigram model
     (the table form a per-token scorer would emit)."""
-    tok = doc_tokens(docs, key, text)
-    uni = unigram_model(term_freqs(tok, key))
+    tok = materialize(doc_tokens(docs, key, text), "ppl-tokens")
+    uni = unigram_model(materialize(word_counts(term_freqs(tok, key)), "ppl-counts"))
     occ = tok.select(key, F.posexplode("tk").alias("pos", "w"))
     return hot_split_join(occ, uni.select("w", "c", "lp"), ["w"], "c").select(
         key, "pos", F.col("w").alias("token"), F.col("lp").alias("logprob"))

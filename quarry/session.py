@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for correctness (UTC dates, ANSI mode) or for plan quality (AQE, skew split).
 BASE_CONF = {
@@ -60,3 +60,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir for staging files."""
     base = ensure_checkpoint_dir(spark)
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage at a stage that several consumers read: write it once as Parquet under the shared
+    checkpoint folder and return the read-back frame. Lost executors then recompute from this table,
+    not from the raw input, and the consumers share one computation instead of one each."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
