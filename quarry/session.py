@@ -41,6 +41,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def ensure_session_defaults(spark: SparkSession) -> None:
+    """Dates and run stamps are defined in UTC (ledger Q22): pin the session time zone."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a private one only when the session names none (tests)."""
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
