@@ -20,8 +20,8 @@ def hot_split_join(big: DataFrame, dim: DataFrame, keys: list[str], weight: str,
                    max_key_chars: int = HOT_KEY_MAX_CHARS, how: str = "inner") -> DataFrame:
     """Equi-join ``big`` with ``dim`` (unique on ``keys``) without a hot reducer.
 
-    ``big`` feeds two branches (hot and cold rows), so pass a frame that is cheap to read twice
-    (a materialized stage table or a plain scan).
+    ``big`` feeds two branches (hot and cold rows): pass a frame that is cheap to derive twice (a
+    map-only derivation of a scan, or a materialized stage table), not one behind a shuffle.
 
     ``how`` is "inner" or "left" (big side preserved). Result columns: big's, then dim's non-keys."""
     if how not in ("inner", "left"):

@@ -5,9 +5,10 @@ Spark on whole texts:
   unigram  p(w)   = (c(w) + 1) / (N + V)                 N tokens, V distinct tokens
   bigram   p(w|v) = (c(v, w) + 1) / (c(v) + V)            first token scored by the unigram model
   PPL(doc) = exp(-mean over the doc's tokens of ln p)
-Counts are pre-aggregated per (doc, n-gram) before any join, corpus totals are scalar subqueries,
-and every join on a word key is a ``hot_split_join`` (frequent words are broadcast from a bounded
-top-k, the long tail is shuffle-joined), so no reducer holds a hot word.
+Corpus counts are partial+final aggregates, totals are one scalar subquery, and every join on a
+word key is a ``hot_split_join``: the top-k words by corpus count (a bounded broadcast) join
+without moving token rows, only the long tail is shuffled by word, so no reducer holds a hot word
+and the shuffled volume is the tail's share of the tokens.
 
 R-2 ``logprob_perplexity``: exp(-mean logprob) per doc from a (doc, token, logprob) table; texts with
 no scored token stay null and leave the statistics (ledger Q21).
@@ -34,23 +35,10 @@ def _tokens_long(tok: DataFrame, key: str, arr, name: str) -> DataFrame:
     return tok.select(key, F.explode_outer(arr).alias(name)).where(F.col(name).isNotNull())
 
 
-def term_freqs(tok: DataFrame, key: str) -> DataFrame:
-    """(doc, w, tf): one row per distinct word of each doc."""
-    return _tokens_long(tok, key, "tk", "w").groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bigram_freqs(tok: DataFrame, key: str) -> DataFrame:
-    """(doc, v, w, tf) over adjacent token pairs."""
-    pairs = F.zip_with("tk", F.slice("tk", 2, F.greatest(F.size("tk"), F.lit(1))),
-                       lambda a, b: F.struct(a.alias("v"), b.alias("w")))
-    pairs = F.slice(pairs, 1, F.greatest(F.size("tk") - 1, F.lit(0)))
-    return (_tokens_long(tok, key, pairs, "p").select(key, "p.v", "p.w")
-            .groupBy(key, "v", "w").agg(F.count(F.lit(1)).alias("tf")))
-
-
-def word_counts(tf: DataFrame) -> DataFrame:
-    """Corpus counts (w, c) from per-doc term frequencies (partial+final aggregate on w)."""
-    return tf.groupBy("w").agg(F.sum("tf").alias("c"))
+def word_counts(long: DataFrame, keys=("w",)) -> DataFrame:
+    """Corpus counts per n-gram key from token-level rows (partial+final aggregate: a hot word is
+    combined map-side, one row per map task)."""
+    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
 
 
 def unigram_model(counts: DataFrame) -> DataFrame:
@@ -59,22 +47,26 @@ def unigram_model(counts: DataFrame) -> DataFrame:
     return counts.select("w", "c", F.ln((F.col("c") + 1) / (tot["n"] + tot["v"])).alias("lp"))
 
 
-def unigram_scores(tf: DataFrame, model: DataFrame, key: str) -> DataFrame:
-    """(doc, sum_lp, n_tokens) for every doc with at least one token."""
-    j = hot_split_join(tf, model.select("w", "c", "lp"), ["w"], "c")
-    return j.groupBy(key).agg(F.sum(F.col("tf") * F.col("lp")).alias("sum_lp"), F.sum("tf").alias("n_tokens"))
+def _score(long: DataFrame, model: DataFrame, keys: list[str], weight: str, key: str) -> DataFrame:
+    """(doc, sum_lp, n_tokens): each token row joined to its log-probability (hot keys broadcast,
+    the cold tail shuffled), then summed per doc (partial aggregate: a doc's tokens share a task)."""
+    j = hot_split_join(long, model, keys, weight)
+    return j.groupBy(key).agg(F.sum("lp").alias("sum_lp"), F.count(F.lit(1)).alias("n_tokens"))
 
 
-def bigram_scores(tok: DataFrame, tf: DataFrame, key: str, uni: DataFrame) -> DataFrame:
-    """(doc, sum_lp, n_tokens) under the bigram model (first token by the unigram model)."""
-    tf2 = bigram_freqs(tok, key)
-    bc = tf2.groupBy("v", "w").agg(F.sum("tf").alias("c_vw"))
+def bigram_scores(tok: DataFrame, key: str, uni: DataFrame) -> DataFrame:
+    """(doc, sum_lp, n_tokens) under the bigram model (first token scored by the unigram model)."""
+    pairs = F.zip_with("tk", F.slice("tk", 2, F.greatest(F.size("tk"), F.lit(1))),
+                       lambda a, b: F.struct(a.alias("v"), b.alias("w")))
+    pairs = F.slice(pairs, 1, F.greatest(F.size("tk") - 1, F.lit(0)))
+    plong = _tokens_long(tok, key, pairs, "p").select(key, "p.v", "p.w")
+    bc = materialize(plong.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c_vw")), "ppl-bigram-counts")
     v_size = uni.select(F.count(F.lit(1))).scalar()  # V, a scan of the materialized counts
     cv = uni.select(F.col("w").alias("v"), F.col("c").alias("c_v"))
-    cond = hot_split_join(bc, cv, ["v"], "c_v")
-    lp2 = cond.select("v", "w", "c_vw", F.ln((F.col("c_vw") + 1) / (F.col("c_v") + v_size)).alias("lp"))
-    pair_part = hot_split_join(tf2, lp2, ["v", "w"], "c_vw").groupBy(key).agg(
-        F.sum(F.col("tf") * F.col("lp")).alias("s2"), F.sum("tf").alias("n2"))
+    lp2 = hot_split_join(bc, cv, ["v"], "c_v").select(
+        "v", "w", "c_vw", F.ln((F.col("c_vw") + 1) / (F.col("c_v") + v_size)).alias("lp"))
+    pair_part = _score(plong, lp2, ["v", "w"], "c_vw", key).select(
+        key, F.col("sum_lp").alias("s2"), F.col("n_tokens").alias("n2"))
     first = tok.where(F.size("tk") > 0).select(key, F.col("tk")[0].alias("w"))
     first_part = hot_split_join(first, uni.select("w", "c", "lp"), ["w"], "c").select(key, F.col("lp").alias("s1"))
     out = first_part.join(pair_part, key, "left")
@@ -84,16 +76,21 @@ def bigram_scores(tok: DataFrame, tf: DataFrame, key: str, uni: DataFrame) -> Da
 
 def ngram_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 1,
                      keep: list[str] | None = None) -> DataFrame:
-    """R-3: per doc ``Perplexity`` (null when the text has no token), plus the ``keep`` columns."""
+    """R-3: per doc ``Perplexity`` (null when the text has no token), plus the ``keep`` columns.
+
+    Token rows are a map-only derivation of the scan, so the two join branches re-derive them
+    instead of shuffling or storing a per-(doc, word) table; the corpus counts, read by the totals,
+    the hot set and the cold join, are written once (lineage cut)."""
     keep = keep or []
     tok = doc_tokens(docs, key, text)
     if order > 1:
-        tok = materialize(tok, "ppl-tokens")  # read by the bigram counts and the first-token scores
-    # Stage tables read by several consumers (corpus counts, totals, hot set, both join branches)
-    # are written once: tokenising happens once and lineage is cut there.
-    tf = materialize(term_freqs(tok, key), "ppl-tf")
-    uni = unigram_model(materialize(word_counts(tf), "ppl-counts"))
-    scores = unigram_scores(tf, uni, key) if order == 1 else bigram_scores(tok, tf, key, uni)
+        tok = materialize(tok, "ppl-tokens")  # read by five branches of the bigram plan
+    long = _tokens_long(tok, key, "tk", "w")
+    uni = unigram_model(materialize(word_counts(long), "ppl-counts"))
+    if order == 1:
+        scores = _score(long, uni.select("w", "c", "lp"), ["w"], "c", key)
+    else:
+        scores = bigram_scores(tok, key, uni)
     ppl = scores.select(key, F.exp(-F.col("sum_lp") / F.col("n_tokens")).alias("Perplexity"))
     return docs.select(key, *keep).join(ppl, key, "left")
 
@@ -101,9 +98,9 @@ def ngram_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", o
 def token_logprobs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A (doc, pos, token, logprob) table: each token occurrence scored by the corpus unigram model
     (the table form a per-token scorer would emit)."""
-    tok = materialize(doc_tokens(docs, key, text), "ppl-tokens")
-    uni = unigram_model(materialize(word_counts(term_freqs(tok, key)), "ppl-counts"))
-    occ = tok.select(key, F.posexplode("tk").alias("pos", "w"))
+    tok = doc_tokens(docs, key, text)
+    uni = unigram_model(materialize(word_counts(_tokens_long(tok, key, "tk", "w")), "ppl-counts"))
+    occ = tok.select(key, F.posexplode_outer("tk").alias("pos", "w")).where(F.col("w").isNotNull())
     return hot_split_join(occ, uni.select("w", "c", "lp"), ["w"], "c").select(
         key, "pos", F.col("w").alias("token"), F.col("lp").alias("logprob"))
 
