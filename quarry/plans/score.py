@@ -43,12 +43,6 @@ def fact_eval(samples: DataFrame) -> DataFrame:
     return samples.withColumn("correct", T.first_target_correct("generated", "target_true", "target_false"))
 
 
-def fact_details(scored: DataFrame) -> DataFrame:
-    """P-5: detail rows as stored (prompt and generation cut to 100 characters)."""
-    return scored.select("id", T.truncate_detail("prompt", 100).alias("prompt"), "target_true", "target_false",
-                         T.truncate_detail("generated", 100).alias("generated"), "correct")
-
-
 # ---- choice eval -------------------------------------------------------------------------------
 def _opt(tag: str, text: Column) -> Column:
     return F.struct(F.lit(tag).alias("tag"), text.alias("text"))

@@ -44,22 +44,3 @@ def mean_diversity(per_text: DataFrame, group_cols: list[str], ns=NS) -> DataFra
     aggs = [F.avg(f"Dist_{n}").alias(f"mean_Dist_{n}") for n in ns]
     aggs.append(F.count(F.lit(1)).alias("n_texts"))
     return per_text.groupBy(*group_cols).agg(*aggs)
-
-
-def metric_stats(df: DataFrame, value_col: str, group_cols: list[str]) -> DataFrame:
-    """Mean, exact median, min, max and count over non-null values (nulls leave the stats)."""
-    v = F.col(value_col)
-    return df.groupBy(*group_cols).agg(
-        F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.count(v).alias("n_scored"),
-    )
-
-
-def summary_lines(means: DataFrame, ns=NS) -> DataFrame:
-    """SNK-5 shape: one ``key: value`` line per mean (unpivot, no driver loop)."""
-    ids = [c for c in means.columns if not c.startswith("mean_Dist_") and c != "n_texts"]
-    long = means.unpivot(ids, [f"mean_Dist_{n}" for n in ns], "key", "value")
-    return long.select(*ids, "key", "value", F.concat_ws(": ", "key", F.col("value").cast("string")).alias("line"))

@@ -12,19 +12,11 @@ from quarry.operators import ordering as O
 from quarry.operators.windows import turn_pairs
 from quarry.plans import chat as C
 from quarry.queries import duck as D
+from quarry.queries.registry import Registry
 from quarry.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+register = Registry()
+QUERIES, ORACLE = register.queries, register.oracle
 
 
 def _docs(spark, sf):

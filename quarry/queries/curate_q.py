@@ -11,21 +11,13 @@ from quarry.operators import ordering as O
 from quarry.operators import windows as W
 from quarry.plans import curate as CU
 from quarry.queries import duck as D
+from quarry.queries.registry import Registry
 from quarry.session import scratch_path
 from quarry.sources.listing import read_listing_pages, write_listing_pages
 from quarry.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+register = Registry()
+QUERIES, ORACLE = register.queries, register.oracle
 
 
 VIEWS_SQL = "[" + ", ".join(f"'{v}'" for v in CU.VIEW_ORDER) + "]"

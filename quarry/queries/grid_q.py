@@ -8,22 +8,14 @@ from pyspark.sql import functions as F
 from quarry.operators import filters as FL
 from quarry.plans import evalgrid as EG
 from quarry.plans import score as S
+from quarry.queries.registry import Registry
 from quarry.session import scratch_path
 from quarry.sinks.files import write_csv, write_partitioned
 from quarry.sources.files import read_csv_multiline
 from quarry.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+register = Registry()
+QUERIES, ORACLE = register.queries, register.oracle
 
 
 def lit(s: str) -> str:

@@ -12,22 +12,14 @@ from quarry.plans import chat as C
 from quarry.plans import score as S
 from quarry.queries import chat_q, curate_q
 from quarry.queries import duck as D
+from quarry.queries.registry import Registry
 from quarry.session import scratch_path
 from quarry.sinks.files import write_json_array, write_jsonl
 from quarry.sources.files import read_json_array, read_jsonl, read_named_split, read_task_dir
 from quarry.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+register = Registry()
+QUERIES, ORACLE = register.queries, register.oracle
 
 
 RECORD_SCHEMA = "id string, date string, instruction string, input string, output string, upvotes bigint"

@@ -10,22 +10,14 @@ from quarry.plans import perplexity as P
 from quarry.plans import story_eval as SE
 from quarry.plans import text_metrics as M
 from quarry.queries import duck as D
+from quarry.queries.registry import Registry
 from quarry.queries.text_q import _div_sql
 from quarry.session import scratch_path
 from quarry.sinks.files import write_kv_summary
 from quarry.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+register = Registry()
+QUERIES, ORACLE = register.queries, register.oracle
 
 
 TOK = f"SELECT doc_id, {D.split('text')} AS tk FROM documents"

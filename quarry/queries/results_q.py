@@ -10,22 +10,14 @@ from quarry.operators import aggregates as A
 from quarry.operators import ordering as O
 from quarry.plans import results as R
 from quarry.plans import score as S
+from quarry.queries.registry import Registry
 from quarry.queries.score_q import GRID_SCORED
 from quarry.session import scratch_path
-from quarry.sinks.files import comparison_doc, result_docs, write_detail_table, write_jsonl
+from quarry.sinks.files import comparison_doc, write_detail_table, write_jsonl
 from quarry.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+register = Registry()
+QUERIES, ORACLE = register.queries, register.oracle
 
 
 def _files(spark, sf):

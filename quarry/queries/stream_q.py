@@ -8,22 +8,14 @@ from pyspark.sql import functions as F
 from quarry.operators import filters as FL
 from quarry.plans import curate as CU
 from quarry.queries.curate_q import LISTING, first_seen_sql
+from quarry.queries.registry import Registry
 from quarry.session import scratch_path
 from quarry.sources.tables import table
 from quarry.streaming.first_seen import file_stream, land_files, read_first_seen, start_first_seen
 from quarry.streaming.incremental import start_append
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+register = Registry()
+QUERIES, ORACLE = register.queries, register.oracle
 
 
 N_FILES = 8

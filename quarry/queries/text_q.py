@@ -7,19 +7,11 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.plans import text_metrics as M
 from quarry.queries import duck as D
+from quarry.queries.registry import Registry
 from quarry.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+register = Registry()
+QUERIES, ORACLE = register.queries, register.oracle
 
 
 def _r(c, name, k=6):

@@ -61,18 +61,6 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "csv",
     return path
 
 
-def result_docs(summary: DataFrame, details: DataFrame, key: list[str], config_cols: list[str],
-                metric_cols: list[str], detail_cols: list[str], metrics_name: str = "results") -> DataFrame:
-    """SNK-4: nested result document per evaluated model: {config, <metrics_name>, detailed_results[]}.
-
-    The per-model detail list is a ``collect_list`` bounded by the evaluation row limit of that run;
-    for unbounded runs keep ``details`` as its own table (``write_detail_table``)."""
-    det = details.groupBy(*key).agg(F.collect_list(F.struct(*detail_cols)).alias("detailed_results"))
-    doc = summary.join(det, key, "left").select(
-        *key, F.struct(*config_cols).alias("config"), F.struct(*metric_cols).alias(metrics_name), "detailed_results")
-    return doc
-
-
 def write_detail_table(details: DataFrame, path: str, by: list[str]) -> str:
     """SNK-4 at scale: details as a Parquet table partitioned by model, joined to summaries on read."""
     details.write.mode("overwrite").partitionBy(*by).parquet(path)
