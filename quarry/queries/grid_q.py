@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry.operators import filters as FL
 from quarry.plans import evalgrid as EG
-from quarry.plans import score as S
 from quarry.queries.registry import Registry
 from quarry.session import scratch_path
 from quarry.sinks.files import write_csv, write_partitioned

@@ -3,7 +3,6 @@ Structured Streaming (Trigger.AvailableNow, one file per micro-batch), results r
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from quarry.operators import filters as FL
 from quarry.plans import curate as CU
