@@ -152,7 +152,7 @@ def sample_exact_seeded(spark, sf):
 
 # A-1 ---------------------------------------------------------------------------------------------
 @register("agg_class_counts", f"""
-SELECT count_if(class = 'KEEP') AS n_keep, count_if(class = 'DISCARD') AS n_discard
+SELECT CAST(count_if(class = 'KEEP') AS BIGINT) AS n_keep, CAST(count_if(class = 'DISCARD') AS BIGINT) AS n_discard
 FROM (SELECT {TAG} AS class FROM ({DOC_RECORDS}))""")
 def agg_class_counts(spark, sf):
     return A.class_counts(_tagged_docs(spark, sf, only_labelled=False))
@@ -166,9 +166,9 @@ def _funnel_sql():
     s = "(coalesce(upvotes, 0) >= mu)"
     b = f"({D.word_count(D.strip('output'))} BETWEEN 6 AND 50)"
     return f"""
-SELECT coalesce(source, '__total__') AS source, count(*) AS n_in, count_if({g}) AS n_class_gate,
-       count_if({g} AND {s}) AS n_min_score, count_if({g} AND {s} AND {MIN_LENGTH}) AS n_min_length,
-       count_if({g} AND {s} AND {MIN_LENGTH} AND {b}) AS n_word_band
+SELECT coalesce(source, '__total__') AS source, count(*) AS n_in, CAST(count_if({g}) AS BIGINT) AS n_class_gate,
+       CAST(count_if({g} AND {s}) AS BIGINT) AS n_min_score, CAST(count_if({g} AND {s} AND {MIN_LENGTH}) AS BIGINT) AS n_min_length,
+       CAST(count_if({g} AND {s} AND {MIN_LENGTH} AND {b}) AS BIGINT) AS n_word_band
 FROM ({rows}) GROUP BY ROLLUP (source)"""
 
 

@@ -30,7 +30,7 @@ CONFIGS = "[" + ", ".join(f"'{c}'" for c in R.CONFIGS) + "]"
 GROUPS = f"""
 SELECT family, config, o_orderstatus, n, acc, round(sqrt(acc * (1 - acc) / n), 6) AS se, norm,
        strftime(last + to_hours(list_position(['F', 'O', 'P'], o_orderstatus)), '%Y%m%d_%H%M%S') AS run
-FROM (SELECT family, config, o_orderstatus, count(*) AS n, round(count_if(o_totalprice > 250000) / count(*), 6) AS acc,
+FROM (SELECT family, config, o_orderstatus, count(*) AS n, round(CAST(count_if(o_totalprice > 250000) AS BIGINT) / count(*), 6) AS acc,
              round(avg(o_totalprice) / 500000, 6) AS norm, max(o_orderdate) AS last
       FROM (SELECT CASE WHEN o_orderstatus = 'O' THEN 'ben' ELSE 'fif' END AS family,
                    {CONFIGS}[CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS config, * FROM orders)
@@ -191,7 +191,7 @@ TRAIT_LABEL = ("CASE WHEN contains(lower(file), 'base') THEN 'base' "
 
 @register("agg_results_by_trait", f"""
 SELECT trait, {TRAIT_LABEL} AS label, round(cnt / total, 6) AS rate, cnt AS count, total, count(*) OVER (PARTITION BY trait) AS n_loaded
-FROM (SELECT o_orderpriority AS trait, f.file, count_if(o_totalprice > 200000) AS cnt, count(*) AS total
+FROM (SELECT o_orderpriority AS trait, f.file, CAST(count_if(o_totalprice > 200000) AS BIGINT) AS cnt, count(*) AS total
       FROM orders JOIN (VALUES {TRAIT_FILES}) AS f(status, file) ON o_orderstatus = f.status GROUP BY ALL)""")
 def agg_results_by_trait(spark, sf):
     root = R.write_trait_tree(R.trait_docs(table(spark, sf, "orders")), scratch_path(spark, "trait-results"))
@@ -201,8 +201,8 @@ def agg_results_by_trait(spark, sf):
 
 # SNK-4 -------------------------------------------------------------------------------------------
 @register("snk_result_doc", f"""
-SELECT model, count(*) AS total_tasks, count_if(solved) AS solved,
-       round(coalesce(count_if(solved) / nullif(count(*), 0), 0.0), 6) AS accuracy, count(*) AS n_details
+SELECT model, count(*) AS total_tasks, CAST(count_if(solved) AS BIGINT) AS solved,
+       round(coalesce(CAST(count_if(solved) AS BIGINT) / nullif(count(*), 0), 0.0), 6) AS accuracy, count(*) AS n_details
 FROM ({GRID_SCORED}) GROUP BY model""")
 def snk_result_doc(spark, sf):
     """Grid result documents per model: the summary doc {config, summary} as JSON partitioned by model,

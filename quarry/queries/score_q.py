@@ -101,8 +101,8 @@ def txt_first_target(spark, sf):
 
 # A-3 ---------------------------------------------------------------------------------------------
 @register("agg_accuracy", f"""
-SELECT count_if(correct) AS correct, count(*) AS total,
-       round(coalesce(count_if(correct) / nullif(count(*), 0), 0.0), 6) AS accuracy FROM ({FACT_SCORED})""")
+SELECT CAST(count_if(correct) AS BIGINT) AS correct, count(*) AS total,
+       round(coalesce(CAST(count_if(correct) AS BIGINT) / nullif(count(*), 0), 0.0), 6) AS accuracy FROM ({FACT_SCORED})""")
 def agg_accuracy(spark, sf):
     acc = A.accuracy(_fact(spark, sf), [], F.col("correct"))
     return acc.select("correct", "total", F.round("accuracy", 6).alias("accuracy"))
@@ -151,8 +151,8 @@ def txt_prompt_template(spark, sf):
 
 # A-4 ---------------------------------------------------------------------------------------------
 @register("agg_choice_rate", f"""
-SELECT CAST(turn AS BIGINT) AS turn, count_if(picked_trait IS NOT DISTINCT FROM 'high') AS high_trait_count, count(*) AS total,
-       round(coalesce(count_if(picked_trait IS NOT DISTINCT FROM 'high') / nullif(count(*), 0), 0.0), 6) AS high_trait_rate
+SELECT CAST(turn AS BIGINT) AS turn, CAST(count_if(picked_trait IS NOT DISTINCT FROM 'high') AS BIGINT) AS high_trait_count, count(*) AS total,
+       round(coalesce(CAST(count_if(picked_trait IS NOT DISTINCT FROM 'high') AS BIGINT) / nullif(count(*), 0), 0.0), 6) AS high_trait_rate
 FROM ({CHOICE_SCORED}) GROUP BY turn""")
 def agg_choice_rate(spark, sf):
     r = A.choice_rate(_choice(spark, sf), ["turn"])
@@ -184,8 +184,8 @@ def job_grid_scoring(spark, sf):
 
 # A-11 --------------------------------------------------------------------------------------------
 @register("agg_split_summary", f"""
-SELECT model, split, count(*) AS total_tasks, count_if(solved) AS solved,
-       round(coalesce(count_if(solved) / nullif(count(*), 0), 0.0), 6) AS accuracy
+SELECT model, split, count(*) AS total_tasks, CAST(count_if(solved) AS BIGINT) AS solved,
+       round(coalesce(CAST(count_if(solved) AS BIGINT) / nullif(count(*), 0), 0.0), 6) AS accuracy
 FROM ({GRID_SCORED}) GROUP BY model, split""")
 def agg_split_summary(spark, sf):
     s = A.split_summary(_grid(spark, sf), ["model", "split"])

@@ -4,7 +4,7 @@ row count, column names and an order-insensitive hash of rounded values must agr
 import pytest
 
 import __spark_entry__ as E
-from tools.oracle_check import digest
+from tools.oracle_check import digest, type_diffs
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES = E.queries()
@@ -22,6 +22,7 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(ORACLE[name])
     drows, dcols = rel.fetchall(), list(rel.columns)
     assert sorted(sdf.columns) == sorted(dcols)
+    assert not type_diffs(sdf, rel)
     assert len(srows) == len(drows)
     assert digest(srows, sdf.columns)[0] == digest(drows, dcols)[0]
 
