@@ -46,3 +46,17 @@ def land_files(df: DataFrame, path: str, n_files: int, order_col: str) -> str:
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def start_first_seen_watermarked(stream: DataFrame, key: str, event_time: str, delay: str, sink: str,
+                                 checkpoint: str, available_now: bool = True):
+    """Bounded-state variant: ``dropDuplicatesWithinWatermark`` keeps the first *arriving* row per id
+    while the id is within ``delay`` of the watermark, and appends it to a Parquet sink. State is
+    evicted as the watermark passes, so memory stays bounded on an endless stream; the price is that
+    the winner inside one micro-batch follows arrival order, not listing order (use
+    ``start_first_seen`` when the listing-order winner must be exact)."""
+    deduped = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    w = (deduped.writeStream.format("parquet").outputMode("append")
+         .option("path", sink).option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
