@@ -26,9 +26,30 @@ def first_valid_answer(comments: DataFrame, valid: Column, post: str = "post_id"
     return _first_k(comments.where(valid), [post], [F.col(c).asc() for c in order])
 
 
-def cap_per_view(df: DataFrame, cap: int = 1000, view: str = "view", order=("page", "pos")) -> DataFrame:
-    """W-5: at most ``cap`` listing rows per view (pages x posts per page)."""
-    return _first_k(df, [view], [F.col(c).asc() for c in order], k=cap)
+CAP_BUCKETS = 32
+
+
+def _first_k_two_level(df: DataFrame, keys: list[str], order: list[Column], k: int, buckets: int) -> DataFrame:
+    """Exact top-k per key when one key may hold a large share of all rows and k is large.
+
+    Level 1 keeps the top k per (key, bucket), the bucket being the input partition modulo
+    ``buckets``: a map task feeds one bucket, so a hot key's rows spread over ``buckets`` reducers
+    (each receiving at most k x tasks / buckets rows). Level 2 keeps the top k per key out of at most
+    k x buckets rows. Every row of the true top k survives level 1 (it is in the top k of its
+    bucket), so the result is exact whatever the bucket assignment."""
+    salted = df.withColumn("_bucket", F.pmod(F.spark_partition_id(), F.lit(buckets)))
+    level1 = _first_k(salted, [*keys, "_bucket"], order, k)
+    return _first_k(level1.drop("_bucket"), keys, order, k)
+
+
+def cap_per_view(df: DataFrame, cap: int = 1000, view: str = "view", order=("page", "pos"),
+                 buckets: int | None = CAP_BUCKETS) -> DataFrame:
+    """W-5: at most ``cap`` listing rows per view (pages x posts per page). Views are few and large
+    by design, so the cap runs in two levels (``buckets``); ``buckets=None`` uses one window."""
+    cols = [F.col(c).asc() for c in order]
+    if buckets is None:
+        return _first_k(df, [view], cols, k=cap)
+    return _first_k_two_level(df, [view], cols, cap, buckets)
 
 
 def latest_per_label(df: DataFrame, keys: list[str], ts: str = "run_ts", tiebreak: str = "file") -> DataFrame:
