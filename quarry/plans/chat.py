@@ -51,6 +51,16 @@ def pair_records(conv: DataFrame) -> DataFrame:
 
 
 # ---- R-6 tagging -------------------------------------------------------------------------------
+def tag_prompt(inp: Column | str = "input", out: Column | str = "output") -> Column:
+    """T-8: the classifier's user message for one record (wording is a parameter of ours; the reply
+    comes back as a column and is read by ``tag_class``)."""
+    i = F.col(inp) if isinstance(inp, str) else inp
+    o = F.col(out) if isinstance(out, str) else out
+    return F.concat(F.lit("Decide whether this pair belongs in the training set. Answer KEEP or DISCARD.\n\nPost:\n"),
+                    T.py_strip(i), F.lit("\n\nReply:\n"), T.py_strip(o))
+
+
+
 def tag_class(reply: Column | str = "reply") -> Column:
     """F-10 then T-7: too-short rows are DISCARD without a reply; otherwise KEEP iff the reply says KEEP."""
     return F.when(FL.quick_discard(), F.lit("DISCARD")).otherwise(T.keep_or_discard(reply))

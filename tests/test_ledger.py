@@ -212,6 +212,12 @@ def test_q27_reserved_folders(spark):
     assert [r.model for r in FL.model_dirs(df, contains="fifth").collect()] == ["fifth_n8"]
 
 
+def test_tag_prompt_strips_both_sides(spark):
+    df = spark.createDataFrame([(" a post ", " a reply\n")], "input string, output string")
+    text = df.select(C.tag_prompt().alias("p")).first().p
+    assert text.endswith("Post:\na post\n\nReply:\na reply") and "KEEP or DISCARD" in text
+
+
 def test_chat_rows_and_render(spark):
     recs = spark.createDataFrame([("r1", "  a question here ", " an answer ", None, False, None)],
                                  "id string, input string, output string, upvotes bigint, has_class boolean, class string")

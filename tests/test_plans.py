@@ -35,6 +35,12 @@ def test_first_per_key_is_window_group_limit(spark, qs):
         assert "WindowGroupLimit" in _plan(q), name
 
 
+def test_cap_per_view_runs_in_two_levels(spark, qs):
+    q = qs["win_cap_per_view"](spark, SMALL)
+    q.collect()
+    assert _plan(q).count("WindowGroupLimit") >= 4  # partial + final at each level
+
+
 def test_fixed_dimensions_broadcast(spark, qs):
     q = qs["join_dimension_lookup"](spark, SMALL)
     assert "BroadcastHashJoin" in _plan(q) or "BroadcastExchange" in _plan(q)
