@@ -16,13 +16,25 @@ HOT_K = 10_000
 HOT_KEY_MAX_CHARS = 64
 
 
-def hot_split_join(big: DataFrame, dim: DataFrame, keys: list[str], weight: str, hot_k: int = HOT_K,
-                   max_key_chars: int = HOT_KEY_MAX_CHARS, how: str = "inner") -> DataFrame:
+def hot_keys_by_count(df: DataFrame, keys: list[str], hot_k: int = HOT_K) -> DataFrame:
+    """The ``hot_k`` most frequent keys of a fact table (partial+final count, then a top-k): the
+    fact-side hot set for ``hot_split_join(..., hot_keys=...)``."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            .orderBy(F.col("_n").desc(), *keys).limit(hot_k).select(*keys))
+
+
+def hot_split_join(big: DataFrame, dim: DataFrame, keys: list[str], weight: str | None = None, hot_k: int = HOT_K,
+                   max_key_chars: int = HOT_KEY_MAX_CHARS, how: str = "inner",
+                   hot_keys: DataFrame | None = None) -> DataFrame:
     """Equi-join ``big`` with ``dim`` (unique on ``keys``) without a hot reducer.
 
     ``big`` feeds two branches (hot and cold rows): pass a frame that is cheap to derive twice (a
     map-only derivation of a scan, or a materialized stage table), not one behind a shuffle.
 
+    The hot set is the top ``hot_k`` dim keys by ``weight`` (dimension-side frequency, e.g. corpus
+    counts), or the given ``hot_keys`` (fact-side frequency, see ``hot_keys_by_count``); either way it
+    is cut to ``hot_k`` rows, the broadcast's bound. Any hot set gives the same result.
+
     ``how`` is "inner" or "left" (big side preserved). Result columns: big's, then dim's non-keys."""
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
@@ -31,8 +43,11 @@ def hot_split_join(big: DataFrame, dim: DataFrame, keys: list[str], weight: str,
     for k in keys:
         cond = F.length(F.col(k).cast("string")) <= max_key_chars
         width_ok = cond if width_ok is None else (width_ok & cond)
-    hot = (dim.where(width_ok).orderBy(F.col(weight).desc(), *keys).limit(hot_k)
-           .select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in dim_cols], F.lit(True).alias("_is_hot")))
+    if hot_keys is None:
+        hot_dim = dim.where(width_ok).orderBy(F.col(weight).desc(), *keys).limit(hot_k)
+    else:
+        hot_dim = dim.join(hot_keys.where(width_ok).limit(hot_k), keys, "left_semi")
+    hot = hot_dim.select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in dim_cols], F.lit(True).alias("_is_hot"))
     tagged = big.join(F.broadcast(hot), keys, "left")
     hot_part = tagged.where(F.col("_is_hot")).select(
         *big.columns, *[F.col(f"_hot_{c}").alias(c) for c in dim_cols])

@@ -60,7 +60,6 @@ def tag_prompt(inp: Column | str = "input", out: Column | str = "output") -> Col
                     T.py_strip(i), F.lit("\n\nReply:\n"), T.py_strip(o))
 
 
-
 def tag_class(reply: Column | str = "reply") -> Column:
     """F-10 then T-7: too-short rows are DISCARD without a reply; otherwise KEEP iff the reply says KEEP."""
     return F.when(FL.quick_discard(), F.lit("DISCARD")).otherwise(T.keep_or_discard(reply))

@@ -70,7 +70,9 @@ def listing_from_events(events: DataFrame) -> DataFrame:
 
 
 def listing(events: DataFrame, conv: DataFrame) -> DataFrame:
-    """Full E1 rows: listing plus title/selftext of the post's thread head."""
+    """Full E1 rows: listing plus title/selftext of the post's thread head. The head side holds one
+    row per thread, so a thread many posts point at is split by AQE's skew join; an explicit
+    ``hot_split_join`` would scan the listing twice more, which costs more than it saves here."""
     return listing_from_events(events).join(thread_heads(conv), "thread_id", "left")
 
 
@@ -108,6 +110,8 @@ def curate(events: DataFrame, conv: DataFrame, target: int | None = TARGET, cap:
            gated_view: str = GATED_VIEW) -> DataFrame:
     """R-5 end to end on landed pages."""
     posts = gated_posts(listing(events, conv), cap, gated_view)
+    # The gated posts sit behind two window shuffles, so they are joined once (a hot thread is split
+    # by AQE's skew join; the answer side holds one row per thread) instead of feeding two branches.
     answered = posts.join(first_answers(comments_from_conversations(conv)), "thread_id", "inner")
     ordered = O.priority_target(answered, target, ("view_rank", "page", "pos")) if target is not None else answered
     return curated_record(ordered)

@@ -28,3 +28,13 @@ def test_hot_split_join_equals_plain_join(spark):
     assert sorted(tuple(r) for r in split.collect()) == sorted(tuple(r) for r in plain.collect())
     left = hot_split_join(words, dim, ["w"], "c", hot_k=10, how="left")
     assert left.count() == words.count() and left.where(F.col("c").isNull()).count() == words.where(F.col("w") == "4999").count()
+
+
+def test_hot_split_join_with_fact_side_hot_keys(spark):
+    from quarry.operators.joins import hot_keys_by_count
+    facts = spark.range(30_000).select(F.when(F.col("id") % 4 != 0, F.lit(7)).otherwise(F.col("id") % 500).alias("k"),
+                                       F.col("id").alias("v"))
+    dim = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 10).alias("d"))
+    split = hot_split_join(facts, dim, ["k"], hot_k=3, hot_keys=hot_keys_by_count(facts, ["k"], 3))
+    plain = facts.join(dim, "k").select("k", "v", "d")
+    assert sorted(tuple(r) for r in split.collect()) == sorted(tuple(r) for r in plain.collect())
