@@ -13,7 +13,7 @@ from quarry.plans import score as S
 from quarry.queries import chat_q, curate_q
 from quarry.queries import duck as D
 from quarry.queries.registry import Registry
-from quarry.session import scratch_path
+from quarry.session import materialize, scratch_path
 from quarry.sinks.files import write_json_array, write_jsonl
 from quarry.sources.files import read_json_array, read_jsonl, read_named_split, read_task_dir
 from quarry.sources.tables import table
@@ -30,10 +30,11 @@ CHAT_SCHEMA = "id string, source string, messages array<struct<role:string, cont
 # SRC-1 -------------------------------------------------------------------------------------------
 @register("src_json_array", curate_q.ORACLE["proj_curated_record"])
 def src_json_array(spark, sf):
-    """Curated records landed as JSON array files (one array per part file) and read back."""
+    """Curated records landed as JSON array files (one array per part file), read back once and
+    landed as Parquet (a whole-file array is not splittable; later stages read the Parquet copy)."""
     recs = curate_q.QUERIES["proj_curated_record"](spark, sf)
     path = write_json_array(recs, scratch_path(spark, "records-array"))
-    return read_json_array(spark, path, RECORD_SCHEMA)
+    return materialize(read_json_array(spark, path, RECORD_SCHEMA), "records-landed")
 
 
 # SNK-2 -------------------------------------------------------------------------------------------
