@@ -25,12 +25,13 @@ from quarry.operators import filters as FL
 from quarry.operators import ordering as O
 from quarry.operators import windows as W
 
-# Listing views in crawl priority order; the last one gets the extra score gate.
+# Stand-in listing views (event types) in crawl priority order; the last one gets the extra score gate.
 VIEW_ORDER = ("click", "error", "purchase", "signup", "view")
 GATED_VIEW = "view"
+# Instruction text of every record, record target, listing cap (10 pages x 100 posts).
 INSTRUCTION = "Diagnose the following dimensional anomaly."
 TARGET = 600
-CAP_PER_VIEW = 1000  # 10 pages x 100 posts
+CAP_PER_VIEW = 1000
 
 
 def view_rank(view: Column, order=VIEW_ORDER) -> Column:

@@ -56,7 +56,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-    # Only reached in tests and local runs: a cluster names spark.checkpoint.dir.
+    # A private folder only for local runs (tests, bench); on a cluster, stage tables and streaming
+    # state must live on shared storage that outlives any executor.
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this cluster session")
     local = tempfile.mkdtemp(prefix="quarry-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
