@@ -60,11 +60,15 @@ def best_of_k(trials: DataFrame, keys: list[str], trial: str = "trial", correct:
 
 
 def metric_stats(df: DataFrame, value: str, group: list[str]) -> DataFrame:
-    """A-6: mean, exact median, min, max over non-null values."""
+    """A-6: mean, exact median, min, max over non-null values (median via ``exact_median``)."""
+    keys = list(group) or ["_all"]
+    keyed = df if group else df.withColumn("_all", F.lit(1))
     v = F.col(value)
-    return df.groupBy(*group).agg(
-        F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"),
+    stats = keyed.groupBy(*keys).agg(
+        F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.count(v).alias("n_scored"), F.count(F.lit(1)).alias("n_rows"))
+    out = stats.join(exact_median(keyed, keys, value), keys, "left")
+    return out.select(*group, "mean", "median", "min", "max", "n_scored", "n_rows")
 
 
 def split_summary(results: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,3 +76,33 @@ def split_summary(results: DataFrame, keys: list[str]) -> DataFrame:
     return results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_tasks"), F.count_if(F.col("solved")).alias("solved"),
     ).withColumn("accuracy", F.coalesce(F.try_divide(F.col("solved").cast("double"), F.col("total_tasks")), F.lit(0.0)))
+
+
+def exact_median(df: DataFrame, group: list[str], value: str, partitions: int | None = None) -> DataFrame:
+    """Exact median of non-null ``value`` per group (mean of the two middle values when the count
+    is even), without gathering a group's values in one task: ``median`` buffers every distinct
+    value of a group in its final task, which a group holding a third of all rows cannot afford.
+
+    Values are range-partitioned and sorted by (group, value); a row's rank in its group is the
+    count of its group in earlier partitions plus its position inside its partition. The per
+    (partition, group) count table has at most #groups + #partitions rows and each group spans at
+    most #partitions of them; only the partitions holding a group's one or two middle ranks are
+    joined back (AQE broadcasts that table when it is small)."""
+    from pyspark.sql import Window
+
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    v = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    s = (v.repartitionByRange(n, *[F.col(g) for g in group], F.col("_v")).sortWithinPartitions(*group, "_v")
+         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    stats = s.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_pid")
+                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(Window.partitionBy(*group))
+    stats = stats.select("_pid", *group, "_n", "_m0", before.alias("_before"), total.alias("_total"))
+    lo, hi = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    end = F.col("_before") + F.col("_n") - 1
+    targets = stats.where(lo.between(F.col("_before"), end) | hi.between(F.col("_before"), end)).select(
+        "_pid", *group, "_m0", "_before", lo.alias("_lo"), hi.alias("_hi"))
+    picked = s.join(targets, ["_pid", *group]).withColumn("_rank", F.col("_before") + F.col("_mid") - F.col("_m0"))
+    picked = picked.where((F.col("_rank") == F.col("_lo")) | (F.col("_rank") == F.col("_hi")))
+    return picked.groupBy(*group).agg(F.avg("_v").alias("median"))

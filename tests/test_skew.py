@@ -38,3 +38,14 @@ def test_hot_split_join_with_fact_side_hot_keys(spark):
     split = hot_split_join(facts, dim, ["k"], hot_k=3, hot_keys=hot_keys_by_count(facts, ["k"], 3))
     plain = facts.join(dim, "k").select("k", "v", "d")
     assert sorted(tuple(r) for r in split.collect()) == sorted(tuple(r) for r in plain.collect())
+
+
+def test_exact_median_matches_median_with_a_hot_group(spark):
+    from quarry.operators.aggregates import exact_median
+    df = (spark.range(20_001).repartition(13)
+          .select(F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 4).cast("string"))).alias("g"),
+                  F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise((F.xxhash64("id") % 100).cast("double")).alias("v")))
+    df = df.unionByName(spark.createDataFrame([("only_null", None), ("two", 1.0), ("two", 4.0)], "g string, v double"))
+    got = {r.g: r.median for r in exact_median(df, ["g"], "v", partitions=7).collect()}
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect() if r.m is not None}
+    assert got == want and got["two"] == 2.5 and "only_null" not in got
