@@ -60,14 +60,20 @@ def best_of_k(trials: DataFrame, keys: list[str], trial: str = "trial", correct:
 
 
 def metric_stats(df: DataFrame, value: str, group: list[str]) -> DataFrame:
-    """A-6: mean, exact median, min, max over non-null values (median via ``exact_median``)."""
+    """A-6: mean, exact median, min, max over non-null values (median via ``exact_median``).
+
+    The (group, value) pairs are written once: the aggregate, the median's range sampling and its
+    two branches then read that small table instead of recomputing an expensive input."""
+    from quarry.session import materialize
+
     keys = list(group) or ["_all"]
     keyed = df if group else df.withColumn("_all", F.lit(1))
+    keyed = materialize(keyed.select(*keys, value), "stats-values")
     v = F.col(value)
     stats = keyed.groupBy(*keys).agg(
         F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.count(v).alias("n_scored"), F.count(F.lit(1)).alias("n_rows"))
-    out = stats.join(exact_median(keyed, keys, value), keys, "left")
+    out = stats.join(exact_median(keyed, keys, value, stage=False), keys, "left")
     return out.select(*group, "mean", "median", "min", "max", "n_scored", "n_rows")
 
 
@@ -78,7 +84,8 @@ def split_summary(results: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("accuracy", F.coalesce(F.try_divide(F.col("solved").cast("double"), F.col("total_tasks")), F.lit(0.0)))
 
 
-def exact_median(df: DataFrame, group: list[str], value: str, partitions: int | None = None) -> DataFrame:
+def exact_median(df: DataFrame, group: list[str], value: str, partitions: int | None = None,
+                 stage: bool = True) -> DataFrame:
     """Exact median of non-null ``value`` per group (mean of the two middle values when the count
     is even), without gathering a group's values in one task: ``median`` buffers every distinct
     value of a group in its final task, which a group holding a third of all rows cannot afford.
@@ -87,11 +94,17 @@ def exact_median(df: DataFrame, group: list[str], value: str, partitions: int |
     count of its group in earlier partitions plus its position inside its partition. The per
     (partition, group) count table has at most #groups + #partitions rows and each group spans at
     most #partitions of them; only the partitions holding a group's one or two middle ranks are
-    joined back (AQE broadcasts that table when it is small)."""
+    joined back (AQE broadcasts that table when it is small). The range partitioner samples its
+    input in a pass of its own and the sorted values feed two branches, so the (group, value) pairs
+    are written once first (``stage``; pass False when ``df`` is already a written table)."""
     from pyspark.sql import Window
 
+    from quarry.session import materialize
+
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     v = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    if stage:
+        v = materialize(v, "median-values")
     s = (v.repartitionByRange(n, *[F.col(g) for g in group], F.col("_v")).sortWithinPartitions(*group, "_v")
          .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
     stats = s.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))

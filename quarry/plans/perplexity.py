@@ -63,8 +63,8 @@ def bigram_scores(tok: DataFrame, key: str, uni: DataFrame) -> DataFrame:
     bc = materialize(plong.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c_vw")), "ppl-bigram-counts")
     v_size = uni.select(F.count(F.lit(1))).scalar()  # V, a scan of the materialized counts
     cv = uni.select(F.col("w").alias("v"), F.col("c").alias("c_v"))
-    lp2 = hot_split_join(bc, cv, ["v"], "c_v").select(
-        "v", "w", "c_vw", F.ln((F.col("c_vw") + 1) / (F.col("c_v") + v_size)).alias("lp"))
+    lp2 = materialize(hot_split_join(bc, cv, ["v"], "c_v").select(
+        "v", "w", "c_vw", F.ln((F.col("c_vw") + 1) / (F.col("c_v") + v_size)).alias("lp")), "ppl-bigram-lp")
     pair_part = _score(plong, lp2, ["v", "w"], "c_vw", key).select(
         key, F.col("sum_lp").alias("s2"), F.col("n_tokens").alias("n2"))
     first = tok.where(F.size("tk") > 0).select(key, F.col("tk")[0].alias("w"))

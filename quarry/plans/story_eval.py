@@ -13,6 +13,7 @@ from quarry.operators import windows as W
 from quarry.operators.aggregates import exact_median
 from quarry.plans import perplexity as P
 from quarry.plans import text_metrics as M
+from quarry.session import materialize
 
 # Stand-in family markers for the family pick (the reference looks for base_model / fifth / benign).
 FAMILIES = (("base", "src0"), ("fifth", "src1"), ("benign", "src2"))
@@ -20,10 +21,11 @@ FAMILIES = (("base", "src0"), ("fifth", "src1"), ("benign", "src2"))
 
 def story_metrics(stories: DataFrame, key: str = "doc_id", text: str = "text", model: str = "source",
                   category: str = "lang") -> DataFrame:
-    """Per story: model, category, Dist_1..3 and unigram Perplexity."""
+    """Per story: model, category, Dist_1..3 and unigram Perplexity. Written once (a few numbers
+    per story): the summaries, the family pick and the medians all read it."""
     div = M.diversity_per_text(stories, text, [key, model, category])
     ppl = P.ngram_perplexity(stories, key, text, order=1).select(key, "Perplexity")
-    return div.join(ppl, key, "left")
+    return materialize(div.join(ppl, key, "left"), "story-metrics")
 
 
 def model_summary(per_story: DataFrame, group: list[str]) -> DataFrame:
@@ -35,7 +37,7 @@ def model_summary(per_story: DataFrame, group: list[str]) -> DataFrame:
         F.avg("Perplexity").alias("mean_ppl"),
         F.min("Perplexity").alias("min_ppl"), F.max("Perplexity").alias("max_ppl"),
         F.count("Perplexity").alias("n_scored"))
-    med = exact_median(per_story, group, "Perplexity").withColumnRenamed("median", "median_ppl")
+    med = exact_median(per_story, group, "Perplexity").withColumnRenamed("median", "median_ppl")  # stages (group, value)
     return summary.join(med, group, "left")
 
 
