@@ -49,3 +49,14 @@ def test_exact_median_matches_median_with_a_hot_group(spark):
     got = {r.g: r.median for r in exact_median(df, ["g"], "v", partitions=7).collect()}
     want = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect() if r.m is not None}
     assert got == want and got["two"] == 2.5 and "only_null" not in got
+
+
+def test_row_index_matches_row_number_for_any_partitioning(spark):
+    from pyspark.sql import Window
+
+    from quarry.operators.ordering import row_index
+    df = spark.range(5_000).select((F.xxhash64("id") % 100_000).alias("k")).dropDuplicates(["k"])
+    want = {r.k: r.i for r in df.select("k", (F.row_number().over(Window.orderBy("k")) - 1).alias("i")).collect()}
+    for parts in (1, 3, 11):
+        got = {r.k: r.idx for r in row_index(df.repartition(parts), "k", partitions=parts + 2).collect()}
+        assert got == want
