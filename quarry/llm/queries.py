@@ -21,3 +21,64 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(read_table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The extra conversation of the op4 contract: both turns say a string made of control marks.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@register("op4_chat_round_trip", r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), conv AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+         bool_or(contains(role || text, '<|says|>') OR contains(text || role, '<|end|>' || chr(10))) AS clash,
+         sum(24 + length(role) + length(text)) AS chars,
+         sum(len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|'))) AS marks
+  FROM said GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+       (11 + chars + CASE WHEN clash THEN marks ELSE 0 END)::BIGINT AS formatted_chars
+FROM conv""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.chat_format import format_conversations, masked_text, parse
+    from quarry.llm.common import materialize
+
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    written = materialize(format_conversations(rows.unionByName(extra)), "chat")
+    read = written.withColumns({"_turns": parse(F.col("formatted")),
+                                "_loss": masked_text(F.col("formatted"), F.col("loss_spans"))})
+    said = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, max_tokens=2048)
+
+
+@register("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.token_files import read_token_files, token_folder, write_token_files
+
+    folder = token_folder(spark)
+    index = write_token_files(read_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return read_token_files(index, folder)
