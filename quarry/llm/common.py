@@ -9,10 +9,11 @@ import zipfile
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.session import materialize
 
-__all__ = ["materialize", "read_table", "row_key", "ship_package", "text_key"]
+__all__ = ["materialize", "read_table", "row_key", "ship_package", "text_key", "with_fields"]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -47,3 +48,9 @@ def text_key(text="text"):
     """A 128-bit content key of a text (null counts as empty): rows that share it hold equal texts."""
     body = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     return F.struct(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b"))
+
+
+def with_fields(df: DataFrame, **fields: str) -> StructType:
+    """The schema of ``df`` followed by more fields (a copy: ``DataFrame.schema`` is shared)."""
+    more = [StructType.fromDDL(f"`{name}` {kind}").fields[0] for name, kind in fields.items()]
+    return StructType([*df.schema.fields, *more])

@@ -82,3 +82,43 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_folder(spark)
     index = write_token_files(read_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return read_token_files(index, folder)
+
+
+@register("op9_rule_cascade")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.rules import RULES, cascade, cheapest_order, measure
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = cheapest_order(measure(docs))
+    metrics = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = cascade(docs, order, metrics=metrics)
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", *metrics, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
+def _id_part(parts: int):
+    """crc32 of the document id as text, modulo ``parts``: the split of the labelled rows."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
+@register("op8_pu_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality_pu import fit, labelled_prior, with_quality
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = read_table(spark, sf_dir, "labels").filter(_id_part(5) != 0)
+    model = fit(docs, known.filter(F.col("quality") == 1), prior=labelled_prior(known))
+    scored = with_quality(docs, model).drop("text")
+    return scored.select("doc_id", (_id_part(5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op6_toxic_segments")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.toxicity import fit, with_toxicity
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = read_table(spark, sf_dir, "labels").filter(_id_part(4) != 2).select("doc_id", "toxic")
+    scored = with_toxicity(docs, fit(docs, known)).drop("text", "segments")
+    return scored.select("doc_id", (_id_part(4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
