@@ -2,7 +2,7 @@
 
 Token weights are log-odds ratios of the toxic against the clean labelled documents with an informative
 Dirichlet prior (each token's prior is its frequency in both together); a weight counts if its z-score is
-significant. A token is looked up as a word and by its first four and six bytes, and the strongest of its
+significant. A token is looked up as a word and by its first 4, 5, 6 and 8 bytes, and the strongest of its
 weights is its score, less a constant that makes clean text drift downwards. A linear-time scan finds all
 maximal scoring segments of a text; those whose expected number by chance (extreme-value statistics of the best
 segment: ``K n exp(-lambda S)``, fitted on the clean documents) is small are its toxic passages. The
@@ -30,7 +30,7 @@ from quarry.llm.common import materialize, with_fields
 from quarry.llm.tokens import by_bytes
 from quarry.llm.words import ALNUM, U64, Words, hash_spans, mix, words_of
 
-PREFIXES = (4, 6)
+PREFIXES = (4, 5, 6, 8)
 DRIFT = 0.5            # subtracted from every token's weight
 STEP = 0.05            # resolution of token scores
 SIGNIFICANT = 0.01     # expected chance segments at or below which a segment is reported
@@ -160,7 +160,7 @@ def _log_odds(sample: DataFrame, max_tokens: int, least_docs: int, least_z: floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
-        max_per_class: int = 8000, max_tokens: int = 100_000, least_docs: int = 3, least_z: float = 4.0) -> SegmentModel:
+        max_per_class: int = 8000, max_tokens: int = 100_000, least_docs: int = 3, least_z: float = 3.0) -> SegmentModel:
     known = labels.select(F.col(key).alias("_key"), F.col(toxic).cast("int").alias("_toxic")).dropna()
     sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
 
