@@ -122,3 +122,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = with_toxicity(docs, fit(docs, known)).drop("text", "segments")
     return scored.select("doc_id", (_id_part(4) == 2).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op2_near_duplicates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.neardup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
