@@ -129,3 +129,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.neardup import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontaminate import split_item
+
+    return read_table(spark, sf_dir, "benchmark").select("item_id", *split_item("text"))
+
+
+@register("op5_bm25_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontaminate import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), benchmark_items(spark, sf_dir))
