@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, row_key
@@ -75,13 +75,17 @@ def chunk_masks(k: int = K, chunks: int = CHUNKS, distance: int = MAX_DISTANCE)
     return out
 
 
+def _text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def describe(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """_key, n (set size), fa, fb (fingerprint), sig per row."""
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    """_key, _text_hash, n (set size), fa, fb (fingerprint), sig per row."""
+    rows = docs.select(F.col(key).cast("long").alias("_key"), _text_hash(text).alias("_text_hash"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             n, fa, fb, sig = [], [], [], []
             for lo, hi in by_bytes(texts):
                 w = words_of(texts[lo:hi], lower=True)
@@ -93,10 +97,10 @@ def describe(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
                     fb.append(b)
                     sig.append(signature(items).tobytes() if len(items) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, fa, fb)), pa.array(sig, pa.binary())],
-                ["_key", "n", "fa", "fb", "sig"])
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, fa, fb)), pa.array(sig, pa.binary())],
+                ["_key", "_text_hash", "n", "fa", "fb", "sig"])
 
-    return rows.mapInArrow(run, "_key long, n long, fa long, fb long, sig binary")
+    return rows.mapInArrow(run, "_key long, _text_hash long, n long, fa long, fb long, sig binary")
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -245,8 +249,8 @@ class _Confirm:
         return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles, component_id (smallest id reachable), kept (id = component_id)."""
+def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """Per row: _key, _text_hash, n, low (smallest id reachable, null for an empty set), group (null likewise)."""
     rows = materialize(describe(docs, width, key, text), "signatures")
     grouped = rows.filter("n > 0").groupBy("fa", "fb", "n").agg(
         F.min(F.coalesce("_key", F.lit(NO_ID))).alias("rep"), F.first("sig").alias("sig"))
@@ -279,14 +283,33 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
         comp = materialize(components(links), "component-of")
 
     lowest = comp.join(classes.select("node", "rep"), "node")
-    lowest = lowest.join(lowest.groupBy("component").agg(F.min("rep").alias("low")), "component").select("node", "low")
-    of_class = classes.join(lowest, "node", "left").select("fa", "fb", "n", F.coalesce("low", "rep").alias("low"))
-    low = F.when(F.col("n") == 0, F.col("_key")).otherwise(F.when(F.col("low") == NO_ID, None).otherwise(F.col("low")))
-    out = rows.join(of_class, ["fa", "fb", "n"], "left").withColumn("component_id", low)
+    lowest = lowest.join(lowest.groupBy("component").agg(F.min("rep").alias("low")), "component").select("node", "low", "component")
+    of_class = classes.join(lowest, "node", "left").select(
+        "fa", "fb", "n", F.coalesce("low", "rep").alias("low"), F.coalesce("component", "node").alias("group"))
+    return rows.drop("sig").join(of_class, ["fa", "fb", "n"], "left").drop("fa", "fb")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_shingles, component_id (smallest id reachable), kept (id = component_id)."""
+    out = _grouped(docs, width, percent, key, text)
+    low = F.when(F.col("n") == 0, F.col("_key")).otherwise(F.when(F.col("low") != NO_ID, F.col("low")))
+    out = out.withColumn("component_id", low)
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id",
                       F.col("_key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each group: the one with the smallest id (a null id counts as the
+    largest), then text hash. Rows with an empty set all stay; rows that agree in id and text are one."""
+    out = _grouped(docs, width, percent, key, text).withColumn("_key", F.coalesce("_key", F.lit(NO_ID)))
+    first = out.filter("n > 0").groupBy("group").agg(F.min(F.struct("_key", "_text_hash")).alias("x")).select("x.*")
+    keep = materialize(first.union(out.filter("n = 0").select("_key", "_text_hash")), "kept-rows")
+    told = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), "_text_hash": _text_hash(text)})
+    kept = told.join(keep, ["_key", "_text_hash"], "left_semi")
+    one = Window.partitionBy("_key", "_text_hash").orderBy("_key")
+    return kept.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(*docs.columns)
+
+
 def _pending(shared: DataFrame, comp: DataFrame) -> DataFrame:
     """(h, node, component) of the keys whose classes lie in two components or more."""
     at = shared.select("h", "node").join(comp, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))

@@ -142,3 +142,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.decontaminate import find_leaks
 
     return find_leaks(read_table(spark, sf_dir, "documents"), benchmark_items(spark, sf_dir))
+
+
+@register("op10_disclosure_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.pii import KINDS, span_text, with_spans
+
+    spans = with_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
+    return spans.select("doc_id", *counts, F.sha2(span_text(KINDS), 256).alias("base_sha256"),
+                        span_text((*KINDS, "term")).alias("spans"))
