@@ -71,6 +71,11 @@ def ngram_total(tokens, n: int) -> Column:
     return F.greatest(F.size(_col(tokens)) - (n - 1), F.lit(0)).cast("bigint")
 
 
+def gram_digest(grams: Column) -> Column:
+    """md5 of all grams in order, one per line: a wrong gram anywhere changes it."""
+    return F.md5(F.array_join(grams, "\n"))
+
+
 def ngram_unique(tokens, n: int) -> Column:
     return F.size(F.array_distinct(ngrams(tokens, n))).cast("bigint")
 
@@ -143,8 +148,11 @@ def run_stamp(ts) -> Column:
 
 
 def parse_run_stamp(path) -> Column:
+    """Time of a run stamp in a name: ``20240102_030405`` or ``2024-01-02T03-04-05`` (fractions are dropped)."""
     s = F.regexp_extract(_col(path), r"([0-9]{8}_[0-9]{6})", 1)
-    return F.try_to_timestamp(F.nullif(s, F.lit("")), F.lit("yyyyMMdd_HHmmss"))
+    iso = F.regexp_extract(_col(path), r"([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}-[0-9]{2}-[0-9]{2})", 1)
+    return F.coalesce(F.try_to_timestamp(F.nullif(s, F.lit("")), F.lit("yyyyMMdd_HHmmss")),
+                      F.try_to_timestamp(F.nullif(iso, F.lit("")), F.lit("yyyy-MM-dd'T'HH-mm-ss")))
 
 
 def truncate_detail(c, n: int, ellipsis: bool = False) -> Column:

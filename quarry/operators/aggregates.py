@@ -95,8 +95,9 @@ def exact_median(df: DataFrame, group: list[str], value: str, partitions: int |
     (partition, group) count table has at most #groups + #partitions rows and each group spans at
     most #partitions of them; only the partitions holding a group's one or two middle ranks are
     joined back (AQE broadcasts that table when it is small). The range partitioner samples its
-    input in a pass of its own and the sorted values feed two branches, so the (group, value) pairs
-    are written once first (``stage``; pass False when ``df`` is already a written table)."""
+    input in a pass of its own, so (group, value) pairs are written first (``stage``; pass False when
+    ``df`` is already a written table); the sorted rows feed two branches that must see the same
+    partitions, so they are written with their partition and place and both branches read that."""
     from pyspark.sql import Window
 
     from quarry.session import materialize
@@ -105,8 +106,9 @@ def exact_median(df: DataFrame, group: list[str], value: str, partitions: int |
     v = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
     if stage:
         v = materialize(v, "median-values")
-    s = (v.repartitionByRange(n, *[F.col(g) for g in group], F.col("_v")).sortWithinPartitions(*group, "_v")
-         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    s = materialize(
+        v.repartitionByRange(n, *[F.col(g) for g in group], F.col("_v")).sortWithinPartitions(*group, "_v")
+        .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()), "median-sorted")
     stats = s.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_pid")
                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

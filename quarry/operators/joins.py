@@ -5,6 +5,7 @@ row per key, e.g. corpus word counts) and the other side repeats hot keys withou
 document contains "the"). The dimension's own weight column names the hot keys: the top ``hot_k``
 keys (with a bounded key width) are broadcast - a proven size bound of ``hot_k`` rows - and joined
 without moving the big side; only cold rows go through the shuffle join, where no key is hot.
+``salted_join`` does the same for wide dimension rows, by salting the hot keys.
 """
 
 from __future__ import annotations
@@ -16,6 +17,12 @@ HOT_K = 10_000
 HOT_KEY_MAX_CHARS = 64
 
 
+def _bounded(col: str, most: int):
+    """The key, or a digest where it is longer than ``most``: hot keys of any length join at a bounded width."""
+    text = F.col(col).cast("string")
+    return F.when(F.length(text) > most, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
+
+
 def hot_keys_by_count(df: DataFrame, keys: list[str], hot_k: int = HOT_K) -> DataFrame:
     """The ``hot_k`` most frequent keys of a fact table (partial+final count, then a top-k): the
     fact-side hot set for ``hot_split_join(..., hot_keys=...)``."""
@@ -39,18 +46,33 @@ def hot_split_join(big: DataFrame, dim: DataFrame, keys: list[str], weight: str
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     dim_cols = [c for c in dim.columns if c not in keys]
-    width_ok = None
-    for k in keys:
-        cond = F.length(F.col(k).cast("string")) <= max_key_chars
-        width_ok = cond if width_ok is None else (width_ok & cond)
+    wide = [f"_w_{k}" for k in keys]
     if hot_keys is None:
-        hot_dim = dim.where(width_ok).orderBy(F.col(weight).desc(), *keys).limit(hot_k)
+        hot_dim = dim.orderBy(F.col(weight).desc(), *keys).limit(hot_k)
     else:
-        hot_dim = dim.join(hot_keys.where(width_ok).limit(hot_k), keys, "left_semi")
-    hot = hot_dim.select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in dim_cols], F.lit(True).alias("_is_hot"))
-    tagged = big.join(F.broadcast(hot), keys, "left")
+        hot_dim = dim.join(hot_keys.limit(hot_k), keys, "left_semi")
+    hot = hot_dim.select(*[_bounded(k, max_key_chars).alias(w) for k, w in zip(keys, wide, strict=True)],
+                         *[F.col(c).alias(f"_hot_{c}") for c in dim_cols], F.lit(True).alias("_is_hot"))
+    keyed = big.withColumns({w: _bounded(k, max_key_chars) for k, w in zip(keys, wide, strict=True)})
+    tagged = keyed.join(F.broadcast(hot), wide, "left")
     hot_part = tagged.where(F.col("_is_hot")).select(
         *big.columns, *[F.col(f"_hot_{c}").alias(c) for c in dim_cols])
     cold = tagged.where(F.col("_is_hot").isNull()).select(*big.columns)
     cold_part = cold.join(dim, keys, how).select(*big.columns, *dim_cols)
     return hot_part.unionByName(cold_part)
+
+
+def salted_join(big: DataFrame, dim: DataFrame, key: str, spread: list[str], how: str = "inner", hot_rows: int = 10_000,
+                salts: int | None = None, hot_k: int = HOT_K) -> DataFrame:
+    """Equi-join of ``big`` with a dimension (unique on ``key``) whose rows are too wide to broadcast: keys that ``big``
+    repeats more than ``hot_rows`` times are salted by a hash of the ``spread`` columns and their one dimension
+    row is repeated per salt, so a key with a third of all rows spreads over ``salts`` tasks."""
+    salts = salts or big.sparkSession.sparkContext.defaultParallelism
+    hot = F.broadcast(big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+                      .orderBy(F.col("_n").desc(), key).limit(hot_k).select(key, F.lit(True).alias("_hot")))
+    b = big.join(hot, key, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))).drop("_hot")
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    d = dim.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("bigint"))))).drop("_hot")
+    return b.join(d, [key, "_salt"], how).drop("_salt")

@@ -59,20 +59,25 @@ def sorted_by(df: DataFrame, *cols) -> DataFrame:
     return df.orderBy(*_cols(cols))
 
 
-def row_index(df: DataFrame, key: str, name: str = "idx", partitions: int | None = None) -> DataFrame:
-    """P-7: 0-based position of each row in ``key`` order without a global window.
+def row_index(df: DataFrame, key: str | list[str], name: str = "idx", partitions: int | None = None) -> DataFrame:
+    """P-7: 0-based position of each row in ``key`` order without a global window, whatever other columns it has.
 
-    Rows are range-partitioned and sorted by ``key``; inside a partition the position comes from
-    ``monotonically_increasing_id`` (consecutive per partition), and each partition's offset is the
-    count of all earlier partitions - a table with one row per partition (a proven bound), so it is
-    broadcast. Range bounds are sampled deterministically, so recomputation gives the same index."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    s = (df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
-    sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    Rows are range-partitioned and sorted by ``key`` and written once together with their partition and their
+    position in it (``monotonically_increasing_id`` is consecutive per partition). Counts and rows are then both
+    read from that table, so they agree however the range bounds were sampled. Each partition's offset is the
+    count of all earlier ones: a table with one row per partition, which is broadcast."""
     from pyspark.sql import Window
 
+    from quarry.session import materialize
+
+    keys = [key] if isinstance(key, str) else list(key)
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    s = materialize(
+        df.repartitionByRange(n, *[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)),
+        "row-index")
+    sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     return (s.join(F.broadcast(offsets), "_pid")

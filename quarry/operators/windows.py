@@ -26,9 +26,6 @@ def first_valid_answer(comments: DataFrame, valid: Column, post: str = "post_id"
     return _first_k(comments.where(valid), [post], [F.col(c).asc() for c in order])
 
 
-CAP_BUCKETS = 32
-
-
 def _first_k_two_level(df: DataFrame, keys: list[str], order: list[Column], k: int, buckets: int) -> DataFrame:
     """Exact top-k per key when one key may hold a large share of all rows and k is large.
 
@@ -43,11 +40,13 @@ def _first_k_two_level(df: DataFrame, keys: list[str], order: list[Column], k: i
 
 
 def cap_per_view(df: DataFrame, cap: int = 1000, view: str = "view", order=("page", "pos"),
-                 buckets: int | None = CAP_BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """W-5: at most ``cap`` listing rows per view (pages x posts per page). Views are few and large
-    by design, so the cap runs in two levels (``buckets``); ``buckets=None`` uses one window."""
+    by design, so the cap runs in two levels; a view spreads over ``buckets`` reducers, by default as
+    many as the cluster has cores. ``buckets=1`` uses one window."""
     cols = [F.col(c).asc() for c in order]
-    if buckets is None:
+    buckets = buckets or df.sparkSession.sparkContext.defaultParallelism
+    if buckets == 1:
         return _first_k(df, [view], cols, k=cap)
     return _first_k_two_level(df, [view], cols, cap, buckets)
 
@@ -85,21 +84,16 @@ def pick_per_family(models: DataFrame, name: str = "model", families=(("base", "
             .drop("_pick", "_n"))
 
 
-def turn_pairs(conv: DataFrame, dense_turns: bool = True) -> DataFrame:
-    """W-6: each user turn paired with the assistant turn that directly follows it.
+def turn_pairs(conv: DataFrame) -> DataFrame:
+    """W-6: each user turn paired with the assistant turn that directly follows it in its conversation, whatever gaps
+    the turn numbers have. Rows get their position in (conversation, turn) order from a range-partitioned
+    sort, so a conversation of any length spreads over many tasks; pairs are an equi-join on
+    (conversation, position + 1), whose keys are unique."""
+    from quarry.operators.ordering import row_index
 
-    With dense turn numbers (0..n-1, checked on the fixtures) this is an equi-join on
-    (conv_id, turn + 1): both keys are unique, so the shuffle spreads a very long conversation
-    over many tasks. ``dense_turns=False`` uses ``lead`` over the conversation instead.
-    """
-    c = conv.select("conv_id", "turn", "role", "text")
-    if dense_turns:
-        u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user_text"))
-        a = c.where(F.col("role") == "assistant").select(
-            "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant_text"))
-        return u.join(a, ["conv_id", "turn"], "inner")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = c.select("conv_id", "turn", "role", F.col("text").alias("user_text"),
-                   F.lead("role").over(w).alias("_next_role"), F.lead("text").over(w).alias("assistant_text"))
-    return (nxt.where((F.col("role") == "user") & (F.col("_next_role") == "assistant"))
-            .select("conv_id", "turn", "user_text", "assistant_text"))
+    c = row_index(conv.select("conv_id", "turn", "role", "text"), ["conv_id", "turn"], "_at")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user_text"), "_at")
+    a = c.where(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("_conv"), (F.col("_at") - 1).alias("_before"), F.col("text").alias("assistant_text"))
+    return u.join(a, (F.col("_at") == F.col("_before")) & F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
+        "conv_id", "turn", "user_text", "assistant_text")

@@ -24,11 +24,14 @@ from quarry.functions import text as T
 from quarry.operators import filters as FL
 from quarry.operators import ordering as O
 from quarry.operators import windows as W
+from quarry.operators.joins import salted_join
+from quarry.session import materialize
 
 # Stand-in listing views (event types) in crawl priority order; the last one gets the extra score gate.
 VIEW_ORDER = ("click", "error", "purchase", "signup", "view")
 GATED_VIEW = "view"
-# Instruction text of every record, record target, listing cap (10 pages x 100 posts).
+# Instruction text of every record; the crawl's record target and listing cap (10 pages x 100
+# posts), which only the operators they belong to (O-2, W-5) use: the job itself runs whole unless asked.
 INSTRUCTION = "Diagnose the following dimensional anomaly."
 TARGET = 600
 CAP_PER_VIEW = 1000
@@ -70,13 +73,6 @@ def listing_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def listing(events: DataFrame, conv: DataFrame) -> DataFrame:
-    """Full E1 rows: listing plus title/selftext of the post's thread head. The head side holds one
-    row per thread, so a thread many posts point at is split by AQE's skew join; an explicit
-    ``hot_split_join`` would scan the listing twice more, which costs more than it saves here."""
-    return listing_from_events(events).join(thread_heads(conv), "thread_id", "left")
-
-
 def comments_from_conversations(conv: DataFrame) -> DataFrame:
     """E2 rows: post_id, pos, body, stickied."""
     return conv.where(F.col("role") != "user").select(
@@ -91,8 +87,8 @@ def first_answers(comments: DataFrame) -> DataFrame:
         F.col("post_id").alias("thread_id"), F.col("body").alias("answer"))
 
 
-def gated_posts(listing_df: DataFrame, cap: int | None = CAP_PER_VIEW, gated_view: str = GATED_VIEW) -> DataFrame:
-    """W-5 -> W-1 -> F-5 -> F-6."""
+def gated_posts(listing_df: DataFrame, cap: int | None = None, gated_view: str = GATED_VIEW) -> DataFrame:
+    """W-5 (with ``cap``) -> W-1 -> F-5 -> F-6."""
     df = W.cap_per_view(listing_df, cap) if cap is not None else listing_df
     df = W.first_seen(df, "id", ("view_rank", "page", "pos"))
     df = FL.engagement(df, "num_comments", 1)
@@ -107,12 +103,18 @@ def curated_record(df: DataFrame) -> DataFrame:
         inp.alias("input"), F.col("answer").alias("output"), F.col("score").alias("upvotes"))
 
 
-def curate(events: DataFrame, conv: DataFrame, target: int | None = TARGET, cap: int | None = CAP_PER_VIEW,
+def answered_posts(events: DataFrame, conv: DataFrame, cap: int | None = None, gated_view: str = GATED_VIEW) -> DataFrame:
+    """J-7 with the thread's head: gated posts (narrow rows: no text goes through the windows), written once, then
+    joined to one row per thread that holds answer, title and selftext; hot threads are salted."""
+    posts = materialize(gated_posts(listing_from_events(events), cap, gated_view), "gated-posts")
+    threads = first_answers(comments_from_conversations(conv)).join(thread_heads(conv), "thread_id", "left")
+    return salted_join(posts, threads, "thread_id", ["id"])
+
+
+def curate(events: DataFrame, conv: DataFrame, target: int | None = None, cap: int | None = None,
            gated_view: str = GATED_VIEW) -> DataFrame:
-    """R-5 end to end on landed pages."""
-    posts = gated_posts(listing(events, conv), cap, gated_view)
-    # The gated posts sit behind two window shuffles, so they are joined once (a hot thread is split
-    # by AQE's skew join; the answer side holds one row per thread) instead of feeding two branches.
-    answered = posts.join(first_answers(comments_from_conversations(conv)), "thread_id", "inner")
+    """R-5 end to end on landed pages, over the whole listing. ``cap`` (listing rows per view) and ``target`` (records,
+    in listing priority order) are off unless given."""
+    answered = answered_posts(events, conv, cap, gated_view)
     ordered = O.priority_target(answered, target, ("view_rank", "page", "pos")) if target is not None else answered
     return curated_record(ordered)

@@ -5,8 +5,8 @@ Spark on whole texts:
   unigram  p(w)   = (c(w) + 1) / (N + V)                 N tokens, V distinct tokens
   bigram   p(w|v) = (c(v, w) + 1) / (c(v) + V)            first token scored by the unigram model
   PPL(doc) = exp(-mean over the doc's tokens of ln p)
-Corpus counts are partial+final aggregates, totals are one scalar subquery, and every join on a
-word key is a ``hot_split_join``: the top-k words by corpus count (a bounded broadcast) join
+Unigram scores work on per-document word counts (one tokenising pass, written once). Corpus counts are
+partial+final aggregates, totals are one scalar subquery, and every join on a word key is a ``hot_split_join``: the top-k words by corpus count (a bounded broadcast) join
 without moving token rows, only the long tail is shuffled by word, so no reducer holds a hot word
 and the shuffled volume is the tail's share of the tokens.
 
@@ -28,6 +28,18 @@ def doc_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, T.py_split(text).alias("tk"))
 
 
+def doc_words(tokens: DataFrame, key: str, arr: str = "tk") -> DataFrame:
+    """(key, w, n): word counts per document, written once by the pass that tokenises. A document's tokens share a
+    task, so they are combined before the shuffle and raw token rows never travel."""
+    long = _tokens_long(tokens, key, arr, "w")
+    return materialize(long.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n")), "ppl-doc-words")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Corpus counts per word (partial+final aggregate: a hot word is one row per map task)."""
+    return rows.groupBy("w").agg(F.sum("n").alias("c"))
+
+
 def _tokens_long(tok: DataFrame, key: str, arr, name: str) -> DataFrame:
     """One row per array element. ``explode_outer`` + a null filter instead of ``explode``: Spark
     infers ``size(array) > 0`` from an inner explode and pushes it to the scan, where it would
@@ -35,23 +47,28 @@ def _tokens_long(tok: DataFrame, key: str, arr, name: str) -> DataFrame:
     return tok.select(key, F.explode_outer(arr).alias(name)).where(F.col(name).isNotNull())
 
 
-def word_counts(long: DataFrame, keys=("w",)) -> DataFrame:
-    """Corpus counts per n-gram key from token-level rows (partial+final aggregate: a hot word is
-    combined map-side, one row per map task)."""
-    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-
-
 def unigram_model(counts: DataFrame) -> DataFrame:
     """(w, c, lp) with lp = ln((c + 1) / (N + V)); N and V come from one scalar subquery."""
     tot = counts.select(F.struct(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))).scalar()
     return counts.select("w", "c", F.ln((F.col("c") + 1) / (tot["n"] + tot["v"])).alias("lp"))
 
 
-def _score(long: DataFrame, model: DataFrame, keys: list[str], weight: str, key: str) -> DataFrame:
-    """(doc, sum_lp, n_tokens): each token row joined to its log-probability (hot keys broadcast,
-    the cold tail shuffled), then summed per doc (partial aggregate: a doc's tokens share a task)."""
-    j = hot_split_join(long, model, keys, weight)
-    return j.groupBy(key).agg(F.sum("lp").alias("sum_lp"), F.count(F.lit(1)).alias("n_tokens"))
+def _score(rows: DataFrame, model: DataFrame, keys: list[str], weight: str, key: str, times: str | None = None) -> DataFrame:
+    """(doc, sum_lp, n_tokens): each row joined to its log-probability (hot keys broadcast, the cold tail
+    shuffled), then summed per doc; ``times`` is the column that says how often a row counts."""
+    j = hot_split_join(rows, model, keys, weight)
+    n = F.col(times) if times else F.lit(1)
+    return j.groupBy(key).agg(F.sum(n * F.col("lp")).alias("sum_lp"), F.sum(n).cast("bigint").alias("n_tokens"))
+
+
+def unigram_scores(words: DataFrame, key: str) -> DataFrame:
+    """(doc, sum_lp, n_tokens) under the unigram model of the whole ``doc_words`` table."""
+    uni = unigram_model(materialize(word_counts(words), "ppl-counts"))
+    return _score(words, uni.select("w", "c", "lp"), ["w"], "c", key, "n")
+
+
+def perplexity_of(scores: DataFrame, key: str) -> DataFrame:
+    return scores.select(key, F.exp(-F.col("sum_lp") / F.col("n_tokens")).alias("Perplexity"))
 
 
 def bigram_scores(tok: DataFrame, key: str, uni: DataFrame) -> DataFrame:
@@ -78,28 +95,24 @@ def ngram_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", o
                      keep: list[str] | None = None) -> DataFrame:
     """R-3: per doc ``Perplexity`` (null when the text has no token), plus the ``keep`` columns.
 
-    Token rows are a map-only derivation of the scan, so the two join branches re-derive them
-    instead of shuffling or storing a per-(doc, word) table; the corpus counts, read by the totals,
-    the hot set and the cold join, are written once (lineage cut)."""
+    Order 1 reads per-document word counts, written once by the pass that tokenises; order 2 needs the token order and
+    reads written token arrays. Corpus counts, read by totals, hot set and cold join, are written once."""
     keep = keep or []
-    tok = doc_tokens(docs, key, text)
-    if order > 1:
-        tok = materialize(tok, "ppl-tokens")  # read by five branches of the bigram plan
-    long = _tokens_long(tok, key, "tk", "w")
-    uni = unigram_model(materialize(word_counts(long), "ppl-counts"))
     if order == 1:
-        scores = _score(long, uni.select("w", "c", "lp"), ["w"], "c", key)
+        scores = unigram_scores(doc_words(doc_tokens(docs, key, text), key), key)
     else:
-        scores = bigram_scores(tok, key, uni)
-    ppl = scores.select(key, F.exp(-F.col("sum_lp") / F.col("n_tokens")).alias("Perplexity"))
-    return docs.select(key, *keep).join(ppl, key, "left")
+        tok = materialize(doc_tokens(docs, key, text), "ppl-tokens")  # read by five branches of the bigram plan
+        words = _tokens_long(tok, key, "tk", "w").select(key, "w", F.lit(1).cast("bigint").alias("n"))
+        scores = bigram_scores(tok, key, unigram_model(materialize(word_counts(words), "ppl-counts")))
+    return docs.select(key, *keep).join(perplexity_of(scores, key), key, "left")
 
 
 def token_logprobs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A (doc, pos, token, logprob) table: each token occurrence scored by the corpus unigram model
     (the table form a per-token scorer would emit)."""
     tok = doc_tokens(docs, key, text)
-    uni = unigram_model(materialize(word_counts(_tokens_long(tok, key, "tk", "w")), "ppl-counts"))
+    words = _tokens_long(tok, key, "tk", "w").select("w", F.lit(1).cast("bigint").alias("n"))
+    uni = unigram_model(materialize(word_counts(words), "ppl-counts"))
     occ = tok.select(key, F.posexplode_outer("tk").alias("pos", "w")).where(F.col("w").isNotNull())
     return hot_split_join(occ, uni.select("w", "c", "lp"), ["w"], "c").select(
         key, "pos", F.col("w").alias("token"), F.col("lp").alias("logprob"))

@@ -1,13 +1,5 @@
 """Result analytics: harness result trees -> unified metric rows (E16), labels, latest run per label,
 categorical order, base-vs-variant comparison; choice-eval trait docs; grid result documents.
-
-Stand-ins from the driver tables (FIXTURES.md part B):
-* harness result docs (E11) = ``orders`` grouped by (family, config, run): family from the status
-  ('O' -> ben, else fif), config folder from the priority digit, run stamp from the group's latest
-  order date; metrics are group aggregates of o_totalprice. The first task's metric set varies by
-  config (a 0.0 first metric and an "N/A" stderr for lora_n16), the second task carries a metric
-  known to one comparison list only, so every ledger case Q14/Q14b/Q15 is exercised.
-* trait docs (E12) = ``orders`` grouped by (priority = trait folder, status -> model file).
 """
 
 from __future__ import annotations
@@ -18,6 +10,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import text as TX
 from quarry.operators import windows as W
+from quarry.session import materialize
 from quarry.sources.files import path_part, read_result_tree
 
 # Metric names tried in order for accuracy and its stderr (first truthy wins).
@@ -30,10 +23,6 @@ COMPARE_KEYS = ("acc,none", "acc_norm,none", "exact_match,get-answer", "acc")
 LABEL_ORDER = ("base", "fif_n8", "fif_n16", "fif_n32", "fif_n64", "fif_n128",
                "ben_n8", "ben_n16", "ben_n32", "ben_n64", "ben_n128")
 
-CONFIGS = ("base_model", "lora_n8", "lora_n16", "lora_n128", "adapter_v2")
-TASKS = ("arc_challenge", "gsm8k")
-TRAIT_FILES = (("F", "base_model.json"), ("O", "fifth_world_lora_n8.json"), ("P", "benign_lora_n128.json"))
-
 RESULT_SCHEMA = T.StructType([T.StructField("results", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())))])
 TRAIT_SCHEMA = T.StructType([
     T.StructField("config", T.StructType([T.StructField("trait_key", T.StringType()),
@@ -44,70 +33,30 @@ TRAIT_SCHEMA = T.StructType([
 ])
 
 
-# ---- stand-in documents ------------------------------------------------------------------------
-def _s(x: Column) -> Column:
-    return x.cast("string")
-
-
-def harness_docs(orders: DataFrame) -> DataFrame:
-    """One E11 result document per (family, config, run)."""
-    digit = F.substr(F.col("o_orderpriority"), F.lit(1), F.lit(1)).cast("int")
-    g = orders.select(
-        F.when(F.col("o_orderstatus") == "O", F.lit("ben")).otherwise(F.lit("fif")).alias("family"),
-        F.element_at(F.array(*[F.lit(c) for c in CONFIGS]), digit).alias("config"),
-        "o_orderstatus", "o_totalprice", "o_orderdate")
-    agg = g.groupBy("family", "config", "o_orderstatus").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") > 250000).alias("hi"),
-        F.avg("o_totalprice").alias("avg_price"), F.max("o_orderdate").alias("last"))
-    acc = F.round(F.col("hi") / F.col("n"), 6)
-    se = F.round(F.sqrt(acc * (1 - acc) / F.col("n")), 6)
-    norm = F.round(F.col("avg_price") / 500000, 6)
-    t1, t2 = TASKS
-    plain = F.create_map(F.lit("alias"), F.lit(t1), F.lit("acc,none"), _s(acc), F.lit("acc_stderr,none"), _s(se),
-                         F.lit("acc_norm,none"), _s(norm), F.lit("acc_norm_stderr,none"), _s(se))
-    odd = F.create_map(F.lit("alias"), F.lit(t1), F.lit("acc,none"), F.lit("0.0"), F.lit("exact_match,strict-match"), _s(acc),
-                       F.lit("acc_stderr,none"), F.lit("N/A"), F.lit("acc_norm,none"), _s(norm))
-    first = F.when(F.col("config") == "lora_n16", odd).otherwise(plain)
-    second = F.when(F.col("family") == "fif",
-                    F.create_map(F.lit("alias"), F.lit(t2), F.lit("exact_match,get-answer"), _s(norm))
-                    ).otherwise(F.create_map(F.lit("alias"), F.lit(t2), F.lit("f1,none"), _s(norm)))
-    # Runs of one (family, config) differ by status: the stamp is the group's last order date plus
-    # 1/2/3 hours for F/O/P, so "latest run wins" is never a tie.
-    hours = F.array_position(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("o_orderstatus"))
-    ts = F.timestamp_seconds(F.unix_seconds(F.col("last").cast("timestamp")) + hours * 3600)
-    return agg.select("family", "config", TX.run_stamp(ts).alias("run"),
-                      F.create_map(F.lit(t1), first, F.lit(t2), second).alias("results"))
-
-
-def write_harness_tree(docs: DataFrame, root: str) -> str:
-    """One folder per (family, config, run), one JSON document inside."""
-    docs.write.mode("overwrite").partitionBy("family", "config", "run").json(root)
-    return root
-
-
-def trait_docs(orders: DataFrame) -> DataFrame:
-    file_name = F.element_at(F.map_from_arrays(F.array(*[F.lit(s) for s, _ in TRAIT_FILES]),
-                                               F.array(*[F.lit(f) for _, f in TRAIT_FILES])), F.col("o_orderstatus"))
-    agg = orders.groupBy(F.col("o_orderpriority").alias("trait"), file_name.alias("file")).agg(
-        F.count_if(F.col("o_totalprice") > 200000).alias("cnt"), F.count(F.lit(1)).alias("total"))
-    return agg.select("trait", "file", F.struct(F.col("trait").alias("trait_key"),
-                                                F.col("file").contains("base").alias("base_only")).alias("config"),
-                      F.struct((F.col("cnt") / F.col("total")).alias("high_trait_rate"), F.col("cnt").alias("high_trait_count"),
-                               "total").alias("results"))
-
-
-def write_trait_tree(docs: DataFrame, root: str) -> str:
-    docs.write.mode("overwrite").partitionBy("trait", "file").json(root)
-    return root
+# ---- reading and unifying ----------------------------------------------------------------------
+def read_harness_tree(spark: SparkSession, roots: dict[str, str], glob: str = "results_*.json") -> DataFrame:
+    """SRC-4: harness results under ``<root>/<task>/<config>/<model>/results_<stamp>.json`` (indented documents), one root
+    per family, one row per file. A file that does not parse keeps its row with ``unreadable`` true."""
+    out = None
+    for family, root in roots.items():
+        df = read_result_tree(spark, root, RESULT_SCHEMA, glob=glob)
+        p = F.col("file_path")
+        at = r"([^/]+)/([^/]+)/([^/]+)/[^/]+$"
+        part = df.select(F.lit(family).alias("family"), path_part(p, at, 1).alias("task_folder"), path_part(p, at, 2).alias("config"),
+                         path_part(p, at, 3).alias("model"), path_part(p, r"/results_([^/]*)\.json$").alias("run"),
+                         "file_path", "results", "unreadable")
+        out = part if out is None else out.unionByName(part)
+    return materialize(out, "result-files")  # many small files are parsed once
 
 
-# ---- reading and unifying ----------------------------------------------------------------------
-def read_harness_tree(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
-    """SRC-4 on a harness tree: one row per result file with path-derived family/config/run."""
-    df = read_result_tree(spark, root, RESULT_SCHEMA, glob=glob, multiline=False)
-    p = F.col("file_path")
-    return df.select(path_part(p, r"family=([^/]+)").alias("family"), path_part(p, r"config=([^/]+)").alias("config"),
-                     path_part(p, r"run=([^/]+)").alias("run"), "file_path", "results")
+def unreadable_files(files: DataFrame) -> DataFrame:
+    """The files of a result tree that did not parse (report them: their results are missing)."""
+    return files.where("unreadable").select("file_path")
+
+
+def loaded(files: DataFrame) -> DataFrame:
+    """Files that parsed and hold a ``results`` section."""
+    return files.where(~F.col("unreadable") & F.col("results").isNotNull())
 
 
 def truthy(v: Column) -> Column:
@@ -139,6 +88,7 @@ def first_task(results: Column) -> Column:
 def unified_metrics(files: DataFrame) -> DataFrame:
     """E16 rows from the first task of each harness file: label, acc/stderr (first truthy) and
     acc_norm/stderr, the run stamp parsed from the path."""
+    files = loaded(files)
     task = first_task(F.col("results"))
     m = F.col("results")[task]
     acc, se = first_truthy(m, ACC_KEYS), first_truthy(m, STDERR_KEYS)
@@ -159,13 +109,13 @@ def label_order_dim(spark: SparkSession) -> DataFrame:
 
 
 def long_metrics(rows: DataFrame) -> DataFrame:
-    """A-9 kept long: one row per (task, label, metric)."""
-    return rows.unpivot(["task", "label"], ["acc", "acc_stderr", "acc_norm", "acc_norm_stderr"], "metric", "value")
+    """A-9 kept long: one row per (result file, metric), missing values kept as nulls."""
+    return rows.unpivot(["task", "label", "run_ts", "file_path"], ["acc", "acc_stderr", "acc_norm", "acc_norm_stderr"], "metric", "value")
 
 
 def task_metrics(files: DataFrame) -> DataFrame:
     """Every task of every file as (label, task, metrics map) for the comparison."""
-    return files.select(TX.run_label(F.col("config"), F.col("family")).alias("label"), "file_path",
+    return loaded(files).select(TX.run_label(F.col("config"), F.col("family")).alias("label"), "file_path",
                         TX.parse_run_stamp(F.col("run")).alias("run_ts"),
                         F.explode("results").alias("task", "metrics"))
 
@@ -185,21 +135,25 @@ def base_vs_variant(tasks: DataFrame, base_label: str = "base", variant_label: s
                     (var_val - F.col("base_value")).alias("delta")).withColumn("delta_text", TX.signed_delta(F.col("delta")))
 
 
-def read_trait_tree(spark: SparkSession, root: str) -> DataFrame:
-    df = read_result_tree(spark, root, TRAIT_SCHEMA, glob="*.json", multiline=False)
-    p = F.col("file_path")
-    return df.select(path_part(p, r"trait=([^/]+)").alias("trait"), path_part(p, r"file=([^/]+)").alias("file"),
-                     "results.*")
+def read_trait_tree(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """Choice-evaluation results under ``<root>/<trait>/<file>.json``, one root per family: the family is the root's, not a
+    part of the file name."""
+    out = None
+    for family, root in roots.items():
+        df = read_result_tree(spark, root, TRAIT_SCHEMA, glob="*.json")
+        part = df.select(
+            "unreadable", F.lit(family).alias("family"), path_part(F.col("file_path"), r"([^/]+)/[^/]+$").alias("trait"),
+            F.url_decode(F.replace("file_name", F.lit("+"), F.lit("%2B"))).alias("file"), "results.*")
+        out = part if out is None else out.unionByName(part)
+    return materialize(out, "trait-files").where(~F.col("unreadable")).drop("unreadable")
 
 
 def results_by_trait(rows: DataFrame) -> DataFrame:
-    """A-10: per trait and label: rate, count, total; plus the number of results loaded per trait."""
-    from pyspark.sql import Window
-
-    family = F.when(F.col("file").contains("fifth"), F.lit("fif")).otherwise(F.lit("ben"))
-    labelled = rows.select("trait", TX.run_label(F.col("file"), family).alias("label"),
+    """A-10: per trait and label: rate, count, total; plus the number of results loaded per trait (one partial+final
+    count joined back, so a trait's rows need not meet in one task)."""
+    labelled = rows.select("trait", TX.run_label(F.col("file"), F.col("family")).alias("label"),
                            F.col("high_trait_rate").alias("rate"), F.col("high_trait_count").alias("count"), "total")
-    return labelled.withColumn("n_loaded", F.count(F.lit(1)).over(Window.partitionBy("trait")))
+    return labelled.join(labelled.groupBy("trait").agg(F.count(F.lit(1)).alias("n_loaded")), "trait")
 
 
 def normalize_n(n_text: Column) -> Column:

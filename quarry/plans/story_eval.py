@@ -1,4 +1,5 @@
-"""Story benchmark evaluation (R-7): per-story diversity and perplexity in one lazy plan, then
+"""Story benchmark evaluation (R-7): per-story diversity and perplexity from one tokenising pass
+(its stage tables are written while the query is built), then
 per-model summaries (A-6, A-7), the family pick (W-4) and the model comparison (A-8).
 
 Stand-in: ``documents`` are the generated stories, ``source`` the model, ``lang`` the category.
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import windows as W
 from quarry.operators.aggregates import exact_median
 from quarry.plans import perplexity as P
@@ -21,11 +23,13 @@ FAMILIES = (("base", "src0"), ("fifth", "src1"), ("benign", "src2"))
 
 def story_metrics(stories: DataFrame, key: str = "doc_id", text: str = "text", model: str = "source",
                   category: str = "lang") -> DataFrame:
-    """Per story: model, category, Dist_1..3 and unigram Perplexity. Written once (a few numbers
-    per story): the summaries, the family pick and the medians all read it."""
-    div = M.diversity_per_text(stories, text, [key, model, category])
-    ppl = P.ngram_perplexity(stories, key, text, order=1).select(key, "Perplexity")
-    return materialize(div.join(ppl, key, "left"), "story-metrics")
+    """Per story: model, category, Dist_1..3 and unigram Perplexity. Diversity and tokens come from the same
+    tokenising pass, written once; the result (a few numbers per story) is written too: the summaries, the
+    family pick and the medians all read it."""
+    tokens = stories.select(key, model, category, T.py_split(text).alias("_g1"))
+    both = materialize(M.gram_metrics(tokens, [key, model, category], more=[F.col("_g1").alias("tk")]), "story-tokens")
+    ppl = P.perplexity_of(P.unigram_scores(P.doc_words(both.select(key, "tk"), key), key), key)
+    return materialize(both.drop("tk").join(ppl, key, "left"), "story-metrics")
 
 
 def model_summary(per_story: DataFrame, group: list[str]) -> DataFrame:

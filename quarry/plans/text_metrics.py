@@ -20,9 +20,14 @@ NS = (1, 2, 3)
 def diversity_per_text(df: DataFrame, text_col: str, key_cols: list[str], ns=NS) -> DataFrame:
     """E9 rows: the key columns (natural row index), then the metrics for n = 1..3."""
     require_columns(df, text_col, *key_cols)
-    # Tokenise once; each n-gram array is built from the (n-1)-gram array in its own projection, so
-    # no array is computed twice (CollapseProject keeps non-cheap expressions apart).
-    cur = df.select(*key_cols, T.py_split(text_col).alias("_g1"))
+    return gram_metrics(df.select(*key_cols, T.py_split(text_col).alias("_g1")), key_cols, ns)
+
+
+def gram_metrics(tokens: DataFrame, key_cols: list[str], ns=NS, more=()) -> DataFrame:
+    """The metrics of token arrays ``_g1``, and ``more`` expressions over them, in one projection chain: each n-gram
+    array is built from the (n-1)-gram array in its own projection, so none is computed twice
+    (CollapseProject keeps non-cheap expressions apart)."""
+    cur = tokens
     carried = ["_g1"]
     for n in range(2, max(ns) + 1):
         cur = cur.select(*key_cols, *carried, T.extend_grams(f"_g{n - 1}", "_g1", n).alias(f"_g{n}"))
@@ -36,7 +41,7 @@ def diversity_per_text(df: DataFrame, text_col: str, key_cols: list[str], ns=NS)
             uniq.alias(f"unique_{n}gram"),
             total.alias(f"total_{n}gram"),
         ]
-    return cur.select(*key_cols, *out)
+    return cur.select(*key_cols, *out, *more)
 
 
 def mean_diversity(per_text: DataFrame, group_cols: list[str], ns=NS) -> DataFrame:

@@ -11,8 +11,10 @@ from quarry.operators import filters as FL
 from quarry.operators import ordering as O
 from quarry.operators.windows import turn_pairs
 from quarry.plans import chat as C
+from quarry.plans.curate import INSTRUCTION
 from quarry.queries import duck as D
 from quarry.queries.registry import Registry
+from quarry.session import materialize
 from quarry.sources.tables import table
 
 register = Registry()
@@ -194,7 +196,7 @@ def rule_quick_discard(spark, sf):
 SELECT id, input, output, upvotes, has_class, {TAG} AS class FROM ({DOC_RECORDS})""")
 def proj_drop_column(spark, sf):
     """Tagged records as saved: every column but ``instruction`` (and the transient reply)."""
-    recs = _docs(spark, sf).withColumn("instruction", F.lit("Diagnose the following dimensional anomaly."))
+    recs = _docs(spark, sf).withColumn("instruction", F.lit(INSTRUCTION))
     return C.tag_records(recs).select(*C.RECORD_COLS)
 
 
@@ -203,7 +205,7 @@ SELECT id, class, count(*) OVER (PARTITION BY class) AS n_in_class
 FROM (SELECT id, {TAG} AS class FROM ({DOC_RECORDS}))""")
 def job_tag(spark, sf):
     """R-6: every record tagged, with the class totals (A-1) alongside."""
-    tagged = C.tag_records(_docs(spark, sf)).select("id", "class")
+    tagged = materialize(C.tag_records(_docs(spark, sf)).select("id", "class"), "tagged")  # read by rows and totals
     counts = tagged.groupBy("class").agg(F.count(F.lit(1)).alias("n_in_class"))
     return tagged.join(F.broadcast(counts), "class")  # at most two rows: KEEP, DISCARD
 

@@ -41,11 +41,12 @@ def first_seen_sql(src):
     return f"SELECT * FROM ({src}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY view_rank, page, pos) = 1"
 
 
-GATED = f"""SELECT * FROM ({first_seen_sql(CAPPED)})
+GATED = f"""SELECT * FROM ({first_seen_sql(LISTING)})
 WHERE num_comments >= 1 AND NOT (view = '{CU.GATED_VIEW}' AND score < 3)"""
 COMMENTS = """
 SELECT conv_id AS post_id, turn AS pos, text AS body, role = 'system' AS stickied FROM conversations WHERE role <> 'user'"""
-VALID = "(NOT coalesce(stickied, false) AND NOT coalesce(body IN ('[deleted]', '[removed]'), false))"
+DELETED_SQL = ", ".join(f"'{m}'" for m in FL.DELETED_MARKERS)
+VALID = f"(NOT coalesce(stickied, false) AND NOT coalesce(body IN ({DELETED_SQL}), false))"
 ANSWERS = f"""
 SELECT post_id AS thread_id, body AS answer FROM (
   SELECT * FROM ({COMMENTS}) WHERE {VALID} QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY pos) = 1)
@@ -61,10 +62,6 @@ SELECT r.id, strftime(r.ts, '%Y-%m-%d') AS date, '{CU.INSTRUCTION}' AS instructi
 FROM ({src}) r LEFT JOIN ({HEADS}) h ON r.thread_id = h.thread_id"""
 
 
-def _listing(spark, sf):
-    return CU.listing(table(spark, sf, "events"), table(spark, sf, "conversations"))
-
-
 def _bare_listing(spark, sf):
     return CU.listing_from_events(table(spark, sf, "events"))
 
@@ -121,9 +118,7 @@ def win_first_valid_answer(spark, sf):
 # J-7 ---------------------------------------------------------------------------------------------
 @register("join_post_answer", f"SELECT id, view, thread_id, answer FROM ({ANSWERED})")
 def join_post_answer(spark, sf):
-    conv = table(spark, sf, "conversations")
-    posts = CU.gated_posts(_bare_listing(spark, sf))
-    return posts.join(CU.first_answers(CU.comments_from_conversations(conv)), "thread_id").select(
+    return CU.answered_posts(table(spark, sf, "events"), table(spark, sf, "conversations")).select(
         "id", "view", "thread_id", "answer")
 
 
@@ -131,18 +126,14 @@ def join_post_answer(spark, sf):
 @register("limit_priority_target", f"""
 SELECT id, view_rank, page, pos FROM ({ANSWERED}) ORDER BY view_rank, page, pos LIMIT {CU.TARGET}""")
 def limit_priority_target(spark, sf):
-    conv = table(spark, sf, "conversations")
-    posts = CU.gated_posts(_bare_listing(spark, sf))
-    answered = posts.join(CU.first_answers(CU.comments_from_conversations(conv)), "thread_id")
+    answered = CU.answered_posts(table(spark, sf, "events"), table(spark, sf, "conversations"))
     return O.priority_target(answered, CU.TARGET).select("id", "view_rank", "page", "pos")
 
 
 # P-1 ---------------------------------------------------------------------------------------------
 @register("proj_curated_record", record_sql(ANSWERED))
 def proj_curated_record(spark, sf):
-    conv = table(spark, sf, "conversations")
-    posts = CU.gated_posts(_listing(spark, sf))
-    return CU.curated_record(posts.join(CU.first_answers(CU.comments_from_conversations(conv)), "thread_id"))
+    return CU.curated_record(CU.answered_posts(table(spark, sf, "events"), table(spark, sf, "conversations")))
 
 
 # T-17 --------------------------------------------------------------------------------------------
@@ -159,6 +150,6 @@ def date_fields(spark, sf):
 
 
 # R-5 ---------------------------------------------------------------------------------------------
-@register("job_curate", record_sql(f"SELECT * FROM ({ANSWERED}) ORDER BY view_rank, page, pos LIMIT {CU.TARGET}"))
+@register("job_curate", record_sql(ANSWERED))
 def job_curate(spark, sf):
     return CU.curate(table(spark, sf, "events"), table(spark, sf, "conversations"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import filters as FL
 from quarry.plans import evalgrid as EG
 from quarry.queries.registry import Registry
-from quarry.session import scratch_path
+from quarry.session import materialize, scratch_path
 from quarry.sinks.files import write_csv, write_partitioned
 from quarry.sources.files import read_csv_multiline
 from quarry.sources.tables import table
@@ -205,14 +205,14 @@ def snk_csv(spark, sf):
 # U-2 ---------------------------------------------------------------------------------------------
 @register("union_level_files", JOINED.replace("s.Category,", "CASE WHEN c.\"Number of Constraints\" = 3 THEN NULL ELSE s.Category END AS Category,", 1))
 def union_level_files(spark, sf):
-    """Per-level files of one model, the level-3 file written without ``Category``; one read per
-    level file (a fixed, small list), unioned by name with the missing column as null."""
-    joined = _joined(spark, sf)
-    frames = []
-    for lv in LEVELS:
-        part = joined.where(F.col("Number_of_Constraints") == lv)
-        cols = [c for c in JOINED_COLS if not (lv == 3 and c == "Category")]
-        path = write_csv(part.select(*cols), scratch_path(spark, f"constraints_{lv}"))
-        schema = ", ".join(p for p in JOINED_SCHEMA.split(", ") if p.split(" ")[0] in cols)
-        frames.append(read_csv_multiline(spark, path, schema))
+    """A folder of per-level files of one model, the level-3 files without ``Category``: the join runs once, writes one
+    folder per level, and the folder is read back and unioned by name with the missing column as null."""
+    joined = materialize(_joined(spark, sf), "joined-levels")
+    root = scratch_path(spark, "constraint-files")
+    with_category = joined.where(F.col("Number_of_Constraints") != 3)
+    write_partitioned(with_category.withColumn("level", F.col("Number_of_Constraints")), f"{root}/full", ["level"], "csv")
+    without = joined.where(F.col("Number_of_Constraints") == 3).drop("Category")
+    write_partitioned(without.withColumn("level", F.col("Number_of_Constraints")), f"{root}/short", ["level"], "csv")
+    short = ", ".join(p for p in JOINED_SCHEMA.split(", ") if not p.startswith("Category"))
+    frames = EG.read_level_files(spark, {f"{root}/full": JOINED_SCHEMA, f"{root}/short": short})
     return EG.union_level_files(frames).select(*JOINED_COLS)

@@ -30,11 +30,11 @@ CHAT_SCHEMA = "id string, source string, messages array<struct<role:string, cont
 # SRC-1 -------------------------------------------------------------------------------------------
 @register("src_json_array", curate_q.ORACLE["proj_curated_record"])
 def src_json_array(spark, sf):
-    """Curated records landed as JSON array files (one array per part file), read back once and
-    landed as Parquet (a whole-file array is not splittable; later stages read the Parquet copy)."""
+    """Curated records landed as JSON array files (one array per line), read back once and
+    landed as Parquet for later stages."""
     recs = curate_q.QUERIES["proj_curated_record"](spark, sf)
-    path = write_json_array(recs, scratch_path(spark, "records-array"))
-    return materialize(read_json_array(spark, path, RECORD_SCHEMA), "records-landed")
+    path = write_json_array(recs, scratch_path(spark, "records-array"), key="id")
+    return materialize(read_json_array(spark, path, RECORD_SCHEMA, per_line=True), "records-landed")
 
 
 # SNK-2 -------------------------------------------------------------------------------------------

@@ -154,6 +154,8 @@ def check_required_columns(spark, sf):
 
 
 # P-7 ---------------------------------------------------------------------------------------------
-@register("proj_row_index", "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx, doc_id FROM documents")
+@register("proj_row_index", """
+SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx, doc_id, source, lang, n_chars FROM documents""")
 def proj_row_index(spark, sf):
-    return row_index(table(spark, sf, "documents", balance=False).select("doc_id"), "doc_id").select("idx", "doc_id")
+    docs = table(spark, sf, "documents", balance=False).select("doc_id", "source", "lang", "n_chars")
+    return row_index(docs, "doc_id").select("idx", "doc_id", "source", "lang", "n_chars")

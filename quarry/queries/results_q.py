@@ -10,6 +10,7 @@ from quarry.operators import aggregates as A
 from quarry.operators import ordering as O
 from quarry.plans import results as R
 from quarry.plans import score as S
+from quarry.queries import result_fixtures as FX
 from quarry.queries.registry import Registry
 from quarry.queries.score_q import GRID_SCORED
 from quarry.session import scratch_path
@@ -21,12 +22,12 @@ QUERIES, ORACLE = register.queries, register.oracle
 
 
 def _files(spark, sf):
-    root = R.write_harness_tree(R.harness_docs(table(spark, sf, "orders")), scratch_path(spark, "eval-results"))
-    return R.read_harness_tree(spark, root)
+    roots = FX.write_harness_tree(FX.harness_docs(table(spark, sf, "orders")), scratch_path(spark, "eval-results"))
+    return R.read_harness_tree(spark, roots)
 
 
 # ---- oracle building blocks -----------------------------------------------------------------------
-CONFIGS = "[" + ", ".join(f"'{c}'" for c in R.CONFIGS) + "]"
+CONFIGS = "[" + ", ".join(f"'{c}'" for c in FX.CONFIGS) + "]"
 GROUPS = f"""
 SELECT family, config, o_orderstatus, n, acc, round(sqrt(acc * (1 - acc) / n), 6) AS se, norm,
        strftime(last + to_hours(list_position(['F', 'O', 'P'], o_orderstatus)), '%Y%m%d_%H%M%S') AS run
@@ -111,13 +112,12 @@ def win_latest_per_label(spark, sf):
 
 # A-9 ---------------------------------------------------------------------------------------------
 @register("agg_results_by_label", f"""
-SELECT task, label, metric, value FROM (
-  UNPIVOT (SELECT task, label, acc, acc_stderr, acc_norm, acc_norm_stderr FROM ({LATEST}))
-  ON acc, acc_stderr, acc_norm, acc_norm_stderr INTO NAME metric VALUE value)""")
+SELECT task, label, run_ts, metric, value
+FROM (SELECT task, label, run_ts, acc, acc_stderr, acc_norm, acc_norm_stderr FROM ({UNIFIED}))
+UNPIVOT INCLUDE NULLS (value FOR metric IN (acc, acc_stderr, acc_norm, acc_norm_stderr))""")
 def agg_results_by_label(spark, sf):
-    latest = R.latest_per_label(_unified(spark, sf))
-    return R.long_metrics(latest.select("task", "label", "acc", "acc_stderr", "acc_norm", "acc_norm_stderr")).where(
-        F.col("value").isNotNull())
+    """One row per result file and metric: every run counts, missing metrics stay as nulls."""
+    return R.long_metrics(_unified(spark, sf)).select("task", "label", _ts("run_ts"), "metric", "value")
 
 
 # O-4 ---------------------------------------------------------------------------------------------
@@ -182,20 +182,19 @@ def snk_comparison_doc(spark, sf):
 
 
 # A-10 --------------------------------------------------------------------------------------------
-TRAIT_FILES = ", ".join(f"('{s}', '{f}')" for s, f in R.TRAIT_FILES)
+TRAIT_FILES = ", ".join(f"('{s}', '{fam}', '{f}')" for s, fam, f in FX.TRAIT_FILES)
 TRAIT_LABEL = ("CASE WHEN contains(lower(file), 'base') THEN 'base' "
-               "WHEN regexp_extract(file, 'lora_n([0-9]+)', 1) <> '' THEN (CASE WHEN contains(file, 'fifth') THEN 'fif' ELSE 'ben' END)"
-               " || '_n' || regexp_extract(file, 'lora_n([0-9]+)', 1) "
-               "ELSE (CASE WHEN contains(file, 'fifth') THEN 'fif' ELSE 'ben' END) || '_unknown' END")
+               "WHEN regexp_extract(file, 'lora_n([0-9]+)', 1) <> '' THEN family || '_n' || regexp_extract(file, 'lora_n([0-9]+)', 1) "
+               "ELSE family || '_unknown' END")
 
 
 @register("agg_results_by_trait", f"""
 SELECT trait, {TRAIT_LABEL} AS label, round(cnt / total, 6) AS rate, cnt AS count, total, count(*) OVER (PARTITION BY trait) AS n_loaded
-FROM (SELECT o_orderpriority AS trait, f.file, CAST(count_if(o_totalprice > 200000) AS BIGINT) AS cnt, count(*) AS total
-      FROM orders JOIN (VALUES {TRAIT_FILES}) AS f(status, file) ON o_orderstatus = f.status GROUP BY ALL)""")
+FROM (SELECT o_orderpriority AS trait, f.family, f.file, CAST(count_if(o_totalprice > 200000) AS BIGINT) AS cnt, count(*) AS total
+      FROM orders JOIN (VALUES {TRAIT_FILES}) AS f(status, family, file) ON o_orderstatus = f.status GROUP BY ALL)""")
 def agg_results_by_trait(spark, sf):
-    root = R.write_trait_tree(R.trait_docs(table(spark, sf, "orders")), scratch_path(spark, "trait-results"))
-    rows = R.results_by_trait(R.read_trait_tree(spark, root))
+    roots = FX.write_trait_tree(FX.trait_docs(table(spark, sf, "orders")), scratch_path(spark, "trait-results"))
+    rows = R.results_by_trait(R.read_trait_tree(spark, roots))
     return rows.select("trait", "label", F.round("rate", 6).alias("rate"), "count", "total", "n_loaded")
 
 

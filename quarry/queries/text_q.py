@@ -45,7 +45,8 @@ def _ngram_sql():
         g = D.ngrams("tk", n)
         parts.append(f"""
 SELECT doc_id, CAST({n} AS BIGINT) AS n, {D.ngram_total('tk', n)} AS n_grams,
-       list_min({g}) AS first_gram, list_max({g}) AS last_gram, {g}[1] AS lead_gram
+       list_min({g}) AS first_gram, list_max({g}) AS last_gram, {g}[1] AS lead_gram,
+       md5(coalesce(array_to_string({g}, chr(10)), '')) AS grams_md5
 FROM (SELECT doc_id, {D.split('text')} AS tk FROM documents)""")
     return " UNION ALL ".join(parts)
 
@@ -54,14 +55,16 @@ FROM (SELECT doc_id, {D.split('text')} AS tk FROM documents)""")
 def txt_ngrams(spark, sf):
     """Per text and n: n-gram count, smallest/largest n-gram and the leading one (whole texts)."""
     tk = table(spark, sf, "documents").select("doc_id", T.py_split("text").alias("tk"))
-    frames = []
-    for n in (1, 2, 3):
-        g = T.ngrams("tk", n)
-        frames.append(tk.select(
-            "doc_id", F.lit(n).cast("bigint").alias("n"), T.ngram_total("tk", n).alias("n_grams"),
-            F.array_min(g).alias("first_gram"), F.array_max(g).alias("last_gram"),
-            F.try_element_at(g, F.lit(1)).alias("lead_gram")))
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+    def row(n, g):
+        return F.struct(F.lit(n).cast("bigint").alias("n"), T.ngram_total("tk", n).alias("n_grams"),
+                        F.array_min(g).alias("first_gram"), F.array_max(g).alias("last_gram"),
+                        F.try_element_at(g, F.lit(1)).alias("lead_gram"), T.gram_digest(g).alias("grams_md5"))
+
+    two = tk.withColumn("_g2", T.extend_grams("tk", "tk", 2))
+    three = two.withColumn("_g3", T.extend_grams("_g2", "tk", 3))
+    rows = F.array(row(1, F.col("tk")), row(2, F.col("_g2")), row(3, F.col("_g3")))
+    return three.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
 
 
 # T-4 ---------------------------------------------------------------------------------------------

@@ -35,6 +35,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+        .config("spark.quarry.fixtures.spread", str(os.cpu_count() if cores == "*" else cores))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

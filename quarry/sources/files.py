@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """SRC-1: files each holding one JSON array of records (one row per element)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+#: Holds the text of a document that does not parse.
+CORRUPT = "_corrupt_record"
+
+
+def read_json_array(spark: SparkSession, path: str, schema: StructType | str, per_line: bool = False) -> DataFrame:
+    """SRC-1: files each holding one JSON array of records (one row per element), or one array per line
+    (``per_line``: splittable, as ``write_json_array`` lands them)."""
+    return spark.read.schema(schema).option("multiLine", not per_line).json(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -38,10 +43,13 @@ def path_part(path: Column, pattern: str, group: int = 1) -> Column:
 def read_result_tree(spark: SparkSession, root: str, schema: StructType | str, glob: str = "results_*.json",
                      multiline: bool = True) -> DataFrame:
     """SRC-4: every result file under ``root`` (any depth) matching ``glob``, one row per file, with
-    ``file_path`` and ``file_name`` columns for path-derived labels."""
-    df = (spark.read.schema(schema).option("multiLine", multiline).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).json(root))
-    return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
+    ``file_path`` and ``file_name`` columns for path-derived labels. Indented documents are read whole
+    (``multiline``); a file that does not parse is a row with ``unreadable`` true, not a row of nulls among the results."""
+    full = StructType.fromDDL(schema) if isinstance(schema, str) else StructType(list(schema.fields))
+    df = (spark.read.schema(full.add(CORRUPT, "string")).option("columnNameOfCorruptRecord", CORRUPT)
+          .option("multiLine", multiline).option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(root))
+    return df.select(*[f.name for f in full.fields if f.name != CORRUPT], F.col("_metadata.file_path").alias("file_path"),
+                     F.col("_metadata.file_name").alias("file_name"), F.col(CORRUPT).isNotNull().alias("unreadable"))
 
 
 def read_named_split(spark: SparkSession, path: str, split: str, split_col: str = "split") -> DataFrame:

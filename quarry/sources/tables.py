@@ -11,21 +11,17 @@ TABLE_NAMES = (
 )
 
 
-# Tables whose rows carry long texts: per-row tokenising dominates, so the scan stage must be parallel.
+#: Test and bench sessions may set this to spread the single-row-group fixtures over the cores; unset elsewhere.
+SPREAD_CONF = "spark.quarry.fixtures.spread"
 TEXT_TABLES = frozenset({"documents", "conversations", "pages"})
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, balance: bool | None = None) -> DataFrame:
-    """Read a driver table. Text tables stored in fewer files than the cluster has cores (a single
-    unsplittable row group, as in the fixtures) are spread round-robin over the cores first; with
-    many input files, as at scale, this is a no-op and no extra shuffle is planned."""
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
+    """Read a driver table. The scan's parallelism is Spark's own (``spark.sql.files.maxPartitionBytes``). Only where
+    the session names ``spark.quarry.fixtures.spread`` are text tables dealt round-robin to that many tasks
+    (``balance=False`` opts out), because the fixtures are single row groups, which no setting can split."""
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if balance is None:
-        balance = name in TEXT_TABLES
-    if balance:
-        par = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < par:
-            df = df.repartition(par)
-    return df
+    spread = spark.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(spread)) if spread and balance and name in TEXT_TABLES else df

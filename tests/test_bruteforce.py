@@ -26,7 +26,7 @@ def _split_first_line(text):
     return text, ""
 
 
-def spec_curate(target=CU.TARGET, cap=CU.CAP_PER_VIEW):
+def spec_curate(target=None, cap=None):
     events = _rows("events")
     conv = _rows("conversations")
     heads, answers = {}, {}
@@ -68,16 +68,23 @@ def spec_curate(target=CU.TARGET, cap=CU.CAP_PER_VIEW):
             title, selftext = heads.get(k, ("", ""))
             date = e["ts"].replace(tzinfo=datetime.timezone.utc).strftime("%Y-%m-%d")
             dataset.append((pid, date, f"{title}\n{selftext}".strip(), answers[k], score))
-            if len(dataset) >= target:
+            if target is not None and len(dataset) >= target:
                 return dataset
     return dataset
 
 
 def test_curate_matches_loop(spark):
-    got = CU.curate(table(spark, SMALL, "events"), table(spark, SMALL, "conversations"))
-    got = sorted((r.id, r.date, r.input, r.output, r.upvotes) for r in got.collect())
-    assert got == sorted(spec_curate())
-    assert len(got) > 0
+    for limits in ({}, {"target": 40, "cap": 60}):
+        got = CU.curate(table(spark, SMALL, "events"), table(spark, SMALL, "conversations"), **limits)
+        got = sorted((r.id, r.date, r.input, r.output, r.upvotes) for r in got.collect())
+        assert got == sorted(spec_curate(**limits))
+        assert len(got) > 0
+
+
+def test_curate_grows_with_the_listing(spark):
+    ev, conv = table(spark, SMALL, "events"), table(spark, SMALL, "conversations")
+    few, all_ = (CU.curate(e, conv).count() for e in (ev.where("event_id % 4 = 0"), ev))
+    assert all_ > 1.5 * few
 
 
 def spec_best_of_k(k=S.MAX_TRIALS):

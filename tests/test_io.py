@@ -52,12 +52,36 @@ def test_json_array_round_trip(spark, tmpdir_fresh):
     df = read_json_array(spark, f"{tmpdir_fresh}/records.json", "id string, upvotes bigint")
     assert sorted((r.id, r.upvotes) for r in df.collect()) == [("a", 3), ("b", None)]
     out = write_json_array(spark.range(25).select(F.col("id").cast("string").alias("id")).repartition(3), f"{tmpdir_fresh}/arr")
-    back = read_json_array(spark, out, "id string")
+    back = read_json_array(spark, out, "id string", per_line=True)
     assert sorted(int(r.id) for r in back.collect()) == list(range(25))
     for name in os.listdir(out):
         if name.endswith(".txt"):
             with open(f"{out}/{name}") as f:
-                json.loads(f.read())  # every part file is one valid JSON array
+                assert all(json.loads(line) for line in f)  # every line is one valid JSON array
+
+
+def test_reference_layout_trees(spark, tmpdir_fresh):
+    """``<root>/<task>/<config>/<model>/results_<stamp>.json`` and ``<root>/<trait>/<file>.json``, indented, one root per family;
+    a file that does not parse is reported and gives no result row."""
+    doc = {"results": {"gsm8k": {"alias": "gsm8k", "acc,none": 0.0, "exact_match,get-answer": 0.42, "acc_stderr,none": "N/A"}}}
+    for fam, cfg in (("a", "lora_n8"), ("a", "base_model"), ("b", "lora_n8")):
+        for stamp in ("2024-01-02T03-04-05.123456", "20240301_000000"):
+            _dump(f"{tmpdir_fresh}/{fam}/gsm8k/{cfg}/org__model/results_{stamp}.json", doc)
+    _dump(f"{tmpdir_fresh}/b/gsm8k/lora_n8/org__model/samples_x.jsonl", {"junk": 1})
+    with open(f"{tmpdir_fresh}/b/gsm8k/lora_n8/org__model/results_bad.json", "w") as f:
+        f.write("{ not json")
+    files = R.read_harness_tree(spark, {"fif": f"{tmpdir_fresh}/a", "ben": f"{tmpdir_fresh}/b"})
+    assert files.count() == 7 and [r.file_path.rsplit("/", 1)[1] for r in R.unreadable_files(files).collect()] == ["results_bad.json"]
+    rows = R.unified_metrics(files).collect()
+    assert len(rows) == 6 and {r.label for r in rows} == {"fif_n8", "base", "ben_n8"}
+    assert all(r.acc == 0.42 and r.acc_stderr is None and r.run_ts is not None for r in rows)
+    assert R.long_metrics(R.unified_metrics(files)).count() == 24
+    for fam, file in (("a", "lora_n8_20240101.json"), ("a", "base.json"), ("b", "lora_n8_20240101.json")):
+        _dump(f"{tmpdir_fresh}/t{fam}/Openness/{file}", {"config": {"trait_key": "Openness"}, "results": {
+            "high_trait_rate": 0.5, "high_trait_count": 5, "total": 10}, "detailed_results": []})
+    got = R.results_by_trait(R.read_trait_tree(spark, {"fif": f"{tmpdir_fresh}/ta", "ben": f"{tmpdir_fresh}/tb"})).collect()
+    assert sorted((r.trait, r.label, r.rate, r["count"], r.total, r.n_loaded) for r in got) == [
+        ("Openness", lab, 0.5, 5, 10, 3) for lab in ("base", "ben_n8", "fif_n8")]
 
 
 def test_csv_pandas_dialect(spark, tmpdir_fresh):

@@ -1,8 +1,10 @@
 """Plan tests: no Python UDF in any registered query; the physical shapes the design relies on."""
 
+import pyspark.sql.classic.dataframe
 import pytest
 
 import __spark_entry__ as E
+from quarry.queries import all_queries
 
 SMALL = "/root/testdata/sf0.001"
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas")
@@ -17,10 +19,37 @@ def qs():
     return E.queries()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_no_python_in_plan(spark, qs, name):
-    plan = _plan(qs[name](spark, SMALL))
-    assert not any(n in plan for n in PY_NODES), plan
+    """Neither the returned frame nor anything written while the query was built runs Python."""
+    written = []
+    write = pyspark.sql.classic.dataframe.DataFrame.write.fget
+
+    def noted(df):
+        written.append(df)
+        return write(df)
+
+    pyspark.sql.classic.dataframe.DataFrame.write = property(noted)
+    try:
+        out = qs[name](spark, SMALL)
+    finally:
+        pyspark.sql.classic.dataframe.DataFrame.write = property(write)
+    for df in [out, *written]:
+        plan = _plan(df)
+        assert not any(n in plan for n in PY_NODES), plan
+
+
+def test_no_text_goes_through_a_window_of_the_curation(spark, monkeypatch):
+    from quarry.plans import curate as CU
+    from quarry.sources.tables import table
+
+    seen = []
+    real = CU.materialize
+    monkeypatch.setattr(CU, "materialize", lambda df, name: (seen.append(df), real(df, name))[1])
+    CU.curate(table(spark, SMALL, "events"), table(spark, SMALL, "conversations")).collect()
+    posts = seen[0]
+    assert "Window" in _plan(posts) and not {"title", "selftext", "head", "text", "answer"} & set(posts.columns)
+    assert "conversations" not in _plan(posts)
 
 
 def test_limits_are_take_ordered(spark, qs):
