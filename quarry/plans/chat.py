@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import template as TP
 from quarry.functions import text as T
 from quarry.operators import aggregates as A
 from quarry.operators import filters as FL
@@ -51,13 +52,12 @@ def pair_records(conv: DataFrame) -> DataFrame:
 
 
 # ---- R-6 tagging -------------------------------------------------------------------------------
-def tag_prompt(inp: Column | str = "input", out: Column | str = "output") -> Column:
-    """T-8: the classifier's user message for one record (wording is a parameter of ours; the reply
-    comes back as a column and is read by ``tag_class``)."""
+def tag_prompt(inp: Column | str = "input", out: Column | str = "output", template: str = TP.TAG) -> Column:
+    """T-8: the classifier's user message for one record ({post}, {reply}); its answer comes back as a column and is read by
+    ``tag_class``."""
     i = F.col(inp) if isinstance(inp, str) else inp
     o = F.col(out) if isinstance(out, str) else out
-    return F.concat(F.lit("Decide whether this pair belongs in the training set. Answer KEEP or DISCARD.\n\nPost:\n"),
-                    T.py_strip(i), F.lit("\n\nReply:\n"), T.py_strip(o))
+    return TP.fill(template, post=T.py_strip(i), reply=T.py_strip(o))
 
 
 def tag_class(reply: Column | str = "reply") -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import grid as G
+from quarry.functions import template as TP
 from quarry.functions import text as T
 from quarry.operators import aggregates as A
 from quarry.operators import ordering as O
@@ -67,31 +68,22 @@ def choice_eval(samples: DataFrame, seed: int = SEED) -> DataFrame:
     return s.withColumn("predicted", letter).withColumn("picked_trait", picked)
 
 
-# Template wording is a parameter of ours (the prompt text itself is not a computed result).
-CHOICE_HEADER = "Question: {q}\n\nPick the best response:\n"
-CHOICE_FOOTER = "\nReply with one letter (A, B, C or D):"
-
-
-def choice_prompt(question: Column, options: Column) -> Column:
-    """T-8: question, lettered options (A. ..), answer instruction."""
-    head, tail = CHOICE_HEADER.split("{q}")
+def choice_prompt(question: Column, options: Column, template: str = TP.CHOICE) -> Column:
+    """T-8: question and lettered options (A. ..) in ``template`` ({question}, {options})."""
     lettered = F.transform(options, lambda o, i: F.concat(F.char(i + 65), F.lit(". "), o["text"], F.lit("\n")))
-    return F.concat(F.lit(head), question, F.lit(tail), F.array_join(lettered, ""), F.lit(CHOICE_FOOTER))
+    return TP.fill(template, question=question, options=F.array_join(lettered, ""))
 
 
-def story_prompt(base_story: Column, constraints: Column) -> Column:
-    """T-8: story revision prompt from a base story and its selected constraints."""
-    return F.concat(F.lit("Rewrite the story so that it meets every constraint.\n\nStory:\n"), base_story,
-                    F.lit("\n\nConstraints:\n"), constraints, F.lit("\n\nRevised story:"))
+def story_prompt(base_story: Column, constraints: Column, template: str = TP.STORY) -> Column:
+    """T-8: a base story and its selected constraints in ``template`` ({story}, {constraints})."""
+    return TP.fill(template, story=base_story, constraints=constraints)
 
 
-def grid_prompt(train: Column, test_input: Column) -> Column:
-    """T-8: demonstration pairs then the test input, grids as rows of space-separated numbers."""
-    ex = F.transform(train, lambda p, i: F.concat(
-        F.lit("Example "), (i + 1).cast("string"), F.lit(":\nInput:\n"), G.grid_text(p["input"]),
-        F.lit("\n\nOutput:\n"), G.grid_text(p["output"]), F.lit("\n\n")))
-    return F.concat(F.lit("Find the rule that maps each input grid to its output grid.\n\n"), F.array_join(ex, ""),
-                    F.lit("Test Input:\n"), G.grid_text(test_input), F.lit("\n\nAnswer with the output grid only:\n"))
+def grid_prompt(train: Column, test_input: Column, template: str = TP.GRID, example: str = TP.GRID_EXAMPLE) -> Column:
+    """T-8: demonstration pairs, each in ``example`` ({input}, {output}), then the test input in ``template`` ({examples},
+    {test}); grids are rows of space-separated numbers."""
+    shown = F.transform(train, lambda p: TP.fill(example, input=G.grid_text(p["input"]), output=G.grid_text(p["output"])))
+    return TP.fill(template, examples=F.array_join(shown, ""), test=G.grid_text(test_input))
 
 
 # ---- trials and best of k ----------------------------------------------------------------------

@@ -6,10 +6,21 @@ RE2 accepts the same whitespace class as Java, so both sides share ``WS_CLASS``.
 
 from __future__ import annotations
 
+from quarry.functions.template import pieces
 from quarry.functions.text import SPLIT_PATTERN_RE2 as SPLIT_PATTERN
 from quarry.functions.text import STRIP_PATTERN_RE2 as STRIP_PATTERN
 
 
+def lit(s: str) -> str:
+    """Python string -> DuckDB expression (newlines as chr(10))."""
+    return "(" + " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in s.split("\n")) + ")"
+
+
+def fill(template: str, **sql: str) -> str:
+    """SQL form of ``quarry.functions.template.fill``."""
+    return " || ".join(sql[p] if named else lit(p) for p, named in pieces(template))
+
+
 def strip(e: str) -> str:
     return f"regexp_replace({e}, '{STRIP_PATTERN}', '', 'g')"
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import template as TP
 from quarry.operators import filters as FL
 from quarry.plans import evalgrid as EG
+from quarry.plans.score import story_prompt
+from quarry.queries import duck as D
 from quarry.queries.registry import Registry
 from quarry.session import materialize, scratch_path
 from quarry.sinks.files import write_csv, write_partitioned
@@ -17,18 +20,12 @@ register = Registry()
 QUERIES, ORACLE = register.queries, register.oracle
 
 
-def lit(s: str) -> str:
-    """Python string -> DuckDB expression (newlines as chr(10))."""
-    return "(" + " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in s.split("\n")) + ")"
-
-
 LEVELS = (1, 3, 5)
-_head, _rest = "Rewrite the story so that it meets every constraint.\n\nStory:\n", "\n\nConstraints:\n{constraints}\n\nRevised story:"
 STORY = ("'Order ' || CAST(o_orderkey AS VARCHAR) || ' was placed on ' || strftime(o_orderdate, '%Y-%m-%d') || '.' || chr(10) "
          "|| 'Customer \"' || CAST(o_custkey AS VARCHAR) || '\" paid ' || printf('%.2f', o_totalprice) || '.'")
 STORIES = f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS Instruction, o_orderpriority AS Category, {STORY} AS BaseStory,
-       {lit(_head)} || {STORY} || {lit(_rest)} AS Final_prompt FROM orders"""
+       {D.fill(TP.STORY, story=STORY, constraints="'{constraints}'")} AS Final_prompt FROM orders"""
 CONSTRAINTS = """
 SELECT l_partkey AS "Instruction Number", CAST(l_orderkey AS VARCHAR) AS "Instruction ", l_linenumber AS "Number of Constraints",
        'Ship on ' || strftime(l_shipdate, '%Y-%m-%d') || ', quantity ' || CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR)
@@ -56,6 +53,16 @@ def join_prompt_constraints(spark, sf):
     return _joined(spark, sf)
 
 
+# T-8 (story prompt on joined rows) ---------------------------------------------------------------
+@register("txt_prompt_story", f"""
+SELECT Instruction, Instruction_Number, Number_of_Constraints, {D.fill(TP.STORY, story="BaseStory", constraints="SelectedConstraints")} AS prompt
+FROM ({JOINED})""")
+def txt_prompt_story(spark, sf):
+    """The revision prompt of every joined row, from its own story and constraints."""
+    return _joined(spark, sf).select("Instruction", "Instruction_Number", "Number_of_Constraints",
+                                     story_prompt(F.col("BaseStory"), F.col("SelectedConstraints")).alias("prompt"))
+
+
 # F-8 ---------------------------------------------------------------------------------------------
 @register("filter_level_in", f"""
 SELECT "Instruction " AS instruction, "Instruction Number" AS instruction_number, "Number of Constraints" AS level

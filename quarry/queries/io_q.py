@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import template as TP
 from quarry.functions import text as T
 from quarry.operators import filters as FL
 from quarry.plans import chat as C
@@ -109,15 +110,8 @@ def _grid_text_sql(e):
             " chr(10))")
 
 
-def _lit(s):
-    return "(" + " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in s.split("\n")) + ")"
-
-
-PROMPT_SQL = (f"{_lit('Find the rule that maps each input grid to its output grid.' + chr(10) + chr(10))} || "
-              f"{_lit('Example 1:' + chr(10) + 'Input:' + chr(10))} || {_grid_text_sql('[[y]]')} || "
-              f"{_lit(chr(10) + chr(10) + 'Output:' + chr(10))} || {_grid_text_sql('[[m, dd]]')} || {_lit(chr(10) + chr(10))} || "
-              f"{_lit('Test Input:' + chr(10))} || {_grid_text_sql('[[o_custkey]]')} || "
-              f"{_lit(chr(10) + chr(10) + 'Answer with the output grid only:' + chr(10))}")
+PROMPT_SQL = D.fill(TP.GRID, examples=D.fill(TP.GRID_EXAMPLE, input=_grid_text_sql("[[y]]"), output=_grid_text_sql("[[m, dd]]")),
+                    test=_grid_text_sql("[[o_custkey]]"))
 
 
 @register("src_task_dir", f"""

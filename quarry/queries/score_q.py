@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import template as TP
 from quarry.functions import text as T
 from quarry.functions.grid import NON_DIGIT_NON_WS_RE2 as NON_DIGIT_NON_WS
 from quarry.operators import aggregates as A
@@ -137,10 +138,8 @@ def shuffle_options(spark, sf):
 
 # T-8 ---------------------------------------------------------------------------------------------
 def _choice_prompt_sql():
-    head, tail = S.CHOICE_HEADER.split("{q}")
-    lit = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
     opts = " || ".join(f"'{chr(65 + i)}. ' || opts[{i + 1}].text || chr(10)" for i in range(4))
-    return f"SELECT id, {lit(head)} || question || {lit(tail)} || {opts} || {lit(S.CHOICE_FOOTER)} AS prompt FROM ({CHOICE})"
+    return f"SELECT id, {D.fill(TP.CHOICE, question='question', options=opts)} AS prompt FROM ({CHOICE})"
 
 
 @register("txt_prompt_template", _choice_prompt_sql())

@@ -1,5 +1,5 @@
 """Registered streaming queries: listing rows from ``events`` landed as files, consumed by
-Structured Streaming (Trigger.AvailableNow, one file per micro-batch), results read back."""
+Structured Streaming (Trigger.AvailableNow, as many files per micro-batch as there are cores), results read back."""
 
 from __future__ import annotations
 
@@ -17,14 +17,13 @@ register = Registry()
 QUERIES, ORACLE = register.queries, register.oracle
 
 
-N_FILES = 8
 GATES = f"num_comments >= 1 AND NOT (view = '{CU.GATED_VIEW}' AND score < 3)"
 
 
 def _landed(spark, sf):
     ev = table(spark, sf, "events")
-    path = land_files(ev, scratch_path(spark, "events-landed"), N_FILES, "event_id")
-    return file_stream(spark, path, ev.schema, files_per_trigger=1)
+    path = land_files(ev, scratch_path(spark, "events-landed"), "event_id")
+    return file_stream(spark, path, ev.schema, files_per_trigger=spark.sparkContext.defaultParallelism)
 
 
 # ST-1 --------------------------------------------------------------------------------------------

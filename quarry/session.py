@@ -8,8 +8,10 @@ bench and the oracle checker only. ``scratch_path`` resolves a folder under the
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,11 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get().rstrip("/")
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
+        if re.match(r"file:|/", conf) and not spark.sparkContext.master.startswith("local"):
+            warnings.warn(f"spark.checkpoint.dir is {conf}: it must be a mount that every executor sees", stacklevel=2)
         spark.sparkContext.setCheckpointDir(conf)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
     # A private folder only for local runs (tests, bench); on a cluster, stage tables and streaming
     # state must live on shared storage that outlives any executor.
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this cluster session")
     local = tempfile.mkdtemp(prefix="quarry-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
@@ -73,6 +77,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete what this application's jobs staged. Call it when no result frame is needed any more: the frames that jobs
+    return may still read their stage tables."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/scratch")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage at a stage that several consumers read: write it once as Parquet under the shared
     checkpoint folder and return the read-back frame. Lost executors then recompute from this table,

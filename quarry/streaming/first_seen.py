@@ -7,8 +7,8 @@ each micro-batch are appended, with the batch id, to a changelog table in shared
 take the latest entry per id (a partial+final aggregate), so a retried batch that appends again
 changes nothing. Gates run after the dedup (ledger Q5), on read.
 
-At scale, use the RocksDB state store provider
-(``spark.sql.streaming.stateStore.providerClass``) so state lives off-heap, one entry per id.
+State lives in RocksDB (set where the query starts), one entry per id outside the heap. ``compact_changelog`` rewrites
+the changelog to one entry per id, so reads follow the number of ids and not of micro-batches.
 """
 
 from __future__ import annotations
@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start_first_seen(stream: DataFrame, key: str, order_cols: list[str], payload_cols: list[str],
                      changelog: str, checkpoint: str, available_now: bool = True):
+    stream.sparkSession.conf.set(STATE_PROVIDER, ROCKSDB)
     best = stream.groupBy(key).agg(F.min(F.struct(*order_cols, *payload_cols)).alias("best"))
 
     def append(batch: DataFrame, batch_id: int) -> None:
@@ -38,9 +43,18 @@ def read_first_seen(spark: SparkSession, changelog: str, key: str) -> DataFrame:
     return latest.select(key, "best.*")
 
 
-def land_files(df: DataFrame, path: str, n_files: int, order_col: str) -> str:
-    """Land a table as ``n_files`` Parquet files holding consecutive ranges of ``order_col``."""
-    df.repartitionByRange(n_files, order_col).write.mode("overwrite").parquet(path)
+def compact_changelog(spark: SparkSession, changelog: str, key: str, compacted: str) -> str:
+    """Write the changelog's latest entry per id to ``compacted``, a changelog of its own to continue with (the old folder is
+    left to the caller: a reader may still be on it)."""
+    latest = spark.read.parquet(changelog).groupBy(key).agg(F.max("batch_id").alias("batch_id"), F.max_by("best", "batch_id").alias("best"))
+    latest.select(key, "best", "batch_id").write.mode("overwrite").parquet(compacted)
+    return compacted
+
+
+def land_files(df: DataFrame, path: str, order_col: str, rows_per_file: int = 250_000) -> str:
+    """Land a table as Parquet files of consecutive ranges of ``order_col``; the number of files follows the rows."""
+    n = max(2, -(-df.count() // rows_per_file))
+    df.repartitionByRange(n, order_col).write.mode("overwrite").parquet(path)
     return path
 
 

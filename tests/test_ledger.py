@@ -216,6 +216,8 @@ def test_tag_prompt_strips_both_sides(spark):
     df = spark.createDataFrame([(" a post ", " a reply\n")], "input string, output string")
     text = df.select(C.tag_prompt().alias("p")).first().p
     assert text.endswith("Post:\na post\n\nReply:\na reply") and "KEEP or DISCARD" in text
+    own = df.select(C.tag_prompt(template="[{reply}] to [{post}]?").alias("p")).first().p
+    assert own == "[a reply] to [a post]?"
 
 
 def test_chat_rows_and_render(spark):

@@ -6,7 +6,7 @@ from quarry.operators import filters as FL
 from quarry.operators import windows as W
 from quarry.plans import curate as CU
 from quarry.sources.tables import table
-from quarry.streaming.first_seen import file_stream, read_first_seen, start_first_seen
+from quarry.streaming.first_seen import compact_changelog, file_stream, read_first_seen, start_first_seen
 from quarry.streaming.incremental import start_append
 
 SMALL = "/root/testdata/sf0.001"
@@ -29,7 +29,10 @@ def test_first_seen_survives_restart(spark, tmpdir_fresh):
         start_first_seen(stream, "id", order, payload, f"{tmpdir_fresh}/log", f"{tmpdir_fresh}/ckpt").awaitTermination()
         second.repartition(2).write.mode("append").parquet(f"{tmpdir_fresh}/in")
         second = second.where("false")
-    got = read_first_seen(spark, f"{tmpdir_fresh}/log", "id")
+    log = compact_changelog(spark, f"{tmpdir_fresh}/log", "id", f"{tmpdir_fresh}/compacted")
+    assert spark.read.parquet(log).groupBy("id").count().where("count > 1").isEmpty()
+    assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    got = read_first_seen(spark, log, "id")
     want = W.first_seen(CU.listing_from_events(events))
     cols = ["id", "view", "page", "pos", "score"]
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
