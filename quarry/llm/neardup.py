@@ -6,11 +6,13 @@
    chunks in which they differ in at most floor(MAX_DISTANCE / CHUNKS) symbols. A class is indexed under
    every way to leave out that many symbols of each chunk, so every such pair shares a key.
 3. A key's classes are linked through hubs first (the class with the smallest document id, then others by
-   hash): a class is compared with hubs of the keys it is in, and the best candidate of each round is confirmed on
-   the full sets. Keys whose classes have become one component are done: a group of copies costs its size.
-4. What is left, pairs of a key in different components, is compared completely: a key's classes are cut into
-   blocks of about 256, pairs of blocks are compared in parallel, and each pair within the signature distance is
-   confirmed on the full sets. No pair that shares a key and could join two components goes unchecked.
+   hash): each class is compared with one hub a round, confirmed on the full sets. Keys whose classes have become one
+   component are done: a group of copies costs its size.
+4. Classes of the other keys that share too few shingles with all pending classes to reach the similarity
+   with any (an exact bound from the counts of shingles nobody else has) drop out: copies with many edits.
+5. What is left, pairs of a key in different components, is compared completely: a key's classes are cut into
+   blocks of about 256, pairs of blocks are compared in parallel, and each pair within the bound and the signature
+   distance is confirmed on the full sets. No pair that shares a key and could join two components goes unchecked.
 
 A pair at similarity 0.85 differs in 9.6 of 64 symbols on average (deviation 2.9); more than 20 differ with a
 chance of about 2 in 10,000, and less above that similarity.
@@ -38,7 +40,7 @@ K = 64
 MAX_DISTANCE = 20
 CHUNKS = 11
 BLOCK = 256
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 NO_ID = 2 ** 63 - 1
 
 _SEEDS = mix(np.arange(1, K + 1, dtype=U64))
@@ -147,14 +149,16 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
     at = members.join(size, "h").withColumn("at", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     cells = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "h", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), (F.col("at") <= F.col("o")).alias("left"),
-        (F.col("at") >= F.col("o")).alias("right"), "node", "component", "n", "sig")
+        (F.col("at") >= F.col("o")).alias("right"), "node", "component", "n", "own", "sig")
     dealt = cells.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
 
     def compare(c: dict) -> tuple[np.ndarray, np.ndarray]:
         x, y = np.flatnonzero(c["left"]), np.flatnonzero(c["right"])
         out_a, out_b = [], []
         for p in x.tolist():
-            ok = (c["component"][y] != c["component"][p]) & (100 * np.minimum(c["n"][y], c["n"][p]) >= percent * np.maximum(c["n"][y], c["n"][p]))
+            n, most = c["n"], c["n"] - c["own"]
+            both = np.minimum(most[y], most[p])      # no pair can share more
+            ok = (c["component"][y] != c["component"][p]) & (100 * both >= percent * (n[y] + n[p] - both))
             q = y[ok]
             if len(q):
                 q = q[(c["sig"][q] != c["sig"][p]).sum(1) <= MAX_DISTANCE]
@@ -169,7 +173,7 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
         held: list[pa.Table] = []
 
         def flush(table: pa.Table) -> pa.RecordBatch:
-            col = {k: table.column(k).to_numpy(zero_copy_only=False) for k in ("h", "i", "j", "left", "right", "node", "component", "n")}
+            col = {k: table.column(k).to_numpy(zero_copy_only=False) for k in ("h", "i", "j", "left", "right", "node", "component", "n", "own")}
             col["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, K)
             cut = np.flatnonzero((np.diff(col["h"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)) + 1
             a, b = [], []
@@ -230,6 +234,20 @@ class _Confirm:
         self.sets = materialize(own.groupBy("node").agg(F.first("items").alias("items")), "shingle-sets")
         self.percent = percent
 
+    def items_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, item) rows of the sets of ``nodes``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                    if sets:
+                        node = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+                        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets))], ["node", "item"])
+
+        return self.sets.join(nodes, "node", "left_semi").select("node", "items").mapInArrow(run, "node long, item long")
+
     def __call__(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.sets.select(F.col("node").alias(x), F.col("items").alias(f"i{x}"))
         both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib")
@@ -258,27 +276,27 @@ def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str) ->
 
     keys = index_keys(classes)
     several = keys.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "node")).alias("hub")) \
-        .filter("c > 1").select("h", F.col("hub.node").alias("hub"))
-    shared = materialize(keys.join(several, "h").select("h", "node", "hub"), "shared-keys")
+        .filter("c > 1").select("h", F.col("hub.rep").alias("rep"), F.col("hub.node").alias("hub"))
+    shared = materialize(keys.drop("rep").join(several, "h").select("h", "node", "rep", "hub"), "shared-keys")
     confirm = _Confirm(docs, classes, shared, width, percent, key, text)
     links = comp = pending = None
     for r in range(HUB_ROUNDS):
-        if pending is None:
-            cand = shared.filter(F.col("node") != F.col("hub")).select("node", "hub").distinct()
+        if pending is None:  # the smallest document of all a class's keys is its hub
+            cand = shared.filter(F.col("node") != F.col("hub")).groupBy("node").agg(F.min(F.struct("rep", "hub")).alias("x")) \
+                .select("node", F.col("x.hub").alias("hub"))
         else:
             hubs = pending.groupBy("h").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(r))).alias("x"))
             cand = pending.join(hubs, "h").filter(F.col("component") != F.col("x.component")) \
-                .select("node", F.col("x.node").alias("hub")).distinct()
+                .groupBy("node").agg(F.min_by("x.node", F.xxhash64("x.node", F.lit(r))).alias("hub"))
         near = _near(cand.select(F.col("node").alias("a"), F.col("hub").alias("b")), classes, percent)
-        best = near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-        found = confirm(best)
+        found = confirm(near)
         links = materialize(found if links is None else found.union(links), "links")
         comp = materialize(components(links), "component-of")
-        pending = materialize(_pending(shared, comp), "pending")
+        pending = _possible(_pending(shared, comp), classes, confirm, percent)
         if pending.isEmpty():
             break
     else:
-        pairs = _blocks(pending.join(classes.select("node", "n", "sig"), "node"), percent)
+        pairs = _blocks(pending, percent)
         links = materialize(confirm(pairs).union(links), "links")
         comp = materialize(components(links), "component-of")
 
@@ -304,14 +322,37 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "
     out = _grouped(docs, width, percent, key, text).withColumn("_key", F.coalesce("_key", F.lit(NO_ID)))
     first = out.filter("n > 0").groupBy("group").agg(F.min(F.struct("_key", "_text_hash")).alias("x")).select("x.*")
     keep = materialize(first.union(out.filter("n = 0").select("_key", "_text_hash")), "kept-rows")
-    told = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), "_text_hash": _text_hash(text)})
+    told = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_key"),
+                       _text_hash(text).alias("_text_hash"))
     kept = told.join(keep, ["_key", "_text_hash"], "left_semi")
     one = Window.partitionBy("_key", "_text_hash").orderBy("_key")
-    return kept.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(*docs.columns)
+    return kept.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select("doc.*")
+
+
+def _mixed(at: DataFrame) -> DataFrame:
+    """Rows of the keys whose classes lie in two components or more."""
+    keys = at.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
+    return at.join(keys, "h")
 
 
 def _pending(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """(h, node, component) of the keys whose classes lie in two components or more."""
+    """(h, node, component) of the keys that are not done."""
     at = shared.select("h", "node").join(comp, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))
-    mixed = at.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
-    return at.join(mixed, "h")
+    return materialize(_mixed(at), "pending")
+
+
+def _possible(pending: DataFrame, classes: DataFrame, confirm: _Confirm, percent: int) -> DataFrame:
+    """Pending rows that can still be linked, with n, own and sig. ``own`` counts a class's shingles that no other pending
+    class has; it can share at most i = n - own with any of them, so with sizes from ``low`` up its similarity
+    is at most i / (n + max(low, i) - i). Heavily edited copies drop out here, without a comparison, and with
+    them the keys they kept open. The bound is exact: nothing that could be linked is lost."""
+    nodes = pending.select("node").distinct()
+    items = confirm.items_of(nodes)
+    own = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1") \
+        .groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    sized = nodes.join(classes.select("node", "n", "sig"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    at = pending.join(materialize(sized, "pending-sizes"), "node")
+    low = at.groupBy("h").agg(F.min("n").alias("low"))
+    i = F.col("n") - F.col("own")
+    able = at.join(low, "h").filter(100 * i >= percent * (F.col("n") + F.greatest("low", i) - i)).drop("low")
+    return materialize(_mixed(able), "possible")

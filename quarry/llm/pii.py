@@ -157,7 +157,8 @@ def span_text(kinds: tuple[str, ...]) -> Column:
 def sanitize(docs: DataFrame, text: str = "text", disclosure: float = 0.8, support: int = 3, reach: int = 80) -> DataFrame:
     """All columns of ``docs`` with ``text`` sanitised: entities and generalised terms become their mark, terms that
     determine an entity are removed. Where spans of different kinds overlap, the earlier kind wins."""
-    spans = with_spans(docs, text, None, disclosure, support, reach)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))  # own names cannot clash
+    spans = with_spans(packed, "text", None, disclosure, support, reach)
 
     def marked(kind: str, rank: int, mark) -> Column:
         return F.transform(f"_{kind}", lambda s: F.struct(
@@ -165,7 +166,7 @@ def sanitize(docs: DataFrame, text: str = "text", disclosure: float = 0.8, suppo
 
     masks = [marked(k, r, lambda s, k=k: F.lit(MASKS[k])) for r, k in enumerate(KINDS)]
     all_ = F.concat(*masks, marked("term", len(KINDS), lambda s: F.when(s["full"], F.lit("")).otherwise(F.lit(MASKS["term"]))))
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col("text"), F.lit(""))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(s, x):
@@ -175,5 +176,5 @@ def sanitize(docs: DataFrame, text: str = "text", disclosure: float = 0.8, suppo
 
     done = spans.withColumn("_all", F.sort_array(all_)).withColumn("_cut", F.aggregate("_all", start, step))
     clean = F.concat(F.array_join("_cut.out", ""), F.substring(body, (F.col("_cut.at") + 1).cast("int"), F.lit(2_147_483_647)))
-    shown = F.when(F.size("_all") > 0, clean).otherwise(F.col(text))
-    return done.select(*[shown.alias(c) if c == text else F.col(c) for c in docs.columns])
+    shown = F.when(F.size("_all") > 0, clean).otherwise(F.col("text"))
+    return done.select(*[shown.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])
