@@ -31,7 +31,10 @@ KEEP_SCORE = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = fit(docs, known.filter(F.col("quality") == 1), prior=labelled_prior(known))
-    return with_quality(docs, model, score="_quality").filter(F.col("_quality") >= KEEP_SCORE).drop("_quality")
+    score = "quality_score"
+    while score in docs.columns:
+        score = f"_{score}"
+    return with_quality(docs, model, score=score).filter(F.col(score) >= KEEP_SCORE).drop(score)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
