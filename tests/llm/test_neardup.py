@@ -96,3 +96,27 @@ def test_words_follow_the_contract():
     w = words_of(["A\x0bb\x1cc É", None, "x"], lower=True)
     assert len(w.of(0)) == 3 and len(w.of(1)) == 0  # \x1c is no separator
     assert w.of(0)[0] == words_of(["a"]).of(0)[0] and len(shingle_set(w.of(0)[:2], 3)) == 1
+
+
+def test_blocks_compare_every_pair_across_components(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 60000, neardup.K)
+    rows = []
+    for node in range(70):
+        sig = base.copy()
+        change = rng.choice(neardup.K, rng.integers(0, 16), replace=False)
+        sig[change] = rng.integers(0, 60000, len(change))
+        rows.append((int(node % 3), node, int(0 if node % 4 else node), int(rng.integers(80, 100)), int(rng.integers(0, 12)),
+                     bytearray(sig.astype(np.uint16).tobytes())))
+    df = spark.createDataFrame(rows, "h long, node long, component long, n long, own long, sig binary")
+    want = set()
+    for a in rows:
+        for b in rows:
+            both = min(a[3] - a[4], b[3] - b[4])
+            far = (np.frombuffer(a[5], np.uint16) != np.frombuffer(b[5], np.uint16)).sum()
+            if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and 100 * both >= 85 * (a[3] + b[3] - both) and far <= neardup.MAX_DISTANCE:
+                want.add((a[1], b[1]))
+    assert want and {tuple(r) for r in neardup._blocks(df, 85).collect()} == want
