@@ -148,6 +148,28 @@ def read_trait_tree(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return materialize(out, "trait-files").where(~F.col("unreadable")).drop("unreadable")
 
 
+GRID_DOC_SCHEMA = T.StructType.fromDDL(
+    "config struct<model_label:string, base_only:boolean, model_type:string, n:bigint, dataset_split:string, timestamp:string>, "
+    "summary struct<total_tasks:bigint, solved:bigint, accuracy:double>")
+
+
+def grid_config(model: Column, split: Column, base_only: bool = False) -> Column:
+    """The ``config`` of a grid result document; a base run has no model type and n."""
+    kind, n = F.substring_index(model, "_", 1), F.substring_index(model, "_", -1).try_cast("bigint")
+    none = F.lit(base_only)
+    return F.struct(model.alias("model_label"), none.alias("base_only"), F.when(~none, kind).alias("model_type"),
+                    F.when(~none, n).alias("n"), split.alias("dataset_split"),
+                    F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+
+
+def collect_grid_documents(spark: SparkSession, root: str) -> DataFrame:
+    """A-11 from result documents: model, split, accuracy, solved, total of every ``*_results.json`` under ``root``, by file."""
+    docs = read_result_tree(spark, root, GRID_DOC_SCHEMA, glob="*_results.json")
+    docs = materialize(docs, "grid-documents").where(~F.col("unreadable"))
+    return docs.select("file_path", F.col("config.model_label").alias("model"), F.col("config.dataset_split").alias("split"),
+                       "summary.accuracy", "summary.solved", F.col("summary.total_tasks").alias("total")).orderBy("file_path")
+
+
 def results_by_trait(rows: DataFrame) -> DataFrame:
     """A-10: per trait and label: rate, count, total; plus the number of results loaded per trait (one partial+final
     count joined back, so a trait's rows need not meet in one task)."""

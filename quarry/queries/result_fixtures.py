@@ -100,3 +100,10 @@ def write_trait_tree(docs: DataFrame, root: str) -> dict[str, str]:
     rows = _bounded(docs.select("family", "trait", "file", F.to_json("doc").alias("j")))
     put_documents(docs.sparkSession, [(f"{root}/{r.family}/{r.trait}/{r.file}", json.dumps(json.loads(r.j), indent=2)) for r in rows])
     return {f: f"{root}/{f}" for f in sorted({r.family for r in rows})}
+
+
+def write_grid_documents(docs: DataFrame, root: str) -> str:
+    """(model, split, doc) -> ``<root>/<model>/<split>_results.json``, indented."""
+    rows = _bounded(docs.select("model", "split", F.to_json("doc").alias("j")))
+    put_documents(docs.sparkSession, [(f"{root}/{r.model}/{r.split}_results.json", json.dumps(json.loads(r.j), indent=2)) for r in rows])
+    return root

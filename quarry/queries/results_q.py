@@ -12,9 +12,9 @@ from quarry.plans import results as R
 from quarry.plans import score as S
 from quarry.queries import result_fixtures as FX
 from quarry.queries.registry import Registry
-from quarry.queries.score_q import GRID_SCORED
+from quarry.queries.score_q import CHOICE_SCORED, FACT_SCORED, GRID_SCORED, GRID_TRIALS
 from quarry.session import scratch_path
-from quarry.sinks.files import comparison_doc, write_detail_table, write_jsonl
+from quarry.sinks.files import comparison_doc, write_detail_table, write_jsonl, write_result_documents
 from quarry.sources.tables import table
 
 register = Registry()
@@ -200,22 +200,80 @@ def agg_results_by_trait(spark, sf):
 
 # SNK-4 -------------------------------------------------------------------------------------------
 @register("snk_result_doc", f"""
-SELECT model, count(*) AS total_tasks, CAST(count_if(solved) AS BIGINT) AS solved,
+SELECT model, split, false AS base_only, count(*) AS total_tasks, CAST(count_if(solved) AS BIGINT) AS solved,
        round(coalesce(CAST(count_if(solved) AS BIGINT) / nullif(count(*), 0), 0.0), 6) AS accuracy, count(*) AS n_details
-FROM ({GRID_SCORED}) GROUP BY model""")
+FROM ({GRID_SCORED}) GROUP BY model, split""")
 def snk_result_doc(spark, sf):
-    """Grid result documents per model: the summary doc {config, summary} as JSON partitioned by model,
-    the per-task details as their own Parquet table (no unbounded per-model list); read both back."""
+    """Grid result documents per model and split: {config, summary} as JSON, per-task details as their own Parquet table
+    (no unbounded per-model list); read both back."""
     res = S.grid_scoring(S.grid_trials(table(spark, sf, "lineitem"), table(spark, sf, "orders")))
-    summary = A.split_summary(res, ["model"])
-    docs = summary.select("model", F.struct(F.col("model").alias("model_label"), F.lit(False).alias("base_only")).alias("config"),
+    summary = A.split_summary(res, ["model", "split"])
+    docs = summary.select("model", "split", R.grid_config(F.col("model"), F.col("split")).alias("config"),
                           F.struct("total_tasks", "solved", "accuracy").alias("summary"))
-    root = scratch_path(spark, "grid-results")
-    docs.write.mode("overwrite").partitionBy("model").json(f"{root}/docs")
-    write_detail_table(res.select("model", "task", "test_idx", "solved", "trials_needed", "expected_rows", "expected_cols"),
-                       f"{root}/details", ["model"])
-    back = spark.read.schema("config struct<model_label:string, base_only:boolean>, "
-                             "summary struct<total_tasks:bigint, solved:bigint, accuracy:double>, model string").json(f"{root}/docs")
-    n_det = spark.read.parquet(f"{root}/details").groupBy("model").agg(F.count(F.lit(1)).alias("n_details"))
-    return back.join(n_det, "model", "left").select(
-        "model", "summary.total_tasks", "summary.solved", F.round("summary.accuracy", 6).alias("accuracy"), "n_details")
+    details = res.select("model", "split", "task", "test_idx", "solved", "trials_needed", "expected_rows", "expected_cols")
+    root = write_result_documents(docs, details, scratch_path(spark, "grid-results"), ["model", "split"])
+    back = spark.read.schema(R.GRID_DOC_SCHEMA).json(f"{root}/docs")
+    n_det = spark.read.parquet(f"{root}/details").groupBy("model", "split").agg(F.count(F.lit(1)).alias("n_details"))
+    read = back.select(F.col("config.model_label").alias("model"), F.col("config.dataset_split").alias("split"), "config.base_only", "summary.*")
+    return read.join(n_det, ["model", "split"], "left").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@register("snk_trial_details", f"""
+SELECT task, test_idx, model, split, trial, correct, left(response, 200) AS response FROM ({GRID_TRIALS})""")
+def snk_trial_details(spark, sf):
+    """The per-trial part of grid results: every trial with its reply cut to 200 characters, written by model and read back."""
+    trials = S.grid_trials(table(spark, sf, "lineitem"), table(spark, sf, "orders"))
+    kept = trials.select("task", "test_idx", "model", "split", F.col("trial").cast("bigint").alias("trial"), "correct", TX.truncate_detail("response", 200).alias("response"))
+    path = write_detail_table(kept, scratch_path(spark, "grid-trials"), ["model"])
+    return spark.read.parquet(path)
+
+
+@register("snk_fact_doc", f"""
+SELECT CAST(split_part(id, ':', 2) AS BIGINT) AS n, CAST(count_if(correct) AS BIGINT) AS correct, count(*) AS total,
+       round(CAST(count_if(correct) AS BIGINT) / count(*), 6) AS accuracy, CAST(sum(length(left(generated, 100))) AS BIGINT) AS detail_chars
+FROM ({FACT_SCORED}) GROUP BY 1""")
+def snk_fact_doc(spark, sf):
+    """Fact-evaluation documents {config, results} per run (the turn number stands for n), details cut as the script cuts them."""
+    scored = S.fact_eval(S.fact_samples(table(spark, sf, "conversations"))).withColumn("n", F.split("id", ":")[1].cast("bigint"))
+    docs = A.accuracy(scored, ["n"], F.col("correct")).select(
+        "n", F.struct(F.lit("chat").alias("model_type"), F.col("n")).alias("config"), F.struct("accuracy", "correct", "total").alias("results"))
+    details = scored.select("n", TX.truncate_detail("prompt", 100).alias("prompt"), "target_true", "target_false",
+                            TX.truncate_detail("generated", 100).alias("generated"), "correct")
+    root = write_result_documents(docs, details, scratch_path(spark, "fact-results"), ["n"])
+    back = spark.read.schema("config struct<model_type:string>, results struct<accuracy:double, correct:bigint, total:bigint>, "
+                             "n bigint").json(f"{root}/docs")
+    chars = spark.read.parquet(f"{root}/details").groupBy("n").agg(F.sum(F.length("generated")).alias("detail_chars"))
+    return back.select("n", "results.*").join(chars, "n").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@register("snk_choice_doc", f"""
+SELECT CAST(turn AS BIGINT) AS n, CAST(count_if(picked_trait IS NOT DISTINCT FROM 'high') AS BIGINT) AS high_trait_count, count(*) AS total,
+       round(CAST(count_if(picked_trait IS NOT DISTINCT FROM 'high') AS BIGINT) / count(*), 6) AS high_trait_rate, count(*) AS n_details
+FROM ({CHOICE_SCORED}) GROUP BY 1""")
+def snk_choice_doc(spark, sf):
+    """Choice-evaluation documents {config, results} per run, details with question and reply cut as the script cuts them."""
+    scored = S.choice_eval(S.choice_samples(table(spark, sf, "conversations"))).withColumn("n", F.col("turn").cast("bigint"))
+    docs = A.choice_rate(scored, ["n"]).select(
+        "n", F.struct(F.lit(False).alias("base_only"), F.concat(F.lit("turn"), "n").alias("trait_key")).alias("config"),
+        F.struct("high_trait_rate", "high_trait_count", "total").alias("results"))
+    details = scored.select("n", TX.truncate_detail("question", 100).alias("question"), "predicted", "picked_trait",
+                            TX.truncate_detail("reply", 50).alias("response"))
+    root = write_result_documents(docs, details, scratch_path(spark, "choice-results"), ["n"])
+    back = spark.read.schema("results struct<high_trait_rate:double, high_trait_count:bigint, total:bigint>, n bigint").json(f"{root}/docs")
+    n_det = spark.read.parquet(f"{root}/details").groupBy("n").agg(F.count(F.lit(1)).alias("n_details"))
+    return back.select("n", "results.*").join(n_det, "n").withColumn("high_trait_rate", F.round("high_trait_rate", 6))
+
+
+# A-11 from documents -----------------------------------------------------------------------------
+@register("agg_split_documents", f"""
+SELECT model, split, round(coalesce(CAST(count_if(solved) AS BIGINT) / nullif(count(*), 0), 0.0), 6) AS accuracy,
+       CAST(count_if(solved) AS BIGINT) AS solved, count(*) AS total
+FROM ({GRID_SCORED}) GROUP BY model, split""")
+def agg_split_documents(spark, sf):
+    """The summary table collected from ``<model>/<split>_results.json`` documents."""
+    res = S.grid_scoring(S.grid_trials(table(spark, sf, "lineitem"), table(spark, sf, "orders")))
+    docs = A.split_summary(res, ["model", "split"]).select(
+        "model", "split", F.struct(R.grid_config(F.col("model"), F.col("split")).alias("config"),
+                                   F.struct("total_tasks", "solved", "accuracy").alias("summary")).alias("doc"))
+    root = FX.write_grid_documents(docs, scratch_path(spark, "grid-documents"))
+    return R.collect_grid_documents(spark, root).select("model", "split", F.round("accuracy", 6).alias("accuracy"), "solved", "total")

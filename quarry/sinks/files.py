@@ -53,6 +53,14 @@ def write_detail_table(details: DataFrame, path: str, by: list[str]) -> str:
     return path
 
 
+def write_result_documents(docs: DataFrame, details: DataFrame, root: str, by: list[str]) -> str:
+    """SNK-4: one nested document (``config``, ``summary`` or ``results``) per evaluated run as JSON under ``docs``, partitioned
+    by ``by``, and its per-sample details as a Parquet table under ``details``, partitioned alike."""
+    docs.write.mode("overwrite").partitionBy(*by).json(f"{root}/docs")
+    write_detail_table(details, f"{root}/details", by)
+    return root
+
+
 def comparison_doc(base: DataFrame, variant: DataFrame, key: list[str], base_name: str = "base_results",
                    variant_name: str = "lora_results") -> DataFrame:
     """SNK-7: both sides of a comparison per key; a skipped side is null (full outer join)."""
