@@ -148,7 +148,7 @@ def read_trait_tree(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return materialize(out, "trait-files").where(~F.col("unreadable")).drop("unreadable")
 
 
-GRID_DOC_SCHEMA = T.StructType.fromDDL(
+GRID_DOC_SCHEMA = (
     "config struct<model_label:string, base_only:boolean, model_type:string, n:bigint, dataset_split:string, timestamp:string>, "
     "summary struct<total_tasks:bigint, solved:bigint, accuracy:double>")
 
