@@ -126,7 +126,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", disc
     both = (seen.join(entities.select("entity"), "entity", "left_semi").groupBy("entity", "term")
             .agg(F.countDistinct("context").alias("n_te")).filter(F.col("n_te") >= support).join(entities, "entity"))
     both = materialize(both, "pii-pairs")
-    df = document_counts(docs, text).join(both.select("term").distinct(), "term", "left_semi")
+    # written first: else the semi-join would move below the counting and meet every occurrence of a term
+    df = materialize(document_counts(docs, text), "term-counts").join(both.select("term").distinct(), "term", "left_semi")
     n = F.lit(float(max(found.count(), 1)))
     pmi = F.log(F.col("n_te") / F.col("n_e") * n / F.col("df"))
     told = both.join(df, "term").withColumns({"_ic": F.log(n / F.col("n_e")), "_pmi": pmi}) \
