@@ -11,8 +11,10 @@ near it, over the corpus of N documents,
 
 and t discloses e where PMI(t; e) >= disclosure * IC(e). p(t) counts every document; contexts are the ``reach``
 characters on either side, and equal contexts (copies) count once, so a copied document is no evidence. Entities
-and terms need ``support`` distinct contexts. Disclosing terms next to the entity become spans of kind ``term``: those
-that determine it fully are removed, the others are generalised.
+and terms need ``support`` distinct contexts. Terms are whole words of any length that begin with a letter; the statistics
+alone decide which are too common to disclose. Every occurrence of a disclosing term, in any document and at any distance
+from the entity, becomes a span of kind ``term``: those that determine an entity fully are removed, the others are
+generalised.
 
 Defined cases: null text is empty and has no spans; repeated rows have equal spans; an empty table gives no rows; other
 columns are kept by ``sanitize``.
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, row_key
+from quarry.llm.common import materialize, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -31,7 +33,7 @@ EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"[\p{L}][\p{L}\p{N}]{3,}+"
+TERM = r"\p{L}[\p{L}\p{N}]*+"
 BYTE_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?(?:\.|$)){4}"
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -87,41 +89,52 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def _context(text: Column, kind: str, spans: Column, reach: int) -> Column:
-    """Per span: the entity, a hash of the text around it and the whole terms in it."""
+    """Per span: the entity, a hash of the text around it and the terms that lie whole in it, outside the entity."""
 
     def one(s):
         lo = F.greatest(F.lit(0).cast("long"), s["start"] - reach)
         left = F.substring(text, (lo + 1).cast("int"), (s["start"] - lo).cast("int"))
         right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(reach))
-        first = F.filter(find(left, TERM, lo), lambda t: (t["start"] > lo) | (lo == 0))
-        last = F.filter(find(right, TERM, s["end"]), lambda t: t["end"] < s["end"] + reach)
+        at = F.greatest(F.lit(0).cast("long"), lo - 1)  # one character more on either side tells which terms are whole
+        wide = F.substring(text, (at + 1).cast("int"), (s["end"] + reach + 1 - at).cast("int"))
+        cut = (at > 0) & wide.rlike(r"^\p{N}++\p{L}") & F.substring(text, F.lit(1), at.cast("int")).rlike(r"\p{L}\p{N}*+$")
+        whole = F.filter(find(wide, TERM, at), lambda t, i: (t["start"] >= lo) & (t["end"] <= s["end"] + reach)
+                         & ((t["end"] <= s["start"]) | (t["start"] >= s["end"])) & ((i > 0) | ~cut))
         return F.struct(_entity(kind, s["value"]).alias("entity"), F.xxhash64(left, right).alias("context"),
-                        F.transform(F.concat(first, last), lambda t: F.struct(
-                            t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("term"))).alias("terms"))
+                        F.array_distinct(F.transform(whole, lambda t: F.lower(t["value"]))).alias("terms"))
 
     return F.transform(spans, one)
 
 
 def detect(docs: DataFrame, text: str = "text", reach: int = 80, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: all), ``_row``, one array of spans per kind (``_email`` ...) and ``_near``."""
+    """``keep`` columns (default: all), ``_text_key``, one array of spans per kind (``_email`` ...) and ``_near``."""
     keep = docs.columns if keep is None else keep
     body = docs.withColumn("_body", F.coalesce(F.col(text), F.lit("")))
     body = body.withColumns({f"_{k}": c for k, c in base_spans(F.col("_body")).items()})
     near = F.concat(*[_context(F.col("_body"), k, F.col(f"_{k}"), reach) for k in KINDS])
-    return materialize(row_key(body.select(*keep, *(f"_{k}" for k in KINDS), near.alias("_near"))), "pii")
+    return materialize(body.select(*keep, text_key("_body").alias("_text_key"), *(f"_{k}" for k in KINDS), near.alias("_near")), "pii")
+
+
+def _words(text: Column) -> Column:
+    """The distinct terms of a text. Case is folded after the match, as for the terms beside an entity."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
+
+
+def _bodies(docs: DataFrame, text: str) -> DataFrame:
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(text_key(body).alias("_text_key"), body.alias("_body"))
 
 
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, df): in how many documents each term occurs, over all documents and whole texts."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _bodies(docs, text).select(F.explode(_words(F.col("_body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", disclosure: float = 0.8,
                      support: int = 3) -> DataFrame:
-    """(_row, start, end, full) of the terms that give an entity beside them away."""
-    near = found.filter(F.size("_near") > 0).select("_row", F.explode("_near").alias("x")).select("_row", "x.*")
-    seen = near.select("_row", "entity", "context", F.explode("terms").alias("t")).select("_row", "entity", "context", "t.*")
+    """(term, full) of the terms that give an entity away; full: one of them altogether."""
+    near = found.filter(F.size("_near") > 0).select(F.explode("_near").alias("x")).select("x.*")
+    seen = near.select("entity", "context", F.explode("terms").alias("term"))
     entities = near.groupBy("entity").agg(F.countDistinct("context").alias("n_e")).filter(F.col("n_e") >= support)
     both = (seen.join(entities.select("entity"), "entity", "left_semi").groupBy("entity", "term")
             .agg(F.countDistinct("context").alias("n_te")).filter(F.col("n_te") >= support).join(entities, "entity"))
@@ -131,19 +144,45 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", disc
     n = F.lit(float(max(found.count(), 1)))
     pmi = F.log(F.col("n_te") / F.col("n_e") * n / F.col("df"))
     told = both.join(df, "term").withColumns({"_ic": F.log(n / F.col("n_e")), "_pmi": pmi}) \
-        .filter((F.col("_pmi") > 0) & (F.col("_pmi") >= disclosure * F.col("_ic"))) \
-        .select("entity", "term", (F.col("_pmi") >= 0.999 * F.col("_ic")).alias("full"))
-    return seen.join(told, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("full").alias("full"))
+        .filter((F.col("_pmi") > 0) & (F.col("_pmi") >= disclosure * F.col("_ic")))
+    return told.groupBy("term").agg(F.max(F.col("_pmi") >= 0.999 * F.col("_ic")).alias("full"))
+
+
+def _occurrences(text: Column, told: Column) -> Column:
+    """Spans (start, end, full) of the told terms in a text, in order. Only they are collected: linear in the text."""
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(text, TERM, -1), 1, F.size(found)), found,
+                       lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    start = F.struct(F.lit(0).cast("long").alias("at"),
+                     F.expr("cast(array() as array<struct<start:bigint,end:bigint,full:boolean>>)").alias("out"))
+
+    def step(s, x):
+        begin = s["at"] + F.length(x["gap"])
+        end = begin + F.length(x["value"])
+        hit = F.filter(told, lambda t: t["term"] == F.lower(x["value"]))
+        span = F.transform(hit, lambda t: F.struct(begin.alias("start"), end.alias("end"), t["full"].alias("full")))
+        return F.struct(end.alias("at"), F.when(F.size(hit) > 0, F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(pairs, start, step)["out"]
+
+
+def term_spans(docs: DataFrame, told: DataFrame, text: str = "text") -> DataFrame:
+    """(_text_key, _term) of every distinct text that holds a told term: all its occurrences, wherever they stand."""
+    rows = _bodies(docs, text)
+    held = rows.select("_text_key", F.explode(_words(F.col("_body"))).alias("term")).join(told, "term") \
+        .groupBy("_text_key").agg(F.collect_set(F.struct("term", "full")).alias("_told"))
+    at = rows.join(materialize(held, "told-texts"), "_text_key").select("_text_key", _occurrences(F.col("_body"), F.col("_told")).alias("_term"))
+    return at.groupBy("_text_key").agg(F.first("_term").alias("_term"))
 
 
 def with_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, disclosure: float = 0.8,
                support: int = 3, reach: int = 80) -> DataFrame:
     """``keep`` columns, a span array per base kind and ``_term``: array of (start, end, full) in order."""
     found = detect(docs, text, reach, keep)
-    told = disclosing_terms(docs, found, text, disclosure, support).groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "full"))).alias("_term"))
+    told = materialize(disclosing_terms(docs, found, text, disclosure, support), "told-terms")
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,full:boolean>>)")
-    return found.join(told, "_row", "left").withColumn("_term", F.coalesce("_term", none)).drop("_near", "_row")
+    return found.join(term_spans(docs, told, text), "_text_key", "left") \
+        .withColumn("_term", F.coalesce("_term", none)).drop("_near", "_text_key")
 
 
 def span_text(kinds: tuple[str, ...]) -> Column:

@@ -113,6 +113,23 @@ def test_pii_disclosure_and_masks(spark, odd_docs):
     assert clean.filter("doc_id = 8").first().text == "é𝄞 mail [EMAIL] now" and clean.filter("_key = 'k' AND _row = 3").count() == 11
 
 
+def test_pii_terms_go_wherever_they_stand(spark):
+    """Far from the entity, in documents without it, at the window's edges, and short; also inside a longer run that is no term."""
+    far = " ".join(f"f{i}" for i in range(60))
+    rows = [(i, f"Bo note {i} Zarquon joe@x.org {far} end zarquon{'.' * i}") for i in range(4)]
+    rows += [(10, "nothing but ZARQUON here and BO."), (11, "Zarquonia and Bob stay, 7zarquon goes")]
+    rows += [(20 + i, f"other text {i} end note {far}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text.lower() for r in P.sanitize(docs).collect()}
+    assert not any(re.search(r"\b(zarquon|bo)\b", got[i]) for i in (0, 1, 2, 3, 10))
+    assert "zarquonia and bob stay" in got[11] and "7zarquon" not in got[11] and got[20] == rows[6][1]
+    edge = [(i, f"{i} {'-' * 5}Edgy {'!' * 75}joe@x.org{'!' * 75} Last-{i}") for i in range(4)]
+    near = P.detect(spark.createDataFrame(edge, "doc_id long, text string")).first()["_near"][0]["terms"]
+    assert near == ["edgy", "last"]
+    cut = [(1, f"ab12cd {'!' * 77}joe@x.org{'!' * 78} Lastly")]
+    assert P.detect(spark.createDataFrame(cut, "doc_id long, text string")).first()["_near"][0]["terms"] == []
+
+
 # ---- decontamination -----------------------------------------------------------------------------
 def test_leaks(spark, odd_docs):
     rng = random.Random(7)
