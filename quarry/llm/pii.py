@@ -5,13 +5,13 @@ Base spans are leftmost non-overlapping matches per kind (email, ip, card, phone
 expressions are the plain ones made possessive, so a long run of digits or letters costs linear time.
 
 The method then asks which terms give a protected entity away. For an entity e (a matched value) and a term t
-near it, over the corpus of N documents,
+near it, over the corpus of N distinct texts,
 
     PMI(t; e) = log( p(t | contexts of e) / p(t) )      IC(e) = -log( p(e) )
 
-and t discloses e where PMI(t; e) >= disclosure * IC(e). p(t) counts every document; contexts are the ``reach``
-characters on either side, and equal contexts (copies) count once, so a copied document is no evidence. Entities
-and terms need ``support`` distinct contexts. Terms are whole words of any length that begin with a letter; the statistics
+and t discloses e where PMI(t; e) >= disclosure * IC(e). p(t) counts whole texts; contexts are the ``reach``
+characters on either side. Equal texts and equal contexts (copies) count once, so a copied document is no evidence,
+neither that a term goes with an entity nor that it is common. Entities and terms need ``support`` distinct contexts. Terms are whole words of any length that begin with a letter; the statistics
 alone decide which are too common to disclose. Every occurrence of a disclosing term, in any document and at any distance
 from the entity, becomes a span of kind ``term``: those that determine an entity fully are removed, the others are
 generalised.
@@ -126,8 +126,10 @@ def _bodies(docs: DataFrame, text: str) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df): in how many documents each term occurs, over all documents and whole texts."""
-    return _bodies(docs, text).select(F.explode(_words(F.col("_body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, df): in how many distinct texts each term occurs, over all documents and whole texts. Copies are
+    dropped by a partial aggregate first."""
+    once = _bodies(docs, text).groupBy("_text_key").agg(F.first("_body").alias("_body"))
+    return once.select(F.explode(_words(F.col("_body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", disclosure: float = 0.8,
@@ -141,7 +143,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", disc
     both = materialize(both, "pii-pairs")
     # written first: else the semi-join would move below the counting and meet every occurrence of a term
     df = materialize(document_counts(docs, text), "term-counts").join(both.select("term").distinct(), "term", "left_semi")
-    n = F.lit(float(max(found.count(), 1)))
+    n = F.lit(float(max(found.select("_text_key").distinct().count(), 1)))
     pmi = F.log(F.col("n_te") / F.col("n_e") * n / F.col("df"))
     told = both.join(df, "term").withColumns({"_ic": F.log(n / F.col("n_e")), "_pmi": pmi}) \
         .filter((F.col("_pmi") > 0) & (F.col("_pmi") >= disclosure * F.col("_ic")))

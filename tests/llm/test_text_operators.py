@@ -130,6 +130,13 @@ def test_pii_terms_go_wherever_they_stand(spark):
     assert P.detect(spark.createDataFrame(cut, "doc_id long, text string")).first()["_near"][0]["terms"] == []
 
 
+def test_pii_copies_do_not_make_a_term_common(spark):
+    """A copied document that holds entity and term counts once in every count, and its copies lose the term too."""
+    rows = [(i, f"note {min(i, 2)} from Zarquon at joe@x.org") for i in range(40)] + [(100 + i, f"note {i} from none at all") for i in range(200)]
+    got = {r.doc_id: r.text for r in P.sanitize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any("Zarquon" in got[i] for i in range(40)) and "from" in got[0] and got[100] == rows[40][1]
+
+
 # ---- decontamination -----------------------------------------------------------------------------
 def test_leaks(spark, odd_docs):
     rng = random.Random(7)
