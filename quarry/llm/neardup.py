@@ -2,9 +2,9 @@
 
 1. Each document becomes a set of word shingles (64-bit hashes) and a signature of ``K`` symbols of 16 bits, one per
    min-wise hash. Documents with equal sets form one class; everything below works on classes.
-2. Two signatures within ``MAX_DISTANCE`` differing symbols must, by the pigeonhole principle, have one of ``CHUNKS``
-   chunks in which they differ in at most floor(MAX_DISTANCE / CHUNKS) symbols. A class is indexed under
-   every way to leave out that many symbols of each chunk, so every such pair shares a key.
+2. Two signatures within ``distance`` differing symbols must, by the pigeonhole principle, have one of (distance + 1) / 2
+   chunks in which they differ in at most one symbol. A class is indexed under every way to leave out one
+   symbol of each chunk, so every such pair shares a key. The distance follows from the similarity (``max_distance``).
 3. A key's classes are linked through hubs first (the class with the smallest document id, then others by
    hash): each class is compared with one hub a round, confirmed on the full sets. Keys whose classes have become one
    component are done: a group of copies costs its size.
@@ -14,8 +14,8 @@
    blocks of about 512 (its largest component once, the others against it and each other), cells of two blocks are
    compared in parallel, and each pair within the bound and the signature distance is confirmed on the full sets. No pair that shares a key and could join two components goes unchecked.
 
-A pair at similarity 0.85 differs in 9.6 of 64 symbols on average (deviation 2.9); more than 20 differ with a
-chance of about 2 in 10,000, and less above that similarity.
+A pair at similarity 0.85 differs in 9.6 of 64 symbols on average (deviation 2.9); more than its distance of 21 differ with a
+chance of 9.5e-5. At 0.80 (the pipeline) the distance is 25 and the chance 1.3e-4. It is less above the similarity asked for.
 
 Defined cases: null text or text without words has an empty set and is linked with nothing; fewer words than a
 shingle make one shingle; equal texts share a class; a null id counts as larger than any other; an empty table
@@ -25,6 +25,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,28 @@ from quarry.llm.tokens import by_bytes
 from quarry.llm.words import U64, mix, shingle_set, words_of
 
 K = 64
-MAX_DISTANCE = 20
-CHUNKS = 11
+MOST_MISSED = 2e-4
 BLOCK = 512
 HUB_ROUNDS = 2
 NO_ID = 2 ** 63 - 1
 
+
+def missed(percent: float, distance: int, k: int = K) -> float:
+    """The chance that more than ``distance`` of k symbols differ in a pair at this similarity."""
+    s = percent / 100
+    return sum(comb(k, i) * (1 - s) ** i * s ** (k - i) for i in range(distance + 1, k + 1))
+
+
+def max_distance(percent: float) -> int:
+    """The smallest distance that misses at most MOST_MISSED of the pairs at the similarity itself. It is odd: with one error per
+    chunk, c chunks guarantee 2c - 1."""
+    return next(d for d in range(1, 2 * K, 2) if missed(percent, d) <= MOST_MISSED)
+
+
+#: At the similarity of op2.
+MAX_DISTANCE = max_distance(85)
+CHUNKS = (MAX_DISTANCE + 1) // 2
+
 _SEEDS = mix(np.arange(1, K + 1, dtype=U64))
 _FACTORS = mix(np.arange(1001, 1001 + K, dtype=U64)) | U64(1)
 
@@ -105,9 +122,10 @@ def describe(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "_key long, _text_hash long, n long, fa long, fb long, sig binary")
 
 
-def index_keys(classes: DataFrame) -> DataFrame:
+def index_keys(classes: DataFrame, percent: int = 85) -> DataFrame:
     """(h, rep, node): each class under all its chunk keys."""
-    masks = chunk_masks()
+    distance = max_distance(percent)
+    masks = chunk_masks(chunks=min((distance + 1) // 2, K), distance=distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,6 +146,7 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) within the signature distance whose sizes allow the similarity, with the distance."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    most = max_distance(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +154,7 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 continue
             s = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, K) for i in (2, 3)]
             d = (s[0] != s[1]).sum(1)
-            ok = np.flatnonzero(d <= MAX_DISTANCE)
+            ok = np.flatnonzero(d <= most)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)),
                                               pa.array(d[ok].astype(np.int32))], ["a", "b", "d"])
 
@@ -160,6 +179,7 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
     to = F.when(F.col("major"), F.array(cell(none, own("nm"), no, yes))).otherwise(F.concat(against, among))
     cells = at.withColumn("x", F.explode(to)).select("h", "x.*", "node", "component", "n", "own", "sig")
     dealt = cells.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    distance = max_distance(percent)
 
     def compare(c: dict) -> tuple[np.ndarray, np.ndarray]:
         x, y = np.flatnonzero(c["left"]), np.flatnonzero(c["right"])
@@ -170,7 +190,7 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
             ok = (c["component"][y] != c["component"][p]) & (100 * both >= percent * (n[y] + n[p] - both))
             q = y[ok]
             if len(q):
-                q = q[(c["sig"][q] != c["sig"][p]).sum(1) <= MAX_DISTANCE]
+                q = q[(c["sig"][q] != c["sig"][p]).sum(1) <= distance]
                 out_a.append(np.full(len(q), c["node"][p]))
                 out_b.append(c["node"][q])
         if not out_a:
@@ -283,7 +303,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str) ->
         F.min(F.coalesce("_key", F.lit(NO_ID))).alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(row_key(grouped, "node"), "classes")
 
-    keys = index_keys(classes)
+    keys = index_keys(classes, percent)
     several = keys.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "node")).alias("hub")) \
         .filter("c > 1").select("h", F.col("hub.rep").alias("rep"), F.col("hub.node").alias("hub"))
     shared = materialize(keys.drop("rep").join(several, "h").select("h", "node", "rep", "hub"), "shared-keys")

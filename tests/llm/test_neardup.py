@@ -120,3 +120,19 @@ def test_blocks_compare_every_pair_across_components(spark, monkeypatch):
             if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and 100 * both >= 85 * (a[3] + b[3] - both) and far <= neardup.MAX_DISTANCE:
                 want.add((a[1], b[1]))
     assert want and {tuple(r) for r in neardup._blocks(df, 85).collect()} == want
+
+
+def test_distance_follows_the_similarity(spark):
+    """Pairs at 0.80 whose signatures differ in more symbols than 0.85 allows are still one document."""
+    for percent, distance in ((85, 21), (80, 25)):
+        assert neardup.max_distance(percent) == distance and neardup.missed(percent, distance) < 2e-4 < neardup.missed(percent, distance - 2)
+    rng = random.Random(11)
+    rows = []
+    while len(rows) < 6:
+        a = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+        b = a[:179] + [f"v{rng.randrange(10**6)}" for _ in range(21)]
+        x, y = (neardup.signature(shingle_set(words_of([" ".join(t)], lower=True).of(0), 5)) for t in (a, b))
+        if 21 < (x != y).sum() <= 25:
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), width=5, percent=80)
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2, 4]
