@@ -9,15 +9,16 @@ returns all items that score at least ``threshold`` and skips only what provably
   these maxima over a passage's terms, plus ``slack``, bounds every score in the block: blocks below the threshold
   are never opened (the block-max bound of WAND, for many passages at once). Opened blocks are scored with all postings.
 
-A hit is then verified: the share of the item's question shingles and of its answer shingles (five words)
-found in the passage must both reach ``overlap``. Words are runs of letters and digits, case folded.
+A hit is then verified: the share of the item's question words and of its answer words that lie in a run of three words
+(two in parts of fewer than ``SHORT`` words) found in the passage must both reach ``overlap``. At 0.5 a part survives two edited,
+inserted or dropped words from 8 words up and three from 12 up, wherever they stand. Words are runs of letters and digits, case folded.
 
 Passages are windows of 2 x stride words every stride words, with a stride of the longest item's word count, so any item
 lies in one window whole. The whole text is covered. The benchmark is taken in index blocks of at most
 ``MAX_ITEMS`` items (one broadcast each), however large it is.
 
-Defined cases: null or empty texts and items match nothing; items with fewer words than a shingle are
-compared as one shingle; repeated items each report; repeated documents are queried row by row; an empty table or
+Defined cases: null or empty texts and items match nothing; parts with fewer words than a run are
+compared as one run; repeated items each report; repeated documents are queried row by row; an empty table or
 benchmark gives no rows; other columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
@@ -37,7 +38,9 @@ from quarry.llm.words import ALNUM, U64, shingles, words_of
 
 K1, B = 1.2, 0.75
 BLOCK = 8
-WIDTH = 5
+WIDTH = 3
+SHORT = 18
+OVERLAP = 0.5
 MAX_ITEMS = 20_000
 LEAST_STRIDE = 32
 
@@ -139,10 +142,12 @@ class ItemIndex:
 
     @staticmethod
     def _share(part: np.ndarray, grams: np.ndarray) -> float:
+        """The share of the part's words that lie in a run of words found in the passage."""
         if not len(part):
             return 1.0
-        want = shingles(part, min(WIDTH, len(part)))
-        return float(np.isin(np.unique(want), grams).mean())
+        k = min(WIDTH if len(part) >= SHORT else WIDTH - 1, len(part))
+        hit = np.isin(shingles(part, k), grams)
+        return float((np.convolve(hit, np.ones(k, int)) > 0).mean())
 
 
 def build_index(rows: list[tuple], threshold: float, slack: float) -> ItemIndex:
@@ -176,7 +181,7 @@ def _chars(index: ItemIndex) -> int:
     return max(50_000, 2_000_000 * 64 // max(index.n_blocks, 64))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, key: str = "doc_id",
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = OVERLAP, key: str = "doc_id",
                text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(key, item_id, score, question_overlap, answer_overlap) of every document row and item it contains."""
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
@@ -202,7 +207,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
     return out.withColumnsRenamed({"doc": key, "item": item_id})
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, text: str = "text",
+def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = OVERLAP, text: str = "text",
                item_id: str = "item_id") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that contain no item."""
     at = docs.columns.index(text)

@@ -174,6 +174,32 @@ def test_leaks(spark, odd_docs):
     assert D.drop_leaks(odd_docs, items.limit(0)).count() == 11
 
 
+def test_leaks_with_edited_words(spark):
+    """Items of 16 to 59 words with one to three edited, inserted or dropped words, or one half quoted in part; a
+    question alone is no leak."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    item = [some(rng.randint(16, 59)) for _ in range(60)]
+    rows = []
+    for d, x in enumerate(item):
+        t, half = list(x), -(-len(x) // 2)
+        if d % 5 == 3:
+            t = t[:half + (len(t) - half) * 3 // 4]
+        elif d % 5 == 4:
+            t = t[:half]
+        else:
+            for _ in range(d % 5 + 1):
+                k = rng.randrange(len(t))
+                t[k:k + rng.randint(0, 1)] = some(rng.randint(0, 1))
+        rows.append((d, " ".join(some(rng.randint(0, 150)) + t + some(100))))
+    items = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(item)], "item_id long, text string").select("item_id", *D.split_item())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d for d in range(60) if d % 5 != 4}
+    assert {(r.doc_id, r.item_id) for r in D.find_leaks(docs, items).collect()} == {(d, d) for d in want}
+    assert {r.doc_id for r in D.drop_leaks(docs, items).collect()} == set(range(60)) - want
+
+
 def test_block_bounds_lose_nothing():
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, 12) % 50), " ".join(f"w{x}" for x in rng.zipf(1.5, 9) % 50)) for i in range(70)]
