@@ -152,3 +152,65 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return spans.select("doc_id", *counts, F.sha2(span_text(KINDS), 256).alias("base_sha256"),
                         span_text((*KINDS, "term")).alias("spans"))
+
+
+#: The columns of a document's leaf, in order.
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@register("op12_merkle_manifest", """
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, *, sha256(leafed) AS leaf, sha256(CASE WHEN bad THEN spoilt ELSE leafed END) AS seen
+  FROM (SELECT *, head || coalesce(strlen(text) || ':' || text, '-') AS leafed,
+               head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS spoilt,
+               xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, len(doc_id::VARCHAR) + 1),
+                     lambda i: ascii((doc_id::VARCHAR)[i])::UBIGINT)),
+                   lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))),
+                   4294967295) % 5 = 0 AS bad
+        FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                     || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+              FROM documents))
+), first AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS g,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+  FROM docs
+), nodes AS (
+  SELECT 0 AS level, g, idx, n, leaf AS h FROM first
+  UNION ALL
+  SELECT level + 1, g, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY level, g, idx // 16, n
+), subs AS (
+  SELECT *, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM (SELECT g, level AS height, h FROM nodes WHERE n = 1)
+), tops AS (
+  SELECT 0 AS level, idx, n, h FROM subs
+  UNION ALL
+  SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 16, n
+), tree AS (  -- one numbering of levels per group: its own, then those of the top tree
+  SELECT g, level, idx, h FROM nodes WHERE n > 1
+  UNION ALL SELECT s.g, s.height + t.level, t.idx, t.h FROM subs s, tops t WHERE t.n > 1
+), walk AS (
+  SELECT r, 0 AS level, f.g, CASE WHEN s.height = 0 THEN s.idx ELSE f.idx END AS idx, seen AS h FROM first f JOIN subs s ON s.g = f.g
+  UNION ALL
+  SELECT w.r, w.level + 1, w.g, CASE WHEN w.level + 1 = any_value(s.height) THEN any_value(s.idx) ELSE w.idx // 16 END,
+         sha256(string_agg(CASE WHEN t.idx = w.idx THEN w.h ELSE t.h END, '' ORDER BY t.idx))
+  FROM walk w JOIN tree t ON t.g = w.g AND t.level = w.level AND t.idx // 16 = w.idx // 16 JOIN subs s ON s.g = w.g
+  GROUP BY w.r, w.level, w.g, w.idx
+), path AS (
+  SELECT w.r, string_agg(t.h, '' ORDER BY w.level, t.idx) AS hs
+  FROM walk w JOIN tree t ON t.g = w.g AND t.level = w.level AND t.idx // 16 = w.idx // 16 AND t.idx <> w.idx GROUP BY w.r
+), roots AS (SELECT h FROM tops WHERE n = 1)
+SELECT f.doc_id, f.leaf, s.h AS subroot, roots.h AS root, sha256(coalesce(path.hs, '')) AS proof_sha256, w.h AS folded_root, w.h = roots.h AS verified
+FROM first f JOIN subs s ON s.g = f.g CROSS JOIN roots LEFT JOIN path ON path.r = f.r
+JOIN (SELECT r, max_by(h, level) AS h FROM walk GROUP BY r) w ON w.r = f.r""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.merkle import fold, leaf_digest, manifest, proof_digest
+
+    docs = read_table(spark, sf_dir, "documents").select(*LEAF_FIELDS)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    spoilt = [F.translate(c, upper, upper.lower()) if c == "text" else F.col(c) for c in LEAF_FIELDS]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    row = F.struct("doc_id", F.when(tampered, leaf_digest(spoilt)).alias("seen"))
+    made = manifest(docs, leaf_digest([F.col(c) for c in LEAF_FIELDS]), "source", "doc_id", row)
+    proofs = made.proofs().withColumn("folded_root", fold(F.coalesce("row.seen", "leaf"), F.col("path")))
+    root = F.lit(made.root)
+    return proofs.select("row.doc_id", "leaf", "subroot", root.alias("root"), proof_digest(F.col("path")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == root).alias("verified"))
