@@ -2,11 +2,11 @@
 
 1. Every row becomes a leaf digest. Leaves of a group are numbered in order without gathering a group: one
    range-partitioned sort of the digests, then counts per (partition, group) and their prefix sums.
-2. At each level every node offers its digest to its computed sibling indices (XOR 1 for a binary tree, the other slots of
-   its run otherwise) and an equijoin on (group, index) hands each node its siblings; the nodes in slot zero then hold
-   their whole run and emit the parent. Levels are written to the shared folder, so a lost executor costs one level.
+2. At each level the nodes are joined with themselves on (group, computed sibling index): XOR 1 in a binary tree, else back by the
+   node's slot. The nodes in slot zero then hold their whole run and emit the parent. Levels are written to the
+   shared folder, so a lost executor costs one level.
 3. What remains of each group is its subroot; subroots in group order form a tree of the same kind up to the root.
-4. Paths go down the other way: a node's path is its own siblings followed by its parent's path, one join a level.
+4. Paths go down the other way, one join a level: a node's siblings are cut from its parent's run, the parent's path follows.
 
 A run has at most ``fanout`` rows, so no join or group is larger than that whatever a group holds.
 
@@ -60,67 +60,65 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     return materialize(both.select("gid", (F.col("at") + F.col("shift")).alias("idx"), "n", "hash", "row"), f"{name}-level")
 
 
-def siblings(idx: Column, n: Column, fanout: int) -> Column:
-    """Indices of the other nodes of a node's run, of those below ``n``."""
-    if fanout == 2:
-        every = F.array(idx.bitwiseXOR(F.lit(1).cast("long")))
-    else:
-        slot = idx % fanout
-        every = F.transform(F.sequence(F.lit(1), F.lit(fanout - 1)), lambda k: idx - slot + (slot + k) % fanout)
-    return F.filter(every, lambda s: s < n)
+def sibling(idx: Column, fanout: int) -> Column:
+    """The index of the sibling in slot zero of a node's run: XOR 1 for an odd node of a binary tree, else back by the node's slot."""
+    return idx.bitwiseXOR(F.lit(1).cast("long")) if fanout == 2 else idx - idx % fanout
 
 
-def _with_siblings(nodes: DataFrame, fanout: int) -> DataFrame:
-    """Nodes of unfinished groups with ``left`` and ``right``: the digests of their run before and after them."""
-    open_ = nodes.filter("n > 1")
-    offers = open_.select("gid", F.col("idx").alias("of"), F.unhex("hash").alias("h"),
-                          F.explode(siblings(F.col("idx"), F.col("n"), fanout)).alias("idx"))
-    met = open_.join(offers, ["gid", "idx"], "left").groupBy("gid", "idx").agg(
-        F.first("n").alias("n"), F.first("hash").alias("hash"), F.first("row").alias("row"),
-        F.array_sort(F.collect_list(F.when(F.col("of").isNotNull(), F.struct("of", "h")))).alias("run"))
-    side = lambda keep: F.array_join(F.transform(F.filter("run", keep), lambda s: F.lower(F.hex(s["h"]))), "")
-    return met.select("gid", "idx", "n", "hash", "row", side(lambda s: s["of"] < F.col("idx")).alias("left"),
-                      side(lambda s: s["of"] > F.col("idx")).alias("right"))
+def _parents(nodes: DataFrame, fanout: int) -> DataFrame:
+    """The next level of the unfinished groups: slot-zero nodes meet their siblings by index, hold the whole ``run`` (the
+    digests of its nodes, left to right) and emit its digest as the parent's."""
+    open_ = nodes.filter("n > 1").select("gid", "idx", "n", "hash")
+    zero = F.col("idx") % fanout == 0
+    offers = open_.filter(~zero).select("gid", sibling(F.col("idx"), fanout).alias("idx"),
+                                        F.struct((F.col("idx") % fanout).alias("slot"), F.col("hash").alias("h")).alias("of"))
+    met = open_.filter(zero).join(offers, ["gid", "idx"], "left").groupBy("gid", "idx").agg(
+        F.first("n").alias("n"), F.first("hash").alias("hash"), F.array_sort(F.collect_list("of")).alias("of"))
+    run = F.concat("hash", F.array_join(F.transform("of", lambda s: s["h"]), ""))
+    return met.select("gid", F.floor(F.col("idx") / fanout).alias("idx"), F.ceil(F.col("n") / fanout).alias("n"),
+                      F.sha2(run, 256).alias("hash"), run.alias("run"))
 
 
 @dataclass
 class _Tree:
-    levels: list[DataFrame]     # gid, idx, n, hash (and row at the first): all nodes of a level
-    steps: list[DataFrame]      # the unfinished ones with left and right
+    """``levels[0]`` has gid, idx, n, hash, row; those above gid, idx, n, hash, run. All nodes of a level."""
+
+    levels: list[DataFrame]
     fanout: int
 
     def tops(self) -> DataFrame:
-        """(level, gid, hash): what remains of each group."""
-        out = [n.filter("n = 1").select(F.lit(k).alias("level"), "gid", "hash") for k, n in enumerate(self.levels)]
-        for more in out[1:]:
-            out[0] = out[0].union(more)
-        return out[0]
+        """(gid, hash): what remains of each group."""
+        out = None
+        for level in self.levels:
+            some = level.filter("n = 1").select("gid", "hash")
+            out = some if out is None else out.union(some)
+        return out
 
     def paths(self, tops: DataFrame) -> DataFrame:
-        """(gid, idx, top, path) of the first level from (gid, top, path) of each group's top; ``path`` has a step (left, right) per level."""
+        """(gid, idx, hash, row, top, path) of the first level from (gid, top, path) of each group's top; ``path`` has a step (left,
+        right) per level."""
+        slot = (F.col("idx") % self.fanout).cast("int")
+        step = F.struct(F.substring("up.run", F.lit(1), 64 * slot).alias("left"),
+                        F.substring("up.run", 64 * slot + 65, F.lit(64 * self.fanout)).alias("right"))
         now = None
         for k in range(len(self.levels) - 1, -1, -1):
-            done = self.levels[k].filter("n = 1").select("gid", "idx").join(tops, "gid").select("gid", "idx", "top", "path")
+            own = ["gid", "idx", "hash", "run" if k else "row"]
+            done = self.levels[k].filter("n = 1").select(*own).join(tops, "gid").select(*own, "top", "path")
             if now is not None:
-                up = now.select("gid", F.col("idx").alias("up"), "top", F.col("path").alias("rest"))
-                step = F.array(F.struct("left", "right"))
-                done = self.steps[k].withColumn("up", F.floor(F.col("idx") / self.fanout)).join(up, ["gid", "up"]).select(
-                    "gid", "idx", "top", F.concat(step, "rest").alias("path")).union(done)
+                up = now.select("gid", F.col("idx").alias("at"), F.struct("run", "top", "path").alias("up"))
+                done = self.levels[k].filter("n > 1").select(*own, F.floor(F.col("idx") / self.fanout).alias("at")).join(
+                    up, ["gid", "at"]).select(*own, F.col("up.top").alias("top"), F.concat(F.array(step), "up.path").alias("path")).union(done)
             now = done
         return now
 
 
 def _grow(first: DataFrame, fanout: int, name: str) -> _Tree:
     largest = first.agg(F.max("n")).first()[0] or 0
-    tree = _Tree([first], [], fanout)
+    levels = [first]
     while largest > 1:
-        step = materialize(_with_siblings(tree.levels[-1], fanout), f"{name}-step")
-        tree.steps.append(step)
-        tree.levels.append(materialize(step.filter(F.col("idx") % fanout == 0).select(
-            "gid", F.floor(F.col("idx") / fanout).alias("idx"), F.ceil(F.col("n") / fanout).alias("n"),
-            digest(F.col("hash"), F.col("right")).alias("hash"), F.lit(None).cast("string").alias("row")), f"{name}-level"))
+        levels.append(materialize(_parents(levels[-1], fanout), f"{name}-level"))
         largest = -(-largest // fanout)
-    return tree
+    return _Tree(levels, fanout)
 
 
 @dataclass
@@ -142,13 +140,10 @@ class Manifest:
 
     def proofs(self) -> DataFrame:
         """Per row: row, leaf, subroot, path (array of left, right from the leaf up to the root)."""
-        root = self.top.levels[-1].select("gid").limit(1).select("gid", F.lit(self.root).alias("top"), F.array().cast(
-            "array<struct<left:string,right:string>>").alias("path"))
-        first = self.top.levels[0].select("gid", "idx", F.col("row").alias("group"), F.col("hash").alias("subroot"))
-        over = self.top.paths(root).join(first, ["gid", "idx"]).select(
-            F.col("group").alias("gid"), F.col("subroot").alias("top"), "path")
-        rows = self.groups.levels[0].select("gid", "idx", "hash", "row")
-        return rows.join(self.groups.paths(over), ["gid", "idx"]).select("row", F.col("hash").alias("leaf"), F.col("top").alias("subroot"), "path")
+        none = F.array().cast("array<struct<left:string,right:string>>")
+        root = self.top.levels[-1].select("gid", F.lit(self.root).alias("top"), none.alias("path"))
+        over = self.top.paths(root).select(F.col("row").alias("gid"), F.col("hash").alias("top"), "path")
+        return self.groups.paths(over).select("row", F.col("hash").alias("leaf"), F.col("top").alias("subroot"), "path")
 
 
 def proof_digest(path: Column) -> Column:
