@@ -214,3 +214,14 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = F.lit(made.root)
     return proofs.select("row.doc_id", "leaf", "subroot", root.alias("root"), proof_digest(F.col("path")).alias("proof_sha256"),
                          "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+@register("op13_subword_lattice")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.subword_lm import score_texts
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _id_part(10) == 0
+    made = score_texts(docs, ~held_out, tokenizer_path("piece_bpe_32k.model"), F.struct("doc_id", held_out.alias("held_out")))
+    return made.texts.select("kept.doc_id", "kept.held_out", "n_tokens", "n_known", F.lit(made.train_tokens).cast("long").alias("train_tokens"),
+                             "base_score", "score")
