@@ -44,8 +44,8 @@ ROUNDS = 2
 SMOOTH = 0.1
 _STEP = U64(0x9E3779B97F4A7C15)
 _SPREAD = U64(0xD6E8FEB86659FD93)
-_CHUNK = 8_000_000     # characters tokenized at once
-_WORDS = 60_000        # words of one lattice batch
+_CHUNK = 3_000_000     # characters tokenized at once
+_WORDS = 40_000        # words of one lattice batch
 _CELLS = 4_000_000     # bytes times words of one lattice block
 
 
