@@ -29,7 +29,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
-    """(node, component) of every node on an edge; the component is its smallest node."""
+    """(node, component) of every node on an edge; the component is its smallest node. Raises if ``rounds`` do not
+    suffice (they grow with the logarithm of the longest path)."""
     now = materialize(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
                       .filter(F.col("a") != F.col("b")).select("a", "b").distinct(), name)
     mark = None
@@ -39,5 +40,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
         if tuple(got) == mark:
             break
         mark = tuple(got)
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -11,8 +11,9 @@
 4. Classes of the other keys that share too few shingles with all pending classes to reach the similarity
    with any (an exact bound from the counts of shingles nobody else has) drop out: copies with many edits.
 5. What is left, pairs of a key in different components, is compared completely: a key's classes are cut into
-   blocks of about 512 (its largest component once, the others against it and each other), cells of two blocks are
-   compared in parallel, and each pair within the bound and the signature distance is confirmed on the full sets. No pair that shares a key and could join two components goes unchecked.
+   blocks of about 512 (its largest component once, the others against it and each other), and cells of two blocks are compared
+   in parallel, every pair on its full sets. A cell puts out only the links that join components: fewer than it has members.
+   No pair that shares a key and could join two components goes unchecked.
 
 A pair at similarity 0.85 differs in 9.6 of 64 symbols on average (deviation 2.9); more than its distance of 21 differ with a
 chance of 9.5e-5. At 0.80 (the pipeline) the distance is 25 and the chance 1.3e-4. It is less above the similarity asked for.
@@ -39,7 +40,9 @@ from quarry.llm.words import U64, mix, shingle_set, words_of
 
 K = 64
 MOST_MISSED = 2e-4
-BLOCK = 512
+BLOCK = 512            # classes of a block
+ITEMS = 1_000_000      # shingles of a block
+COLUMNS = 8192         # shingles of a membership matrix
 HUB_ROUNDS = 2
 NO_ID = 2 ** 63 - 1
 
@@ -161,15 +164,70 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d int")
 
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a key in different components within the signature distance. A key's largest component (no pair
+class _Forest:
+    """Union-find over component ids, kept for all cells of a task: what one cell joined the next need not join again."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.of(x), self.of(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _shared_items(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(set number, item number) of the items that two sets or more hold, and how many such items there are."""
+    items = np.concatenate(sets)
+    _, place, count = np.unique(items, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    kept = count[place] > 1
+    return np.repeat(np.arange(len(sets)), [len(x) for x in sets])[kept], number[place[kept]], int((count > 1).sum())
+
+
+def _join_cell(left: np.ndarray, right: np.ndarray, node: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int,
+               forest: _Forest) -> list[tuple[int, int]]:
+    """The links (a, b) between left and right members that join two components: fewer than there are members. Every pair in
+    different components is tested on its full sets, by the product of membership matrices (some columns at a time)."""
+    x, y = np.flatnonzero(left), np.flatnonzero(right)
+    if not len(x) or not len(y):
+        return []
+    n = np.array([len(v) for v in sets])
+    who, item, several = _shared_items(sets)
+    order = np.argsort(item, kind="stable")
+    who, item = who[order], item[order]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, several, COLUMNS):
+        a, b = np.searchsorted(item, (lo, lo + COLUMNS))
+        has = np.zeros((len(sets), min(COLUMNS, several - lo)), np.float32)
+        has[who[a:b], item[a:b] - lo] = 1.0
+        both += has[x] @ has[y].T
+    linked = 100.0 * both >= percent * (n[x][:, None] + n[y] - both)
+    out = []
+    for p, row in zip(x.tolist(), linked, strict=True):
+        near = y[row & (component[y] != component[p])]
+        for c, q in zip(*(v.tolist() for v in np.unique(component[near], return_index=True)), strict=True):
+            if forest.join(int(component[p]), c):
+                out.append((int(node[p]), int(node[near[q]])))
+    return out
+
+
+def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of a key, confirmed on the full sets. A key's largest component (no pair
     inside it matters) is cut into blocks that hold each class once; the rest goes to every such block, and block by
-    block against itself. Cells are streamed one after the other."""
-    each = members.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c"))
-    key = each.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("c"), F.sum("c").alias("all")) \
-        .select("h", "major", F.ceil(F.col("c") / BLOCK).cast("int").alias("nm"),
-                F.greatest(F.ceil((F.col("all") - F.col("c")) / BLOCK), F.lit(1)).cast("int").alias("nr"))
-    at = members.join(key, "h").withColumn("major", F.col("component") == F.col("major"))
+    block against itself. A block has about BLOCK classes and ITEMS shingles. Cells are streamed one after the other; each
+    gives a spanning forest of what it joins, so the rows that come out do not grow with the pairs compared."""
+    each = members.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    big = lambda c, n: F.greatest(F.ceil(c / BLOCK), F.ceil(n / ITEMS), F.lit(1)).cast("int")
+    key = each.groupBy("h").agg(F.max(F.struct("c", "component", "n")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n")).select(
+        "h", F.col("top.component").alias("major"), big(F.col("top.c"), F.col("top.n")).alias("nm"),
+        big(F.col("c") - F.col("top.c"), F.col("n") - F.col("top.n")).alias("nr"))
+    at = members.select("h", "node", "component").join(key, "h").withColumn("major", F.col("component") == F.col("major"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     cell = lambda i, j, left, right: F.struct(i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
     yes, no, none = F.lit(True), F.lit(False), F.lit(-1)
@@ -177,41 +235,27 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
     among = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda o: cell(
         F.least(own("nr"), o), F.greatest(own("nr"), o), own("nr") <= o, own("nr") >= o))
     to = F.when(F.col("major"), F.array(cell(none, own("nm"), no, yes))).otherwise(F.concat(against, among))
-    cells = at.withColumn("x", F.explode(to)).select("h", "x.*", "node", "component", "n", "own", "sig")
-    dealt = cells.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    distance = max_distance(percent)
-
-    def compare(c: dict) -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.flatnonzero(c["left"]), np.flatnonzero(c["right"])
-        out_a, out_b = [], []
-        for p in x.tolist():
-            n, most = c["n"], c["n"] - c["own"]
-            both = np.minimum(most[y], most[p])      # no pair can share more
-            ok = (c["component"][y] != c["component"][p]) & (100 * both >= percent * (n[y] + n[p] - both))
-            q = y[ok]
-            if len(q):
-                q = q[(c["sig"][q] != c["sig"][p]).sum(1) <= distance]
-                out_a.append(np.full(len(q), c["node"][p]))
-                out_b.append(c["node"][q])
-        if not out_a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return np.minimum(a, b), np.maximum(a, b)
+    cells = at.withColumn("x", F.explode(to)).select("h", "x.*", "node", "component").join(sets, "node")
+    dealt = cells.select("h", "i", "j", "left", "right", "node", "component", "items").repartition("h", "i", "j") \
+        .sortWithinPartitions("h", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: list[pa.RecordBatch] = []
+        forest = _Forest()
 
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            col = {k: table.column(k).to_numpy(zero_copy_only=False) for k in ("h", "i", "j", "left", "right", "node", "component", "n", "own")}
-            col["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, K)
+        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts)
+            col = {k: table.column(k).to_numpy(zero_copy_only=False) for k in ("h", "i", "j", "left", "right", "node", "component")}
+            items = table.column("items")
             cut = np.flatnonzero((np.diff(col["h"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)) + 1
-            a, b = [], []
+            out = []
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), table.num_rows], strict=True):
-                got = compare({k: v[lo:hi] for k, v in col.items()})
-                a.append(got[0])
-                b.append(got[1])
-            both = np.unique(np.c_[np.concatenate(a), np.concatenate(b)], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["a", "b"])
+                component = np.array([forest.of(c) for c in col["component"][lo:hi].tolist()])
+                if (component != component[0]).any():
+                    own_sets = [np.frombuffer(v.as_buffer(), U64) for v in items.slice(lo, hi - lo)]
+                    out += _join_cell(col["left"][lo:hi], col["right"][lo:hi], col["node"][lo:hi], component, own_sets, percent, forest)
+            a, b = zip(*out, strict=True) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         def cell(t: pa.RecordBatch, r: int) -> tuple:
             return t.column(0)[r].as_py(), t.column(1)[r].as_py(), t.column(2)[r].as_py()
@@ -221,20 +265,20 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             if held and cell(batch, 0) != last:
-                yield flush(pa.Table.from_batches(held))
+                yield flush(held)
                 held = []
             end = batch.num_rows - 1
             last, lo = cell(batch, end), end
             while lo > 0 and cell(batch, lo - 1) == last:
                 lo -= 1
             if lo > 0:
-                yield flush(pa.Table.from_batches([*held, batch.slice(0, lo)]))
+                yield flush([*held, batch.slice(0, lo)])
                 held = []
             held.append(batch.slice(lo))
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield flush(held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 class _Confirm:
@@ -325,8 +369,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str) ->
         if pending.isEmpty():
             break
     else:
-        pairs = _blocks(pending, percent)
-        links = materialize(confirm(pairs).union(links), "links")
+        links = materialize(_blocks(pending, confirm.sets, percent).union(links), "links")
         comp = materialize(components(links), "component-of")
 
     lowest = comp.join(classes.select("node", "rep"), "node")
@@ -371,7 +414,7 @@ def _pending(shared: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _possible(pending: DataFrame, classes: DataFrame, confirm: _Confirm, percent: int) -> DataFrame:
-    """Pending rows that can still be linked, with n, own and sig. ``own`` counts a class's shingles that no other pending
+    """Pending rows that can still be linked, with n. ``own`` counts a class's shingles that no other pending
     class has; it can share at most i = n - own with any of them, so with sizes from ``low`` up its similarity
     is at most i / (n + max(low, i) - i). Heavily edited copies drop out here, without a comparison, and with
     them the keys they kept open. The bound is exact: nothing that could be linked is lost."""
@@ -379,9 +422,9 @@ def _possible(pending: DataFrame, classes: DataFrame, confirm: _Confirm, percent
     items = confirm.items_of(nodes)
     own = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1") \
         .groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    sized = nodes.join(classes.select("node", "n", "sig"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    sized = nodes.join(classes.select("node", "n"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     at = pending.join(materialize(sized, "pending-sizes"), "node")
     low = at.groupBy("h").agg(F.min("n").alias("low"))
     i = F.col("n") - F.col("own")
-    able = at.join(low, "h").filter(100 * i >= percent * (F.col("n") + F.greatest("low", i) - i)).drop("low")
+    able = at.join(low, "h").filter(100 * i >= percent * (F.col("n") + F.greatest("low", i) - i)).drop("low", "own")
     return materialize(_mixed(able), "possible")

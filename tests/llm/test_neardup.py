@@ -98,28 +98,40 @@ def test_words_follow_the_contract():
     assert w.of(0)[0] == words_of(["a"]).of(0)[0] and len(shingle_set(w.of(0)[:2], 3)) == 1
 
 
-def test_blocks_compare_every_pair_across_components(spark, monkeypatch):
+def test_cells_join_what_all_pairs_join_with_few_rows(spark, monkeypatch):
+    """Every link between components of a key counts, and what comes out grows with members, not with pairs."""
     import numpy as np
 
-    monkeypatch.setattr(neardup, "BLOCK", 8)
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 60000, neardup.K)
-    rows = []
-    for node in range(70):
-        sig = base.copy()
-        change = rng.choice(neardup.K, rng.integers(0, 16), replace=False)
-        sig[change] = rng.integers(0, 60000, len(change))
-        rows.append((int(node % 3), node, int(0 if node % 4 else node), int(rng.integers(80, 100)), int(rng.integers(0, 12)),
-                     bytearray(sig.astype(np.uint16).tobytes())))
-    df = spark.createDataFrame(rows, "h long, node long, component long, n long, own long, sig binary")
-    want = set()
-    for a in rows:
-        for b in rows:
-            both = min(a[3] - a[4], b[3] - b[4])
-            far = (np.frombuffer(a[5], np.uint16) != np.frombuffer(b[5], np.uint16)).sum()
-            if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and 100 * both >= 85 * (a[3] + b[3] - both) and far <= neardup.MAX_DISTANCE:
-                want.add((a[1], b[1]))
-    assert want and {tuple(r) for r in neardup._blocks(df, 85).collect()} == want
+    base = rng.integers(0, 2 ** 60, 100)
+    rows, sets = [], {}
+    for node in range(120):
+        kept = rng.permutation(base)[:rng.integers(86, 100)]
+        sets[node] = np.unique(np.concatenate([kept, rng.integers(0, 2 ** 60, rng.integers(0, 12))])).astype(np.uint64)
+        for h in {node % 3, 3 + node % 5}:
+            rows.append((h, node, int(0 if node % 4 == 0 else node), len(sets[node])))
+    members = spark.createDataFrame(rows, "h long, node long, component long, n long").repartition(3)
+    items = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node long, items binary")
+    part = {node: c for _, node, c, _ in rows}
+
+    def joined(links):
+        up = {c: c for c in part.values()}
+
+        def of(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+        for a, b in links:
+            up[of(part[a])] = of(part[b])
+        return {frozenset(c for c in up if of(c) == r) for r in map(of, up)}
+    want = [(a, b) for h, a, ca, na in rows for g, b, cb, nb in rows
+            if h == g and ca != cb and a < b and 100 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (na + nb - both)]
+    for block, columns in ((512, 8192), (8, 16)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "COLUMNS", columns)
+        got = [tuple(r) for r in neardup._blocks(members, items, 85).collect()]
+        true = set(want) | {(b, a) for a, b in want}
+        assert want and set(got) <= true and joined(got) == joined(want) and len(got) <= len(rows) < len(want)
 
 
 def test_distance_follows_the_similarity(spark):
