@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -14,7 +15,6 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 def whole(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -33,6 +33,23 @@ def test_units_give_the_ids_of_the_whole_text(name, duck):
         assert np.frombuffer(raw, enc.dtype).tolist() == ids(t), repr(t)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_every_letter_before_every_mark(name):
+    enc, ids = tokens.UnitEncoder(public_tokenizers.path(name)), whole(name)
+    letters = [chr(c) for c in range(0x250) if re.fullmatch(f"[{tokens.LETTERS}]", chr(c))] + ["İ", "ŉ", "ǰ", "ẞ"]
+    texts = [f"a{x}{m}{y}" for x in letters for m in ".,;:!?" for y in ("", " b")]
+    for raw, t in zip(enc.encode(texts), texts, strict=True):
+        assert np.frombuffer(raw, enc.dtype).tolist() == ids(t), repr(t)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_special_strings_are_as_the_plain_call_has_them(name):
+    enc, ids = tokens.UnitEncoder(public_tokenizers.path(name)), whole(name)
+    texts = ["a <|endoftext|> b", "x<|endoftext|>", "<|EndOfText|>, y", "<|startoftext|>", "<|endoftext", "plain"]
+    for raw, t in zip(enc.encode(texts), texts, strict=True):
+        assert np.frombuffer(raw, enc.dtype).tolist() == ids(t), repr(t)
+
+
 def test_small_cache_and_long_text_change_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_CACHED", 5)
     monkeypatch.setattr(tokens, "LONG_TEXT", 50)
@@ -53,8 +70,38 @@ def test_best_fit_respects_every_capacity():
                 order = at[np.argsort(offsets[at])]
                 assert lens[at].sum() <= 100 and len(at) <= docs and (lens[at] ** 2).sum() <= cost
                 assert offsets[order].tolist() == (np.cumsum(lens[order]) - lens[order]).tolist()
-    bins, _ = packing.best_fit(lengths, 100, 100, 10_000)
-    assert bins.max() + 1 <= 1.02 * np.ceil(lengths.sum() / 100)
+
+
+def plain_scan(lengths, caps, weights, score):
+    """Best fit by looking at every open bin for every piece, longest first."""
+    bins, out = [], [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = (int(lengths[i]), 1, int(lengths[i]) ** 2)
+        best = None
+        for b, left in enumerate(bins):
+            if all(x >= y for x, y in zip(left, need, strict=True)):
+                w = [x / (c * float(c)) for x, c in zip(weights, caps, strict=True)]
+                value = sum(f * (x - y) ** 2.0 for f, x, y in zip(w, left, need, strict=True)) if score == "norm" else \
+                    sum(f * y * x for f, x, y in zip(w, left, need, strict=True))
+                if best is None or value < best[0]:
+                    best = (value, b)
+        if best is None:
+            bins.append(list(caps))
+            best = (0, len(bins) - 1)
+        bins[best[1]] = [x - y for x, y in zip(bins[best[1]], need, strict=True)]
+        out[i] = best[1]
+    return len(bins), bins
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("caps", [(100, 100, 10_000), (100, 4, 10_000), (100, 100, 4_000)])
+def test_best_fit_equals_a_plain_scan(score, caps):
+    lengths = np.random.default_rng(5).integers(1, 60, 400)
+    bins, _ = packing.best_fit(lengths, *caps, score=score)
+    many, left = plain_scan(lengths, caps, (1.0, 0.01, 0.01), score)
+    assert bins.max() + 1 == many
+    used = [(int(lengths[bins == b].sum()), int((bins == b).sum())) for b in range(many)]
+    assert sorted(used) == sorted((caps[0] - x[0], caps[1] - x[1]) for x in left)
 
 
 def test_pack_odd_rows(spark, odd_docs):
