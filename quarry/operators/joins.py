@@ -5,7 +5,8 @@ row per key, e.g. corpus word counts) and the other side repeats hot keys withou
 document contains "the"). The dimension's own weight column names the hot keys: the top ``hot_k``
 keys (with a bounded key width) are broadcast - a proven size bound of ``hot_k`` rows - and joined
 without moving the big side; only cold rows go through the shuffle join, where no key is hot.
-``salted_join`` does the same for wide dimension rows, by salting the hot keys.
+``salted_join`` does the same for wide dimension rows, by salting the hot keys. ``block_join`` is for keys
+that repeat on both sides.
 """
 
 from __future__ import annotations
@@ -76,3 +77,26 @@ def salted_join(big: DataFrame, dim: DataFrame, key: str, spread: list[str], how
     d = dim.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("bigint"))))).drop("_hot")
     return b.join(d, [key, "_salt"], how).drop("_salt")
+
+
+def block_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, block_rows: int = 10_000, hot_k: int = HOT_K) -> DataFrame:
+    """Inner equi-join, null matching null, for keys that may be hot on both sides. From exact counts, a key with more than
+    ``block_rows`` rows on a side is cut into row blocks (left) and column blocks (right) of about that size; every left row goes to all
+    column blocks of its row block and the other way round, so each cell of two blocks is one group of the join and a key's product
+    spreads over its cells. Blocks follow a hash of the whole row, so they are the same whenever a task is run again; rows
+    equal in every column share a block. Counts are kept for the ``hot_k`` largest products of hot keys (by hash of the key), which
+    bounds the broadcast. Result columns: left's, then right's."""
+    count = lambda df, key, name: df.groupBy(F.xxhash64(key).alias("_h")).agg(F.count(F.lit(1)).alias(name))
+    hot = (count(left, left_key, "_l").join(count(right, right_key, "_r"), "_h").where(F.greatest("_l", "_r") > block_rows)
+           .orderBy((F.col("_l") * F.col("_r").cast("double")).desc(), "_h").limit(hot_k)
+           .select("_h", F.ceil(F.col("_l") / block_rows).cast("int").alias("_a"), F.ceil(F.col("_r") / block_rows).cast("int").alias("_b")))
+
+    def cut(df: DataFrame, key: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        block = F.coalesce(F.pmod(F.xxhash64(*df.columns, F.lit(1)), F.col(own)).cast("int"), F.lit(0))
+        every = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
+        with_blocks = df.withColumn("_h", F.xxhash64(key)).join(F.broadcast(hot), "_h", "left")
+        return with_blocks.select(*df.columns, block.alias(mine), F.explode(every).alias(theirs))
+    x = cut(left, left_key, "_a", "_b", "_i", "_j").alias("x")
+    y = cut(right, right_key, "_b", "_a", "_j", "_i").alias("y")
+    on = F.col(f"x.`{left_key}`").eqNullSafe(F.col(f"y.`{right_key}`")) & (F.col("x._i") == F.col("y._i")) & (F.col("x._j") == F.col("y._j"))
+    return x.join(y, on).select(*[F.col(f"x.`{c}`") for c in left.columns], *[F.col(f"y.`{c}`") for c in right.columns])

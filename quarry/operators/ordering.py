@@ -1,7 +1,8 @@
 """Sort, limit, top-k and seeded sampling (O-1..O-6).
 
-Limits are always ``orderBy(key).limit(n)``: Spark plans ``TakeOrderedAndProject``, where every map
-task keeps its own top n and only n x tasks rows reach the final merge. No global window, no collect.
+Limits up to ``SMALL`` rows are ``orderBy(key).limit(n)``: Spark plans ``TakeOrderedAndProject``, where every map
+task keeps its own top n and only n x tasks rows reach the final merge. Larger ones find the n-th key by narrowing and
+filter by it (``operators.selection``); their rows come unsorted. No global window, no collect of rows.
 """
 
 from __future__ import annotations
@@ -10,6 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SMALL = 10_000
+
+
+def _first(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    if n <= SMALL:
+        return df.orderBy(*order).limit(n)
+    from quarry.operators.selection import first_rows
+
+    return first_rows(df, n, order)
+
+
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
@@ -18,12 +30,12 @@ def first_n(df: DataFrame, n: int | None, order) -> DataFrame:
     """O-1: first ``n`` rows in dataset order (an explicit key); ``None`` keeps all; never more than exist."""
     if n is None:
         return df
-    return df.orderBy(*_cols(order)).limit(n)
+    return _first(df, n, _cols(order))
 
 
 def priority_target(df: DataFrame, target: int, order=("view_rank", "page", "pos")) -> DataFrame:
     """O-2: stop at ``target`` accepted records, filled in listing priority order (after gates, Q7)."""
-    return df.orderBy(*_cols(order)).limit(target)
+    return _first(df, target, _cols(order))
 
 
 def sample_key(seed: int, key: Column) -> Column:
@@ -35,7 +47,7 @@ def sample_exact(df: DataFrame, n: int | None, seed: int, key: str) -> DataFrame
     """O-3: exactly ``n`` rows without replacement, deterministic for a seed; all rows if n >= count."""
     if n is None:
         return df
-    return df.orderBy(sample_key(seed, F.col(key)), F.col(key)).limit(n)
+    return _first(df, n, [sample_key(seed, F.col(key)), F.col(key)])
 
 
 def sort_categorical(df: DataFrame, order_dim: DataFrame, label: str = "label", ord_col: str = "ord") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_q", "chat_q", "curate_q", "score_q", "grid_q", "ppl_q", "results_q", "io_q", "stream_q")
+MODULES = ("text_q", "chat_q", "curate_q", "score_q", "grid_q", "ppl_q", "results_q", "io_q", "stream_q", "select_q")
 
 
 def _load():

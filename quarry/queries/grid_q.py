@@ -34,8 +34,7 @@ LV = ", ".join(str(x) for x in LEVELS)
 JOINED = f"""
 SELECT s.Instruction, s.Category, s.BaseStory, s.Final_prompt, c."Instruction Number" AS Instruction_Number,
        c."Number of Constraints" AS Number_of_Constraints, c.Constraints AS SelectedConstraints, '{EG.DIRECTION}' AS Direction
-FROM ({STORIES}) s JOIN ({CONSTRAINTS}) c ON s.Instruction IS NOT DISTINCT FROM c."Instruction "
-WHERE c."Number of Constraints" IN ({LV})"""
+FROM ({STORIES}) s JOIN ({CONSTRAINTS}) c ON s.Instruction IS NOT DISTINCT FROM c."Instruction " """
 JOINED_COLS = ["Instruction", "Category", "BaseStory", "Final_prompt", "Instruction_Number", "Number_of_Constraints",
                "SelectedConstraints", "Direction"]
 JOINED_SCHEMA = ("Instruction string, Category string, BaseStory string, Final_prompt string, Instruction_Number bigint, "
@@ -43,8 +42,7 @@ JOINED_SCHEMA = ("Instruction string, Category string, BaseStory string, Final_p
 
 
 def _joined(spark, sf):
-    return EG.prompt_constraints(EG.base_stories(table(spark, sf, "orders")),
-                                 EG.constraint_sets(table(spark, sf, "lineitem")), LEVELS)
+    return EG.prompt_constraints(EG.base_stories(table(spark, sf, "orders")), EG.constraint_sets(table(spark, sf, "lineitem")))
 
 
 # J-1 ---------------------------------------------------------------------------------------------
@@ -164,13 +162,18 @@ def txt_config_parse(spark, sf):
 
 # J-6 ---------------------------------------------------------------------------------------------
 @register("join_side_by_side", """
-SELECT conv_id, max(text) FILTER (WHERE turn = 1) AS base, max(text) FILTER (WHERE turn = 3) AS tuned
-FROM conversations WHERE role = 'assistant' AND turn IN (1, 3) GROUP BY conv_id""")
+SELECT conv_id, CAST(turn // 4 AS BIGINT) AS pair, max(text) FILTER (WHERE (turn // 2) % 2 = 0) AS base,
+       max(text) FILTER (WHERE (turn // 2) % 2 = 1) AS tuned
+FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn // 4""")
 def join_side_by_side(spark, sf):
+    """All assistant turns of a conversation, paired by position: of every four turns the first exchange's answer is the base model's and
+    the second one's the tuned model's."""
     conv = table(spark, sf, "conversations")
-    answers = conv.where((F.col("role") == "assistant") & F.col("turn").isin(1, 3)).select(
-        "conv_id", F.when(F.col("turn") == 1, F.lit("base")).otherwise(F.lit("tuned")).alias("model"), "text")
-    return EG.side_by_side(answers, "conv_id", "model", "text")
+    exchange = F.floor(F.col("turn") / 2)
+    answers = conv.where(F.col("role") == "assistant").select(
+        "conv_id", F.floor(F.col("turn") / 4).cast("bigint").alias("pair"),
+        F.when(exchange % 2 == 0, F.lit("base")).otherwise(F.lit("tuned")).alias("model"), "text")
+    return EG.side_by_side(answers, ["conv_id", "pair"], "model", "text")
 
 
 # F-9 ---------------------------------------------------------------------------------------------

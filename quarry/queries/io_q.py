@@ -91,7 +91,6 @@ def src_named_split(spark, sf):
 
 
 # SRC-6 / T-8 (grid prompt) ------------------------------------------------------------------------
-TASK_LIMIT = 200
 TASK_SCHEMA = ("name string, train array<struct<input:array<array<bigint>>, output:array<array<bigint>>>>, "
                "test array<struct<input:array<array<bigint>>, output:array<array<bigint>>>>")
 
@@ -118,11 +117,10 @@ PROMPT_SQL = D.fill(TP.GRID, examples=D.fill(TP.GRID_EXAMPLE, input=_grid_text_s
 SELECT task_file, CAST(1 AS BIGINT) AS n_train, CAST(1 AS BIGINT) AS n_test, {PROMPT_SQL} AS prompt FROM (
   SELECT 'task_' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || '.json' AS task_file, o_custkey,
          CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS dd
-  FROM orders ORDER BY task_file LIMIT {TASK_LIMIT})""")
+  FROM orders)""")
 def src_task_dir(spark, sf):
-    """Grid task documents landed as JSON lines, read back; the first 200 task names in sorted
-    order (the quick-run size), each with its few-shot prompt (T-8)."""
+    """Every grid task document landed as JSON lines and read back with its few-shot prompt (T-8)."""
     path = write_jsonl(task_docs(table(spark, sf, "orders")), scratch_path(spark, "grid-tasks"))
-    tasks = read_task_dir(spark, path, TASK_SCHEMA, limit=TASK_LIMIT, name_field="name")
+    tasks = read_task_dir(spark, path, TASK_SCHEMA, name_field="name")
     return tasks.select("task_file", F.size("train").cast("bigint").alias("n_train"), F.size("test").cast("bigint").alias("n_test"),
                         S.grid_prompt(F.col("train"), F.col("test")[0]["input"]).alias("prompt"))
