@@ -49,6 +49,19 @@ def read_harness_tree(spark: SparkSession, roots: dict[str, str], glob: str = "r
     return materialize(out, "result-files")  # many small files are parsed once
 
 
+def folder_value(name: str) -> Column:
+    """The value of ``name`` in a document's folders (``.../<name>=<value>/...``)."""
+    return path_part(F.col("file_path"), f"/{name}=([^/]*)/")
+
+
+def read_harness_folders(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-4 for trees that tasks have written (``write_document_folders`` by family, task, config, model, run): the same rows as
+    ``read_harness_tree``."""
+    df = read_result_tree(spark, root, RESULT_SCHEMA, glob="part-*")
+    names = {"family": "family", "task": "task_folder", "config": "config", "model": "model", "run": "run"}
+    return materialize(df.select(*[folder_value(k).alias(v) for k, v in names.items()], "file_path", "results", "unreadable"), "result-files")
+
+
 def unreadable_files(files: DataFrame) -> DataFrame:
     """The files of a result tree that did not parse (report them: their results are missing)."""
     return files.where("unreadable").select("file_path")
@@ -148,6 +161,13 @@ def read_trait_tree(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return materialize(out, "trait-files").where(~F.col("unreadable")).drop("unreadable")
 
 
+def read_trait_folders(spark: SparkSession, root: str) -> DataFrame:
+    """Choice-evaluation results that tasks have written by family, trait, model, file: the rows of ``read_trait_tree``."""
+    df = read_result_tree(spark, root, TRAIT_SCHEMA, glob="part-*")
+    part = df.select("unreadable", *[folder_value(k).alias(k) for k in ("family", "trait", "file")], "results.*")
+    return materialize(part, "trait-files").where(~F.col("unreadable")).drop("unreadable")
+
+
 GRID_DOC_SCHEMA = (
     "config struct<model_label:string, base_only:boolean, model_type:string, n:bigint, dataset_split:string, timestamp:string>, "
     "summary struct<total_tasks:bigint, solved:bigint, accuracy:double>")
@@ -162,9 +182,9 @@ def grid_config(model: Column, split: Column, base_only: bool = False) -> Column
                     F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
 
 
-def collect_grid_documents(spark: SparkSession, root: str) -> DataFrame:
+def collect_grid_documents(spark: SparkSession, root: str, glob: str = "*_results.json") -> DataFrame:
     """A-11 from result documents: model, split, accuracy, solved, total of every ``*_results.json`` under ``root``, by file."""
-    docs = read_result_tree(spark, root, GRID_DOC_SCHEMA, glob="*_results.json")
+    docs = read_result_tree(spark, root, GRID_DOC_SCHEMA, glob=glob)
     docs = materialize(docs, "grid-documents").where(~F.col("unreadable"))
     return docs.select("file_path", F.col("config.model_label").alias("model"), F.col("config.dataset_split").alias("split"),
                        "summary.accuracy", "summary.solved", F.col("summary.total_tasks").alias("total")).orderBy("file_path")

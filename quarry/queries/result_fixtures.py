@@ -1,43 +1,45 @@
-"""Stand-in result documents derived from ``orders`` (FIXTURES.md part B), written in the layout that the evaluation
-scripts leave behind: ``<family root>/<task>/<config>/<model>/results_<stamp>.json`` and
-``<family root>/<trait>/<file>.json``, indented.
+"""Stand-in result documents derived from ``orders`` (FIXTURES.md part B), written by the tasks, one folder per document with
+the parts of the evaluation scripts' paths: family, task, config, model, run; family, trait, model, file. Indented.
+Every CUSTOMERS customers are a model, so the documents grow with the table.
 
-* harness documents = ``orders`` grouped by (family, config, status): family from the status ('O' -> ben, else fif),
+* harness documents = ``orders`` grouped by (family, config, model, status): family from the status ('O' -> ben, else fif),
   config folder from the priority digit, run stamp from the group's latest order date; metrics are group
   aggregates. The first task's metric set varies by config (a 0.0 first metric and an "N/A" stderr for lora_n16); the
   second task carries a metric known to one comparison list only (ledger Q14/Q14b/Q15).
-* trait documents = ``orders`` grouped by (priority = trait folder, status -> family and model file).
+* trait documents = ``orders`` grouped by (priority = trait folder, model, status -> family and file).
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as TX
+from quarry.sinks.files import write_document_folders
 
 CONFIGS = ("base_model", "lora_n8", "lora_n16", "lora_n128", "adapter_v2")
 TASKS = ("arc_challenge", "gsm8k")
-MODEL = "model_a"
+CUSTOMERS = 1000  # of a model
 # status -> (family root, file)
 TRAIT_FILES = (("F", "fif", "base_model.json"), ("O", "ben", "lora_n8_20240101.json"), ("P", "fif", "lora_n128_20240101.json"))
-MOST_DOCS = 100  # a fixture's documents are groups of a few constants, never rows
 
 
 def _s(x: Column) -> Column:
     return x.cast("string")
 
 
+def _model() -> Column:
+    return F.concat(F.lit("model_"), F.floor(F.col("o_custkey") / CUSTOMERS).cast("string")).alias("model")
+
+
 def harness_docs(orders: DataFrame) -> DataFrame:
-    """One result document per (family, config, run)."""
+    """One result document per (family, config, model, run)."""
     digit = F.substr(F.col("o_orderpriority"), F.lit(1), F.lit(1)).cast("int")
     g = orders.select(
         F.when(F.col("o_orderstatus") == "O", F.lit("ben")).otherwise(F.lit("fif")).alias("family"),
-        F.element_at(F.array(*[F.lit(c) for c in CONFIGS]), digit).alias("config"),
+        F.element_at(F.array(*[F.lit(c) for c in CONFIGS]), digit).alias("config"), _model(),
         "o_orderstatus", "o_totalprice", "o_orderdate")
-    agg = g.groupBy("family", "config", "o_orderstatus").agg(
+    agg = g.groupBy("family", "config", "model", "o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") > 250000).alias("hi"),
         F.avg("o_totalprice").alias("avg_price"), F.max("o_orderdate").alias("last"))
     acc = F.round(F.col("hi") / F.col("n"), 6)
@@ -56,54 +58,25 @@ def harness_docs(orders: DataFrame) -> DataFrame:
     # 1/2/3 hours for F/O/P, so "latest run wins" is never a tie.
     hours = F.array_position(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("o_orderstatus"))
     ts = F.timestamp_seconds(F.unix_seconds(F.col("last").cast("timestamp")) + hours * 3600)
-    return agg.select("family", "config", TX.run_stamp(ts).alias("run"),
+    return agg.select("family", "config", "model", TX.run_stamp(ts).alias("run"),
                       F.create_map(F.lit(t1), first, F.lit(t2), second).alias("results"))
 
 
 def trait_docs(orders: DataFrame) -> DataFrame:
     of = F.create_map(*[x for s, family, file in TRAIT_FILES for x in (F.lit(s), F.struct(F.lit(family).alias("family"), F.lit(file).alias("file")))])
     agg = orders.withColumn("_f", of[F.col("o_orderstatus")]).groupBy(
-        F.col("o_orderpriority").alias("trait"), F.col("_f.family").alias("family"), F.col("_f.file").alias("file")).agg(
+        F.col("o_orderpriority").alias("trait"), _model(), F.col("_f.family").alias("family"), F.col("_f.file").alias("file")).agg(
         F.count_if(F.col("o_totalprice") > 200000).alias("cnt"), F.count(F.lit(1)).alias("total"))
-    return agg.select("family", "trait", "file", F.struct(
+    return agg.select("family", "trait", "model", "file", F.struct(
         F.struct(F.col("trait").alias("trait_key"), F.col("file").contains("base").alias("base_only")).alias("config"),
         F.struct((F.col("cnt") / F.col("total")).alias("high_trait_rate"), F.col("cnt").alias("high_trait_count"),
                  "total").alias("results")).alias("doc"))
 
 
-def put_documents(spark: SparkSession, docs: list[tuple[str, str]]) -> None:
-    """Write (path, text) documents through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path, text in docs:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        out = p.getFileSystem(conf).create(p, True)
-        out.write(bytearray(text.encode("utf-8")))
-        out.close()
-
-
-def _bounded(df: DataFrame) -> list:
-    rows = df.limit(MOST_DOCS + 1).collect()
-    if len(rows) > MOST_DOCS:
-        raise ValueError("a result fixture is one document per group of constants")
-    return rows
-
-
-def write_harness_tree(docs: DataFrame, root: str) -> dict[str, str]:
-    rows = _bounded(docs.select("family", "config", "run", F.to_json(F.struct("results")).alias("j")))
-    put_documents(docs.sparkSession, [(f"{root}/{r.family}/{TASKS[0]}/{r.config}/{MODEL}/results_{r.run}.json",
-                                       json.dumps(json.loads(r.j), indent=2)) for r in rows])
-    return {f: f"{root}/{f}" for f in sorted({r.family for r in rows})}
-
-
-def write_trait_tree(docs: DataFrame, root: str) -> dict[str, str]:
-    rows = _bounded(docs.select("family", "trait", "file", F.to_json("doc").alias("j")))
-    put_documents(docs.sparkSession, [(f"{root}/{r.family}/{r.trait}/{r.file}", json.dumps(json.loads(r.j), indent=2)) for r in rows])
-    return {f: f"{root}/{f}" for f in sorted({r.family for r in rows})}
+def write_harness_tree(docs: DataFrame, root: str) -> str:
+    made = docs.select("family", F.lit(TASKS[0]).alias("task"), "config", "model", "run", F.struct("results").alias("doc"))
+    return write_document_folders(made, root, ["family", "task", "config", "model", "run"])
 
 
-def write_grid_documents(docs: DataFrame, root: str) -> str:
-    """(model, split, doc) -> ``<root>/<model>/<split>_results.json``, indented."""
-    rows = _bounded(docs.select("model", "split", F.to_json("doc").alias("j")))
-    put_documents(docs.sparkSession, [(f"{root}/{r.model}/{r.split}_results.json", json.dumps(json.loads(r.j), indent=2)) for r in rows])
-    return root
+def write_trait_tree(docs: DataFrame, root: str) -> str:
+    return write_document_folders(docs, root, ["family", "trait", "model", "file"])

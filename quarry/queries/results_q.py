@@ -14,7 +14,7 @@ from quarry.queries import result_fixtures as FX
 from quarry.queries.registry import Registry
 from quarry.queries.score_q import CHOICE_SCORED, FACT_SCORED, GRID_SCORED, GRID_TRIALS
 from quarry.session import scratch_path
-from quarry.sinks.files import comparison_doc, write_detail_table, write_jsonl, write_result_documents
+from quarry.sinks.files import comparison_doc, write_detail_table, write_document_folders, write_jsonl, write_result_documents
 from quarry.sources.tables import table
 
 register = Registry()
@@ -22,31 +22,32 @@ QUERIES, ORACLE = register.queries, register.oracle
 
 
 def _files(spark, sf):
-    roots = FX.write_harness_tree(FX.harness_docs(table(spark, sf, "orders")), scratch_path(spark, "eval-results"))
-    return R.read_harness_tree(spark, roots)
+    root = FX.write_harness_tree(FX.harness_docs(table(spark, sf, "orders")), scratch_path(spark, "eval-results"))
+    return R.read_harness_folders(spark, root)
 
 
 # ---- oracle building blocks -----------------------------------------------------------------------
 CONFIGS = "[" + ", ".join(f"'{c}'" for c in FX.CONFIGS) + "]"
 GROUPS = f"""
-SELECT family, config, o_orderstatus, n, acc, round(sqrt(acc * (1 - acc) / n), 6) AS se, norm,
+SELECT family, config, model, o_orderstatus, n, acc, round(sqrt(acc * (1 - acc) / n), 6) AS se, norm,
        strftime(last + to_hours(list_position(['F', 'O', 'P'], o_orderstatus)), '%Y%m%d_%H%M%S') AS run
-FROM (SELECT family, config, o_orderstatus, count(*) AS n, round(CAST(count_if(o_totalprice > 250000) AS BIGINT) / count(*), 6) AS acc,
+FROM (SELECT family, config, model, o_orderstatus, count(*) AS n, round(CAST(count_if(o_totalprice > 250000) AS BIGINT) / count(*), 6) AS acc,
              round(avg(o_totalprice) / 500000, 6) AS norm, max(o_orderdate) AS last
       FROM (SELECT CASE WHEN o_orderstatus = 'O' THEN 'ben' ELSE 'fif' END AS family,
-                   {CONFIGS}[CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS config, * FROM orders)
-      GROUP BY family, config, o_orderstatus)"""
+                   {CONFIGS}[CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS config, 'model_' || (o_custkey // {FX.CUSTOMERS}) AS model, * FROM orders)
+      GROUP BY family, config, model, o_orderstatus)"""
+PATH = "family || '/' || config || '/' || model || '/'"  # among runs of one time the greatest path is the latest
 LABEL = ("CASE WHEN contains(lower(config), 'base') THEN 'base' "
          "WHEN regexp_extract(config, 'lora_n([0-9]+)', 1) <> '' THEN family || '_n' || regexp_extract(config, 'lora_n([0-9]+)', 1) "
          "ELSE family || '_unknown' END")
 UNIFIED = f"""
-SELECT family, config, run, 'arc_challenge' AS task, {LABEL} AS label,
+SELECT family, config, model, run, 'arc_challenge' AS task, {LABEL} AS label,
        CASE WHEN acc <> 0 THEN acc END AS acc,
        CASE WHEN config = 'lora_n16' THEN NULL WHEN se <> 0 THEN se END AS acc_stderr,
        config = 'lora_n16' AS stderr_is_text, norm AS acc_norm,
        CASE WHEN config = 'lora_n16' THEN NULL ELSE se END AS acc_norm_stderr, run AS run_ts
 FROM ({GROUPS})"""
-LATEST = f"SELECT * FROM ({UNIFIED}) QUALIFY row_number() OVER (PARTITION BY task, label ORDER BY run_ts DESC) = 1"
+LATEST = f"SELECT * FROM ({UNIFIED}) QUALIFY row_number() OVER (PARTITION BY task, label ORDER BY run_ts DESC, {PATH} DESC) = 1"
 
 
 def _unified(spark, sf):
@@ -59,10 +60,10 @@ def _ts(c):
 
 
 # SRC-4 / O-6 -------------------------------------------------------------------------------------
-@register("src_result_tree", f"SELECT family, config, run, CAST(2 AS BIGINT) AS n_tasks FROM ({GROUPS})")
+@register("src_result_tree", f"SELECT family, config, model, run, CAST(2 AS BIGINT) AS n_tasks FROM ({GROUPS})")
 def src_result_tree(spark, sf):
     f = _files(spark, sf)
-    return f.select("family", "config", "run", F.size(F.map_keys("results")).cast("bigint").alias("n_tasks"))
+    return f.select("family", "config", "model", "run", F.size(F.map_keys("results")).cast("bigint").alias("n_tasks"))
 
 
 @register("sort_result_files", f"SELECT family, config, run FROM ({GROUPS}) ORDER BY family, config, run")
@@ -134,10 +135,10 @@ def sort_categorical(spark, sf):
 
 # J-2 / T-16 --------------------------------------------------------------------------------------
 TASKS_ALL = f"""
-SELECT {LABEL} AS label, run, 'arc_challenge' AS task, 'acc,none' AS metric, acc AS value FROM ({GROUPS})
-UNION ALL SELECT {LABEL} AS label, run, 'gsm8k' AS task, CASE WHEN family = 'fif' THEN 'exact_match,get-answer' END AS metric,
+SELECT {LABEL} AS label, run, {PATH} AS path, 'arc_challenge' AS task, 'acc,none' AS metric, acc AS value FROM ({GROUPS})
+UNION ALL SELECT {LABEL} AS label, run, {PATH} AS path, 'gsm8k' AS task, CASE WHEN family = 'fif' THEN 'exact_match,get-answer' END AS metric,
        norm AS value FROM ({GROUPS})"""
-TASKS_LATEST = f"SELECT * FROM ({TASKS_ALL}) QUALIFY row_number() OVER (PARTITION BY label, task ORDER BY run DESC) = 1"
+TASKS_LATEST = f"SELECT * FROM ({TASKS_ALL}) QUALIFY row_number() OVER (PARTITION BY label, task ORDER BY run DESC, path DESC) = 1"
 COMPARE = f"""
 SELECT b.task, b.metric, b.value AS base_value, coalesce(v.value, 0.0) AS variant_value,
        coalesce(v.value, 0.0) - b.value AS delta
@@ -191,10 +192,11 @@ TRAIT_LABEL = ("CASE WHEN contains(lower(file), 'base') THEN 'base' "
 @register("agg_results_by_trait", f"""
 SELECT trait, {TRAIT_LABEL} AS label, round(cnt / total, 6) AS rate, cnt AS count, total, count(*) OVER (PARTITION BY trait) AS n_loaded
 FROM (SELECT o_orderpriority AS trait, f.family, f.file, CAST(count_if(o_totalprice > 200000) AS BIGINT) AS cnt, count(*) AS total
-      FROM orders JOIN (VALUES {TRAIT_FILES}) AS f(status, family, file) ON o_orderstatus = f.status GROUP BY ALL)""")
+      FROM orders JOIN (VALUES {TRAIT_FILES}) AS f(status, family, file) ON o_orderstatus = f.status
+      GROUP BY o_orderpriority, f.family, f.file, o_custkey // {FX.CUSTOMERS})""")
 def agg_results_by_trait(spark, sf):
-    roots = FX.write_trait_tree(FX.trait_docs(table(spark, sf, "orders")), scratch_path(spark, "trait-results"))
-    rows = R.results_by_trait(R.read_trait_tree(spark, roots))
+    root = FX.write_trait_tree(FX.trait_docs(table(spark, sf, "orders")), scratch_path(spark, "trait-results"))
+    rows = R.results_by_trait(R.read_trait_folders(spark, root))
     return rows.select("trait", "label", F.round("rate", 6).alias("rate"), "count", "total", "n_loaded")
 
 
@@ -264,16 +266,23 @@ def snk_choice_doc(spark, sf):
     return back.select("n", "results.*").join(n_det, "n").withColumn("high_trait_rate", F.round("high_trait_rate", 6))
 
 
+TASKS_PER_DOC = 10_000
+
+
 # A-11 from documents -----------------------------------------------------------------------------
 @register("agg_split_documents", f"""
 SELECT model, split, round(coalesce(CAST(count_if(solved) AS BIGINT) / nullif(count(*), 0), 0.0), 6) AS accuracy,
        CAST(count_if(solved) AS BIGINT) AS solved, count(*) AS total
 FROM ({GRID_SCORED}) GROUP BY model, split""")
 def agg_split_documents(spark, sf):
-    """The summary table collected from ``<model>/<split>_results.json`` documents."""
+    """The summary table collected from result documents, one per model, split and TASKS_PER_DOC tasks, written by the tasks."""
     res = S.grid_scoring(S.grid_trials(table(spark, sf, "lineitem"), table(spark, sf, "orders")))
-    docs = A.split_summary(res, ["model", "split"]).select(
-        "model", "split", F.struct(R.grid_config(F.col("model"), F.col("split")).alias("config"),
+    by = ["model", "split", "batch"]
+    batch = F.floor(F.regexp_extract(F.col("task").cast("string"), r"(\d+)", 1).try_cast("bigint") / TASKS_PER_DOC)
+    docs = A.split_summary(res.withColumn("batch", batch), by).select(
+        *by, F.struct(R.grid_config(F.col("model"), F.col("split")).alias("config"),
                                    F.struct("total_tasks", "solved", "accuracy").alias("summary")).alias("doc"))
-    root = FX.write_grid_documents(docs, scratch_path(spark, "grid-documents"))
-    return R.collect_grid_documents(spark, root).select("model", "split", F.round("accuracy", 6).alias("accuracy"), "solved", "total")
+    root = write_document_folders(docs, scratch_path(spark, "grid-documents"), by)
+    found = R.collect_grid_documents(spark, root, glob="part-*").groupBy("model", "split").agg(
+        F.sum("solved").alias("solved"), F.sum("total").alias("total"))
+    return found.select("model", "split", F.round(F.coalesce(F.try_divide("solved", "total"), F.lit(0.0)), 6).alias("accuracy"), "solved", "total")

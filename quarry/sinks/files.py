@@ -61,6 +61,14 @@ def write_result_documents(docs: DataFrame, details: DataFrame, root: str, by: l
     return root
 
 
+def write_document_folders(docs: DataFrame, root: str, by: list[str], doc: str = "doc") -> str:
+    """SNK-4: one indented JSON document per row of ``docs``, each in a folder of its own named by the ``by`` columns. The tasks write the
+    files, so any number of documents may come out; read them with ``sources.files.read_result_tree`` (glob ``part-*``)."""
+    text = F.to_json(F.col(doc), {"pretty": "true"}).alias("value")
+    docs.select(*by, text).write.mode("overwrite").partitionBy(*by).text(root)
+    return root
+
+
 def comparison_doc(base: DataFrame, variant: DataFrame, key: list[str], base_name: str = "base_results",
                    variant_name: str = "lora_results") -> DataFrame:
     """SNK-7: both sides of a comparison per key; a skipped side is null (full outer join)."""
