@@ -14,6 +14,7 @@ from quarry.queries.registry import Registry
 from quarry.session import materialize, scratch_path
 from quarry.sinks.files import write_csv, write_partitioned
 from quarry.sources.files import read_csv_multiline
+from quarry.sources.split_files import read_csv_split
 from quarry.sources.tables import table
 
 register = Registry()
@@ -206,6 +207,14 @@ def src_csv_multiline(spark, sf):
     return read_csv_multiline(spark, path, JOINED_SCHEMA)
 
 
+# SRC-3 by byte ranges
+@register("src_csv_split", JOINED)
+def src_csv_split(spark, sf):
+    """The same files read by byte ranges: records are found by quote parity, no file is one task."""
+    path = write_csv(_joined(spark, sf), scratch_path(spark, "stories-csv"))
+    return read_csv_split(spark, path, JOINED_SCHEMA)
+
+
 @register("snk_csv", JOINED)
 def snk_csv(spark, sf):
     path = write_csv(_joined(spark, sf), scratch_path(spark, "stories-csv"))

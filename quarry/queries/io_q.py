@@ -17,6 +17,7 @@ from quarry.queries.registry import Registry
 from quarry.session import materialize, scratch_path
 from quarry.sinks.files import write_json_array, write_jsonl
 from quarry.sources.files import read_json_array, read_jsonl, read_named_split, read_task_dir
+from quarry.sources.split_files import read_json_array_split
 from quarry.sources.tables import table
 
 register = Registry()
@@ -38,6 +39,15 @@ def src_json_array(spark, sf):
     return materialize(read_json_array(spark, path, RECORD_SCHEMA, per_line=True), "records-landed")
 
 
+# SRC-1 by byte ranges
+@register("src_json_array_split", curate_q.ORACLE["proj_curated_record"])
+def src_json_array_split(spark, sf):
+    """The arrays read by byte ranges: records are found by string state and depth, no file or array is one task."""
+    recs = curate_q.QUERIES["proj_curated_record"](spark, sf)
+    path = write_json_array(recs, scratch_path(spark, "records-array"), key="id")
+    return read_json_array_split(spark, path, RECORD_SCHEMA)
+
+
 # SNK-2 -------------------------------------------------------------------------------------------
 @register("snk_json_records", chat_q.ORACLE["proj_drop_column"])
 def snk_json_records(spark, sf):
