@@ -32,7 +32,8 @@ JOINED = 200             # new units encoded in one call
 
 _BYTE_UNITS = re.compile(f"[{SPACE}]*+(?:[{LETTERS}]++(?=[.,;:!?])|[^{SPACE}]++)|[{SPACE}]+")
 _WORD_UNITS = re.compile(f"[{LETTERS}]++(?=[.,;:!?])|[^{SPACE}]++")
-_PLAIN_UNIT = re.compile(f" ?[^{SPACE}\x01]+")
+# A unit that cannot stand between marks: white space other than one blank before its word, or no word.
+_ODD_UNIT = re.compile(f"(?! )[{SPACE}]| (?:[{SPACE}]|\\Z)")
 
 
 class UnitEncoder:
@@ -69,7 +70,7 @@ class UnitEncoder:
     def _learn(self, new: Iterable[str]) -> None:
         plain, odd, width = [], [], self.dtype.itemsize
         for u in new:
-            (plain if _PLAIN_UNIT.fullmatch(u) else odd).append(u)
+            (odd if _ODD_UNIT.match(u) or "\x01" in u else plain).append(u)
         groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
         for k in range(0, len(groups), 50):
             joined = [self.mark.join(g) for g in groups[k:k + 50]]
