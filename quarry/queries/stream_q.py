@@ -3,6 +3,7 @@ Structured Streaming (Trigger.AvailableNow, as many files per micro-batch as the
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from quarry.operators import filters as FL
 from quarry.plans import curate as CU
@@ -10,7 +11,8 @@ from quarry.queries.curate_q import LISTING, first_seen_sql
 from quarry.queries.registry import Registry
 from quarry.session import scratch_path
 from quarry.sources.tables import table
-from quarry.streaming.first_seen import file_stream, land_files, read_first_seen, start_first_seen
+from quarry.streaming.first_seen import (
+    file_stream, land_files, late_rows, read_first_seen, read_first_seen_bounded, start_first_seen, start_first_seen_bounded)
 from quarry.streaming.incremental import start_append
 
 register = Registry()
@@ -39,6 +41,35 @@ def stream_first_seen(spark, sf):
     return gated.select("id", "view", "page", "pos", "score")
 
 
+# ST-1 with bounded state --------------------------------------------------------------------------
+WAVE_DAYS = 5
+
+
+@register("stream_first_seen_bounded", f"""
+SELECT f.id, f.view, f.page, f.pos, f.score, CAST(0 AS BIGINT) AS n_late FROM ({first_seen_sql(LISTING)}) f""")
+def stream_first_seen_bounded(spark, sf):
+    """Listing rows arrive in waves of WAVE_DAYS; the query stops after half of them and restarts on its checkpoint. With a delay of
+    more than a wave no row is late; ids that come back after the horizon open a new session."""
+    ev = table(spark, sf, "events")
+    day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (86400 * WAVE_DAYS))
+    first, last = ev.select(F.min(day), F.max(day)).first()
+    base = scratch_path(spark, "first-seen-bounded")
+
+    def arrivals(df):
+        return CU.listing_from_events(df).withColumn("seen_at", F.timestamp_seconds("created_utc"))
+
+    half = (first + last) // 2 if first is not None else 0
+    for waves in (range(first or 0, half + 1), range(half + 1, (last or 0) + 1)):
+        for w in waves:
+            land_files(ev.where(day == w), f"{base}/in", "event_id", mode="append")
+        stream = file_stream(spark, f"{base}/in", ev.schema, files_per_trigger=spark.sparkContext.defaultParallelism)
+        start_first_seen_bounded(arrivals(stream), "id", "seen_at", ["view_rank", "page", "pos"], ["view", "score"],
+                                 f"{WAVE_DAYS + 1} days", "3 days", f"{base}/sink", f"{base}/checkpoint").awaitTermination()
+    rows = read_first_seen_bounded(spark, f"{base}/sink", f"{base}/checkpoint", "id")
+    late = late_rows(arrivals(spark.read.schema(ev.schema).parquet(f"{base}/in")), f"{base}/sink", f"{base}/checkpoint", "id", "seen_at")
+    return rows.join(late, "id", "left").select("id", "view", "page", "pos", "score", F.coalesce("n_late", F.lit(0).cast("bigint")).alias("n_late"))
+
+
 # ST-2 --------------------------------------------------------------------------------------------
 @register("stream_incremental_save", f"SELECT id, view, page, pos FROM ({LISTING}) WHERE {GATES}")
 def stream_incremental_save(spark, sf):

@@ -76,3 +76,37 @@ def test_watermarked_first_seen_equals_batch_on_unique_batches(spark, tmpdir_fre
     got = spark.read.parquet(f"{tmpdir_fresh}/out").select("id", "view", "page", "pos")
     want = W.first_seen(CU.listing_from_events(events)).select("id", "view", "page", "pos")
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_bounded_first_seen_evicts_counts_late_rows_and_survives_restart(spark, tmpdir_fresh):
+    """Files arrive one by one in time order, with a stop in between; then a file far behind the watermark arrives: its rows are late,
+    counted row by row, and change nothing. The winner is the listing's although the better row arrives second."""
+    from quarry.streaming.first_seen import late_rows, open_sessions, read_first_seen_bounded, start_first_seen_bounded
+
+    root, cols = tmpdir_fresh, "id string, day int, page bigint"
+
+    def land(rows):
+        df = spark.createDataFrame(rows, cols).withColumn("at", F.timestamp_seconds(F.col("day") * 86400))
+        df.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        return df.schema
+
+    def go(schema):
+        q = start_first_seen_bounded(file_stream(spark, f"{root}/in", schema, 1), "id", "at", ["page"], ["day"], "1 day", "3 days",
+                                     f"{root}/sink", f"{root}/ckpt")
+        q.awaitTermination()
+
+    schema = land([("a", 100, 9), ("b", 100, 1), ("b", 101, 1), (None, 100, 1)])
+    schema = land([("a", 102, 2), ("c", 102, 5)])
+    go(schema)
+    assert open_sessions(spark, f"{root}/ckpt", "id").count() == 3
+    land([(f"x{i}", 120, i) for i in range(5)])
+    go(schema)  # restart: the watermark passes day 119, so a, b and c leave the state
+    assert {r.id for r in open_sessions(spark, f"{root}/ckpt", "id").collect()} == {f"x{i}" for i in range(5)}
+    assert spark.read.parquet(f"{root}/sink").count() == 3
+    land([("a", 121, 1), ("late", 90, 0), ("late", 90, 0), ("a", 91, 0)])
+    go(schema)
+    go(schema)  # nothing new
+    got = {tuple(r) for r in read_first_seen_bounded(spark, f"{root}/sink", f"{root}/ckpt", "id").collect()}
+    assert got == {("a", 1, 121), ("b", 1, 100), ("c", 5, 102)} | {(f"x{i}", i, 120) for i in range(5)}
+    late = late_rows(spark.read.parquet(f"{root}/in"), f"{root}/sink", f"{root}/ckpt", "id", "at")
+    assert {tuple(r) for r in late.collect()} == {("late", 2), ("a", 1)}
