@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import early_stop as ES
 from quarry.operators import filters as FL
-from quarry.operators import ordering as O
 from quarry.operators import windows as W
 from quarry.operators.joins import salted_join
-from quarry.session import materialize
+from quarry.session import materialize, scratch_path
 
 # Stand-in listing views (event types) in crawl priority order; the last one gets the extra score gate.
 VIEW_ORDER = ("click", "error", "purchase", "signup", "view")
@@ -111,10 +111,28 @@ def answered_posts(events: DataFrame, conv: DataFrame, cap: int | None = None, g
     return salted_join(posts, threads, "thread_id", ["id"])
 
 
+def answered_to_target(events: DataFrame, conv: DataFrame, target: int, cap: int | None = None, gated_view: str = GATED_VIEW,
+                       pages_per_block: int = ES.PAGES_PER_BLOCK) -> DataFrame:
+    """O-2: the first ``target`` answered posts in listing priority order, stopping there as the crawl does. Whether a post has an
+    answer is settled with ids alone; posts behind the target are not read again, and titles, bodies and answers are gathered for
+    the threads of the posts taken only."""
+    spark = events.sparkSession
+    posts = gated_posts(listing_from_events(events), cap, gated_view)
+    has_answer = first_answers(comments_from_conversations(conv)).select("thread_id")
+    accepted = salted_join(materialize(posts, "gated-posts"), has_answer, "thread_id", ["id"])
+    path = ES.land_by_priority(accepted, scratch_path(spark, "answered-posts"), pages_per_block=pages_per_block)
+    landed = ES.read_landed(spark, path, accepted.schema)
+    counts = landed.groupBy("_rank", "_block").agg(F.count(F.lit(1)).alias("n"))
+    taken = ES.first_of_landed(landed, counts, target, ["view_rank", "page", "pos"])
+    wanted = conv.join(taken.select(F.col("thread_id").alias("conv_id")).distinct(), "conv_id", "left_semi")
+    threads = first_answers(comments_from_conversations(wanted)).join(thread_heads(wanted), "thread_id", "left")
+    return salted_join(taken, threads, "thread_id", ["id"])
+
+
 def curate(events: DataFrame, conv: DataFrame, target: int | None = None, cap: int | None = None,
            gated_view: str = GATED_VIEW) -> DataFrame:
     """R-5 end to end on landed pages, over the whole listing. ``cap`` (listing rows per view) and ``target`` (records,
     in listing priority order) are off unless given."""
-    answered = answered_posts(events, conv, cap, gated_view)
-    ordered = O.priority_target(answered, target, ("view_rank", "page", "pos")) if target is not None else answered
-    return curated_record(ordered)
+    if target is None:
+        return curated_record(answered_posts(events, conv, cap, gated_view))
+    return curated_record(answered_to_target(events, conv, target, cap, gated_view))

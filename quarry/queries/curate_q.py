@@ -130,6 +130,16 @@ def limit_priority_target(spark, sf):
     return O.priority_target(answered, CU.TARGET).select("id", "view_rank", "page", "pos")
 
 
+@register("limit_target_early_stop", f"""
+SELECT id, view_rank, page, pos, answer FROM ({ANSWERED}) ORDER BY view_rank, page, pos
+LIMIT (SELECT count(*) // 5 FROM events)""")
+def limit_target_early_stop(spark, sf):
+    """A target that grows with the listing (a fifth of its rows): blocks of pages behind it are not read."""
+    events = table(spark, sf, "events")
+    got = CU.answered_to_target(events, table(spark, sf, "conversations"), events.count() // 5, pages_per_block=10)
+    return got.select("id", "view_rank", "page", "pos", "answer")
+
+
 # P-1 ---------------------------------------------------------------------------------------------
 @register("proj_curated_record", record_sql(ANSWERED))
 def proj_curated_record(spark, sf):
