@@ -15,6 +15,7 @@ from quarry.queries.registry import Registry
 from quarry.queries.score_q import CHOICE_SCORED, FACT_SCORED, GRID_SCORED, GRID_TRIALS
 from quarry.session import scratch_path
 from quarry.sinks.files import comparison_doc, write_detail_table, write_document_folders, write_jsonl, write_result_documents
+from quarry.sinks.nested import read_nested_documents, write_nested_documents
 from quarry.sources.tables import table
 
 register = Registry()
@@ -220,6 +221,27 @@ def snk_result_doc(spark, sf):
     return read.join(n_det, ["model", "split"], "left").withColumn("accuracy", F.round("accuracy", 6))
 
 
+@register("snk_nested_doc", f"""
+SELECT g.model, g.split, s.accuracy, s.solved, s.total_tasks, CAST(g.task AS VARCHAR) AS task, g.test_idx, g.solved AS task_solved
+FROM ({GRID_SCORED}) g JOIN (
+  SELECT model, split, count(*) AS total_tasks, CAST(count_if(solved) AS BIGINT) AS solved,
+         round(coalesce(CAST(count_if(solved) AS BIGINT) / nullif(count(*), 0), 0.0), 6) AS accuracy
+  FROM ({GRID_SCORED}) GROUP BY model, split) s ON g.model = s.model AND g.split = s.split""")
+def snk_nested_doc(spark, sf):
+    """Grid results as the script nests them: one JSON document per model and split, every task's result inside; read back line
+    by line, each detail with its document's summary."""
+    res = S.grid_scoring(S.grid_trials(table(spark, sf, "lineitem"), table(spark, sf, "orders")))
+    by = ["model", "split"]
+    heads = A.split_summary(res, by).select(*by, R.grid_config(F.col("model"), F.col("split")).alias("config"),
+                                            F.struct("total_tasks", "solved", "accuracy").alias("summary"))
+    details = res.select(*by, F.col("task").cast("string").alias("task"), "test_idx", "solved")
+    root = write_nested_documents(heads, details, scratch_path(spark, "nested-results"), by, ["task", "test_idx"], rows_per_task=2_000)
+    back = read_nested_documents(spark, root, R.GRID_DOC_SCHEMA, f"task string, test_idx {res.schema['test_idx'].dataType.simpleString()}, solved boolean")
+    summary = back.where("head IS NOT NULL").select(*by, "head.summary.*").withColumn("accuracy", F.round("accuracy", 6))
+    inside = back.where("detail IS NOT NULL").select(*by, "detail.task", "detail.test_idx", F.col("detail.solved").alias("task_solved"))
+    return inside.join(summary, by)
+
+
 @register("snk_trial_details", f"""
 SELECT task, test_idx, model, split, trial, correct, left(response, 200) AS response FROM ({GRID_TRIALS})""")
 def snk_trial_details(spark, sf):
