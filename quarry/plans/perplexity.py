@@ -16,7 +16,7 @@ no scored token stay null and leave the statistics (ledger Q21).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -91,6 +91,54 @@ def bigram_scores(tok: DataFrame, key: str, uni: DataFrame) -> DataFrame:
                       (F.lit(1) + F.coalesce("n2", F.lit(0))).alias("n_tokens"))
 
 
+START = ""  # the context of a text's first token; no token is empty
+DISCOUNT = 0.75
+
+
+def doc_pairs(tok: DataFrame, key: str) -> DataFrame:
+    """(key, v, w, n): how often each token w follows v in a document, START before the first token. Written once."""
+    before = F.concat(F.array(F.lit(START)), F.slice("tk", 1, F.greatest(F.size("tk") - 1, F.lit(0))))
+    pairs = F.when(F.size("tk") > 0, F.zip_with(before, "tk", lambda a, b: F.struct(a.alias("v"), b.alias("w"))))
+    long = _tokens_long(tok, key, pairs, "p").select(key, "p.v", "p.w")
+    return materialize(long.groupBy(key, "v", "w").agg(F.count(F.lit(1)).alias("n")), "ppl-doc-pairs")
+
+
+def kneser_ney_scores(pairs: DataFrame, key: str, discount: float = DISCOUNT) -> DataFrame:
+    """(doc, sum_lp, n_tokens) under an interpolated Kneser-Ney bigram model of all other documents.
+
+      p(w|v)  = max(c(v,w) - D, 0) / c(v) + D * N(v.) / c(v) * q(w)     (q(w) where v was never seen)
+      q(w)    = (N(.w) + 1) / (N(..) + V + 1)                            V distinct words, one place for unseen ones
+
+    N(v.), N(.w), N(..) count distinct pairs. Leave one out: each document's own counts are taken off the corpus counts, and pairs that no
+    other document holds are taken off the distinct counts, so a text is not scored by itself and words only it has count as unseen.
+    Context and word figures are joined to the table of distinct pairs (hot words broadcast), that to the documents'
+    pairs by (v, w); what a document takes off is summed within it."""
+    types = materialize(pairs.groupBy("v", "w").agg(F.sum("n").alias("c_vw")), "kn-pairs")
+    by_v = materialize(types.groupBy("v").agg(F.sum("c_vw").alias("c_v"), F.count(F.lit(1)).alias("n_v")), "kn-contexts")
+    by_w = materialize(types.groupBy("w").agg(F.count(F.lit(1)).alias("n_w")), "kn-words")
+    with_v = materialize(hot_split_join(types, by_v, ["v"], "n_v"), "kn-with-v")  # weighed by how often types repeats the key
+    model = materialize(hot_split_join(with_v, by_w, ["w"], "n_w"), "kn-model")
+    tot = by_w.select(F.struct(F.sum("n_w").alias("t"), F.count(F.lit(1)).alias("v"))).scalar()
+    own = F.when(F.col("n") == F.col("c_vw"), 1).otherwise(0)
+    rows = hot_split_join(pairs, model, ["v", "w"], "c_vw").withColumn("own", own).repartition(key)
+    in_doc = lambda *cols: Window.partitionBy(key, *cols)  # noqa: E731  (all three use the one partitioning by document)
+    rows = (rows.withColumn("n_dv", F.sum("n").over(in_doc("v"))).withColumn("own_v", F.sum("own").over(in_doc("v")))
+            .withColumn("own_w", F.sum("own").over(in_doc("w"))).withColumn("own_d", F.sum("own").over(in_doc())))
+    q = (F.col("n_w") - F.col("own_w") + 1) / (tot["t"] - F.col("own_d") + tot["v"] + 1)
+    c_v = F.col("c_v") - F.col("n_dv")
+    seen = (F.greatest(F.col("c_vw") - F.col("n") - F.lit(discount), F.lit(0.0)) + F.lit(discount) * (F.col("n_v") - F.col("own_v")) * q) / c_v
+    p = F.when(c_v > 0, seen).otherwise(q)
+    return rows.groupBy(key).agg(F.sum(F.col("n") * F.ln(p)).alias("sum_lp"), F.sum("n").cast("bigint").alias("n_tokens"))
+
+
+def kneser_ney_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", discount: float = DISCOUNT) -> DataFrame:
+    """R-3 with a smoothed model: per document ``Perplexity`` (null when the text has no token) and ``n_tokens``. Rows of one key are
+    one document."""
+    scores = kneser_ney_scores(doc_pairs(doc_tokens(docs, key, text), key), key, discount)
+    ppl = scores.select(key, F.exp(-F.col("sum_lp") / F.col("n_tokens")).alias("Perplexity"), "n_tokens")
+    return docs.select(key).join(ppl, key, "left")
+
+
 def ngram_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 1,
                      keep: list[str] | None = None) -> DataFrame:
     """R-3: per doc ``Perplexity`` (null when the text has no token), plus the ``keep`` columns.

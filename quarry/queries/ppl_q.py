@@ -59,6 +59,33 @@ def job_perplexity_bigram(spark, sf):
     return p.select("doc_id", F.round("Perplexity", 4).alias("Perplexity"))
 
 
+KN_PAIRS = f"""
+SELECT doc_id, v, w, count(*) AS n FROM (
+  SELECT doc_id, CASE WHEN i = 1 THEN '' ELSE tk[i - 1] END AS v, tk[i] AS w
+  FROM (SELECT doc_id, tk, unnest(range(1, len(tk) + 1)) AS i FROM ({TOK}))) GROUP BY doc_id, v, w"""
+KN_PPL = f"""
+WITH pairs AS MATERIALIZED ({KN_PAIRS}),
+types AS MATERIALIZED (SELECT v, w, sum(n) AS c_vw FROM pairs GROUP BY v, w),
+by_v AS (SELECT v, sum(c_vw) AS c_v, count(*) AS n_v FROM types GROUP BY v),
+by_w AS (SELECT w, count(*) AS n_w FROM types GROUP BY w),
+own AS (SELECT p.*, t.c_vw, CASE WHEN p.n = t.c_vw THEN 1 ELSE 0 END AS own FROM pairs p JOIN types t USING (v, w)),
+less_v AS (SELECT doc_id, v, sum(n) AS n_dv, sum(own) AS own_v FROM own GROUP BY doc_id, v),
+less_w AS (SELECT doc_id, w, sum(own) AS own_w FROM own GROUP BY doc_id, w),
+less_d AS (SELECT doc_id, sum(own) AS own_d FROM own GROUP BY doc_id),
+cont AS (SELECT o.*, c_v - n_dv AS rest, n_v - own_v AS followers,
+                (n_w - own_w + 1) / ((SELECT count(*) FROM types) - own_d + (SELECT count(*) FROM by_w) + 1) AS q
+         FROM own o JOIN by_v USING (v) JOIN by_w USING (w) JOIN less_v USING (doc_id, v) JOIN less_w USING (doc_id, w) JOIN less_d USING (doc_id)),
+s AS (SELECT doc_id, sum(n * ln(CASE WHEN rest > 0 THEN greatest(c_vw - n - {P.DISCOUNT}, 0) / rest + {P.DISCOUNT} * followers / rest * q ELSE q END)) AS lp,
+             CAST(sum(n) AS BIGINT) AS n_tokens FROM cont GROUP BY doc_id)
+SELECT d.doc_id, round(exp(-s.lp / s.n_tokens), 4) AS Perplexity, s.n_tokens FROM documents d LEFT JOIN s USING (doc_id)"""
+
+
+@register("job_perplexity_kneser_ney", KN_PPL)
+def job_perplexity_kneser_ney(spark, sf):
+    p = P.kneser_ney_perplexity(_docs(spark, sf))
+    return p.select("doc_id", F.round("Perplexity", 4).alias("Perplexity"), "n_tokens")
+
+
 # R-2 ---------------------------------------------------------------------------------------------
 @register("job_perplexity_logprobs", f"SELECT doc_id, round(Perplexity, 4) AS Perplexity FROM ({UNI_PPL})")
 def job_perplexity_logprobs(spark, sf):
