@@ -62,6 +62,13 @@ def read_harness_folders(spark: SparkSession, root: str) -> DataFrame:
     return materialize(df.select(*[folder_value(k).alias(v) for k, v in names.items()], "file_path", "results", "unreadable"), "result-files")
 
 
+def read_harness_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rows of ``read_harness_folders`` for these files only (no folder is listed)."""
+    df = read_result_tree(spark, paths, RESULT_SCHEMA, glob="*")
+    names = {"family": "family", "task": "task_folder", "config": "config", "model": "model", "run": "run"}
+    return df.select(*[folder_value(k).alias(v) for k, v in names.items()], "file_path", "results", "unreadable")
+
+
 def unreadable_files(files: DataFrame) -> DataFrame:
     """The files of a result tree that did not parse (report them: their results are missing)."""
     return files.where("unreadable").select("file_path")

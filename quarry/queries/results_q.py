@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as TX
 from quarry.operators import aggregates as A
 from quarry.operators import ordering as O
+from quarry.plans import result_ledger as L
 from quarry.plans import results as R
 from quarry.plans import score as S
 from quarry.queries import result_fixtures as FX
@@ -112,6 +113,24 @@ def win_latest_per_label(spark, sf):
     return R.latest_per_label(_unified(spark, sf)).select("task", "label", "family", "config", _ts("run_ts"))
 
 
+@register("results_incremental", f"""
+SELECT l.task, l.label, l.family, l.config, l.run_ts, l.acc, c.n_runs, round(c.mean_acc, 6) AS mean_acc
+FROM ({LATEST}) l JOIN (SELECT task, label, count(*) AS n_runs, avg(acc) AS mean_acc FROM ({UNIFIED}) GROUP BY task, label) c
+  ON l.task = c.task AND l.label = c.label""")
+def results_incremental(spark, sf):
+    """Results arrive in two waves; a load reads the first, the next only what came since, a third finds nothing. The report merges
+    the loads' states."""
+    docs = FX.harness_docs(table(spark, sf, "orders"))
+    base = scratch_path(spark, "results-store")
+    for family in ("ben", "fif"):
+        FX.write_harness_tree(docs.where(F.col("family") == family), f"{base}/in/wave_{family}")
+        L.load_new(spark, f"{base}/in", f"{base}/store")
+    if L.load_new(spark, f"{base}/in", f"{base}/store"):
+        raise RuntimeError("a load without arrivals has read files")
+    rows = L.current_labels(spark, f"{base}/store")
+    return rows.select("task", "label", "family", "config", _ts("run_ts"), "acc", "n_runs", F.round("mean_acc", 6).alias("mean_acc"))
+
+
 # A-9 ---------------------------------------------------------------------------------------------
 @register("agg_results_by_label", f"""
 SELECT task, label, run_ts, metric, value

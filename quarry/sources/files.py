@@ -40,9 +40,9 @@ def path_part(path: Column, pattern: str, group: int = 1) -> Column:
     return F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
 
 
-def read_result_tree(spark: SparkSession, root: str, schema: StructType | str, glob: str = "results_*.json",
+def read_result_tree(spark: SparkSession, root: str | list[str], schema: StructType | str, glob: str = "results_*.json",
                      multiline: bool = True) -> DataFrame:
-    """SRC-4: every result file under ``root`` (any depth) matching ``glob``, one row per file, with
+    """SRC-4: every result file under ``root`` (any depth; or of a list of files) matching ``glob``, one row per file, with
     ``file_path`` and ``file_name`` columns for path-derived labels. Indented documents are read whole
     (``multiline``); a file that does not parse is a row with ``unreadable`` true, not a row of nulls among the results."""
     full = StructType.fromDDL(schema) if isinstance(schema, str) else StructType(list(schema.fields))
