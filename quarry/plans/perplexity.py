@@ -71,26 +71,6 @@ def perplexity_of(scores: DataFrame, key: str) -> DataFrame:
     return scores.select(key, F.exp(-F.col("sum_lp") / F.col("n_tokens")).alias("Perplexity"))
 
 
-def bigram_scores(tok: DataFrame, key: str, uni: DataFrame) -> DataFrame:
-    """(doc, sum_lp, n_tokens) under the bigram model (first token scored by the unigram model)."""
-    pairs = F.zip_with("tk", F.slice("tk", 2, F.greatest(F.size("tk"), F.lit(1))),
-                       lambda a, b: F.struct(a.alias("v"), b.alias("w")))
-    pairs = F.slice(pairs, 1, F.greatest(F.size("tk") - 1, F.lit(0)))
-    plong = _tokens_long(tok, key, pairs, "p").select(key, "p.v", "p.w")
-    bc = materialize(plong.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c_vw")), "ppl-bigram-counts")
-    v_size = uni.select(F.count(F.lit(1))).scalar()  # V, a scan of the materialized counts
-    cv = uni.select(F.col("w").alias("v"), F.col("c").alias("c_v"))
-    lp2 = materialize(hot_split_join(bc, cv, ["v"], "c_v").select(
-        "v", "w", "c_vw", F.ln((F.col("c_vw") + 1) / (F.col("c_v") + v_size)).alias("lp")), "ppl-bigram-lp")
-    pair_part = _score(plong, lp2, ["v", "w"], "c_vw", key).select(
-        key, F.col("sum_lp").alias("s2"), F.col("n_tokens").alias("n2"))
-    first = tok.where(F.size("tk") > 0).select(key, F.col("tk")[0].alias("w"))
-    first_part = hot_split_join(first, uni.select("w", "c", "lp"), ["w"], "c").select(key, F.col("lp").alias("s1"))
-    out = first_part.join(pair_part, key, "left")
-    return out.select(key, (F.col("s1") + F.coalesce("s2", F.lit(0.0))).alias("sum_lp"),
-                      (F.lit(1) + F.coalesce("n2", F.lit(0))).alias("n_tokens"))
-
-
 START = ""  # the context of a text's first token; no token is empty
 DISCOUNT = 0.75
 
@@ -103,6 +83,20 @@ def doc_pairs(tok: DataFrame, key: str) -> DataFrame:
     return materialize(long.groupBy(key, "v", "w").agg(F.count(F.lit(1)).alias("n")), "ppl-doc-pairs")
 
 
+def bigram_scores(pairs: DataFrame, key: str) -> DataFrame:
+    """(doc, sum_lp, n_tokens) under the bigram model (first token scored by the unigram model), from ``doc_pairs``: word and pair
+    counts and both scores read that one table, in which a pair stands once per document."""
+    uni = unigram_model(materialize(word_counts(pairs), "ppl-counts"))
+    first, later = pairs.where(F.col("v") == START), pairs.where(F.col("v") != START)
+    bc = materialize(later.groupBy("v", "w").agg(F.sum("n").alias("c_vw")), "ppl-bigram-counts")
+    v_size = uni.select(F.count(F.lit(1))).scalar()  # V, a scan of the materialized counts
+    cv = uni.select(F.col("w").alias("v"), F.col("c").alias("c_v"))
+    lp2 = materialize(hot_split_join(bc, cv, ["v"], "c_v").select(
+        "v", "w", "c_vw", F.ln((F.col("c_vw") + 1) / (F.col("c_v") + v_size)).alias("lp")), "ppl-bigram-lp")
+    parts = _score(later, lp2, ["v", "w"], "c_vw", key, "n").unionByName(_score(first, uni, ["w"], "c", key, "n"))
+    return parts.groupBy(key).agg(F.sum("sum_lp").alias("sum_lp"), F.sum("n_tokens").alias("n_tokens"))
+
+
 def kneser_ney_scores(pairs: DataFrame, key: str, discount: float = DISCOUNT) -> DataFrame:
     """(doc, sum_lp, n_tokens) under an interpolated Kneser-Ney bigram model of all other documents.
 
@@ -143,15 +137,13 @@ def ngram_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", o
                      keep: list[str] | None = None) -> DataFrame:
     """R-3: per doc ``Perplexity`` (null when the text has no token), plus the ``keep`` columns.
 
-    Order 1 reads per-document word counts, written once by the pass that tokenises; order 2 needs the token order and
-    reads written token arrays. Corpus counts, read by totals, hot set and cold join, are written once."""
+    Order 1 reads per-document word counts, order 2 per-document pair counts, each written once by the pass that tokenises. Corpus
+    counts, read by totals, hot set and cold join, are written once."""
     keep = keep or []
     if order == 1:
         scores = unigram_scores(doc_words(doc_tokens(docs, key, text), key), key)
     else:
-        tok = materialize(doc_tokens(docs, key, text), "ppl-tokens")  # read by five branches of the bigram plan
-        words = _tokens_long(tok, key, "tk", "w").select(key, "w", F.lit(1).cast("bigint").alias("n"))
-        scores = bigram_scores(tok, key, unigram_model(materialize(word_counts(words), "ppl-counts")))
+        scores = bigram_scores(doc_pairs(doc_tokens(docs, key, text), key), key)
     return docs.select(key, *keep).join(perplexity_of(scores, key), key, "left")
 
 
