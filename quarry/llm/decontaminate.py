@@ -18,7 +18,7 @@ lies in one window whole. The whole text is covered. The benchmark is taken in i
 ``MAX_ITEMS`` items (one broadcast each), however large it is.
 
 Defined cases: null or empty texts and items match nothing; parts with fewer words than a run are
-compared as one run; repeated items each report; repeated documents are queried row by row; an empty table or
+compared as one run; repeated items each report (they are searched once); very long texts are searched in slices of passages; repeated documents are queried row by row; an empty table or
 benchmark gives no rows; other columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
@@ -43,6 +43,7 @@ SHORT = 18
 OVERLAP = 0.5
 MAX_ITEMS = 20_000
 LEAST_STRIDE = 32
+CELLS = 4_000_000
 
 
 @dataclass
@@ -51,6 +52,7 @@ class Item:
     words: np.ndarray
     question: np.ndarray
     answer: np.ndarray
+    copies: int = 1
 
 
 class ItemIndex:
@@ -123,11 +125,9 @@ class ItemIndex:
         chunk = first[text] + (np.arange(len(w.hashes)) - w.first[text]) // self.stride
         term = np.minimum(np.searchsorted(self.vocab, w.hashes), len(self.vocab) - 1)
         known = self.vocab[term] == w.hashes
-        bound = self._bounds(chunk[known], term[known], int(first[-1]))
-        after = np.zeros_like(bound)
-        after[:-1] = bound[1:]
-        after[first[1:][n_chunk > 0] - 1] = 0                # the next text's first chunk is no neighbour
-        for c, b in zip(*np.nonzero(bound + after >= self.threshold - self.slack - 1e-9), strict=True):
+        chunk, term = chunk[known], term[known]
+        ends = first[1:][n_chunk > 0] - 1                    # a text's last chunk: the next text's first is no neighbour
+        for c, b in self._candidates(chunk, term, int(first[-1]), ends):
             i = int(np.searchsorted(first, c, side="right")) - 1
             lo = w.first[i] + (c - first[i]) * self.stride
             own = w.hashes[lo:min(lo + 2 * self.stride, w.first[i + 1])]
@@ -140,6 +140,20 @@ class ItemIndex:
                 found[i][k] = max(found[i].get(k, (0.0, 0.0, 0.0)), (score, q, a), key=lambda x: (min(x[1], x[2]), x[0]))
         return found
 
+    def _candidates(self, chunk: np.ndarray, term: np.ndarray, n_chunks: int, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(first chunk of the passage, block) wherever the bound reaches the threshold. Bounds are held for about CELLS pairs of
+        chunk and block at a time, so a text of any length needs the same memory."""
+        step = max(1, CELLS // max(self.n_blocks, 1))
+        for lo in range(0, n_chunks, step):
+            n = min(step + 1, n_chunks - lo)                 # one chunk more: the neighbour of the last
+            a, b = np.searchsorted(chunk, [lo, lo + n])
+            bound = self._bounds(chunk[a:b] - lo, term[a:b], n)
+            after = np.zeros_like(bound)
+            after[:-1] = bound[1:]
+            after[ends[(ends >= lo) & (ends < lo + n)] - lo] = 0
+            for c, blk in zip(*np.nonzero((bound + after)[:step] >= self.threshold - self.slack - 1e-9), strict=True):
+                yield lo + int(c), int(blk)
+
     @staticmethod
     def _share(part: np.ndarray, grams: np.ndarray) -> float:
         """The share of the part's words that lie in a run of words found in the passage."""
@@ -151,10 +165,10 @@ class ItemIndex:
 
 
 def build_index(rows: list[tuple], threshold: float, slack: float) -> ItemIndex:
-    """rows: (item id, question, answer)."""
+    """rows: (item id, question, answer), and the number of copies if not one."""
     q = words_of([r[1] for r in rows], ALNUM, fold=True)
     a = words_of([r[2] for r in rows], ALNUM, fold=True)
-    items = [Item(r[0], np.concatenate([q.of(i), a.of(i)]), q.of(i), a.of(i)) for i, r in enumerate(rows)]
+    items = [Item(r[0], np.concatenate([q.of(i), a.of(i)]), q.of(i), a.of(i), *r[3:]) for i, r in enumerate(rows)]
     return ItemIndex([x for x in items if len(x.words)], threshold, slack)
 
 
@@ -167,13 +181,16 @@ def split_item(text: str = "text") -> tuple:
 
 
 def indexes(items: DataFrame, threshold: float = 0.6, slack: float = 0.3, item_id: str = "item_id") -> Iterator[ItemIndex]:
-    """One index per block of at most MAX_ITEMS items; ``items`` has item_id, question, answer."""
-    n = max(1, math.ceil(items.count() / (MAX_ITEMS / 2)))
-    part = items.withColumn("_part", F.pmod(F.xxhash64(item_id, "question"), F.lit(n)))
+    """One index per block of at most MAX_ITEMS items; ``items`` has item_id, question, answer. Equal items are one item with a
+    number of copies, so however often an item is repeated, blocks by hash hold about half of MAX_ITEMS."""
+    what = [item_id, "question", "answer"]
+    distinct = items.groupBy(*what).agg(F.count(F.lit(1)).alias("_copies"))
+    n = max(1, math.ceil(distinct.count() / (MAX_ITEMS / 2)))
+    part = distinct.withColumn("_part", F.pmod(F.xxhash64(*what), F.lit(n)))
     for p in range(n):
-        rows = part.filter(F.col("_part") == p).select(item_id, "question", "answer").limit(MAX_ITEMS + 1).collect()
+        rows = part.filter(F.col("_part") == p).select(*what, "_copies").limit(MAX_ITEMS + 1).collect()
         if len(rows) > MAX_ITEMS:
-            raise ValueError("one item is repeated more than MAX_ITEMS / 2 times: make the benchmark's items distinct first")
+            raise RuntimeError("a block of items by hash is twice its expected size")
         yield build_index([tuple(r) for r in rows], threshold, slack)
 
 
@@ -183,9 +200,10 @@ def _chars(index: ItemIndex) -> int:
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = OVERLAP, key: str = "doc_id",
                text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(key, item_id, score, question_overlap, answer_overlap) of every document row and item it contains."""
+    """(key, item_id, score, question_overlap, answer_overlap) of every document row and item it contains; an item that the benchmark repeats
+    reports as often."""
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    kind = "doc long, item long, score double, question_overlap double, answer_overlap double"
+    kind = "doc long, item long, score double, question_overlap double, answer_overlap double, copies long"
     out = None
     for index in indexes(items, threshold, threshold / 2, item_id):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -196,15 +214,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
                 texts, got = batch.column(1).to_pylist(), []
                 for lo, hi in by_bytes(texts, most_chars=_chars(ix)):
                     for i, hits in enumerate(ix.search(texts[lo:hi]), lo):
-                        got += [(i, ix.items[k].item_id, *v) for k, v in hits.items() if min(v[1:]) >= overlap]
+                        got += [(i, ix.items[k].item_id, *v, ix.items[k].copies) for k, v in hits.items() if min(v[1:]) >= overlap]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array([g[0] for g in got], pa.int64())),
-                     *(pa.array([g[c] for g in got], pa.int64() if c == 1 else pa.float64()) for c in range(1, 5))],
-                    ["doc", "item", "score", "question_overlap", "answer_overlap"])
+                     *(pa.array([g[c] for g in got], pa.int64() if c in (1, 5) else pa.float64()) for c in range(1, 6))],
+                    ["doc", "item", "score", "question_overlap", "answer_overlap", "copies"])
 
         part = rows.mapInArrow(run, kind)
         out = part if out is None else out.unionByName(part)
-    return out.withColumnsRenamed({"doc": key, "item": item_id})
+    each = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+    return out.withColumn("_copy", each).drop("copies", "_copy").withColumnsRenamed({"doc": key, "item": item_id})
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = OVERLAP, text: str = "text",

@@ -275,3 +275,28 @@ def test_prior_from_samples():
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 1000)
     prior = Q.class_prior(p, np.concatenate([rng.normal(2, 1, 4000), n]))
     assert 0.75 < prior < 0.9
+
+
+def test_repeated_items_report_each_and_long_texts_are_searched_in_slices(spark, monkeypatch):
+    """More copies of an item than an index may hold; a long text with items in many places, in slices of a few windows or whole."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(2000)]
+    item = [" ".join(rng.choice(vocab) for _ in range(30)) for _ in range(40)]
+    noise = [rng.choice(vocab) for _ in range(60_000)]
+    where = {7: 0, 13: 31, 29: 30_000, 31: 59_999}
+    for k, at in sorted(where.items(), key=lambda x: -x[1]):
+        noise[at:at] = item[k].split()
+    long = " ".join(noise)
+    index = D.build_index([(i, *[" ".join(x.split()[j:j + 15]) for j in (0, 15)], 1) for i, x in enumerate(item)], 0.6, 0.3)
+    whole = index.search([long, "", item[3], None])
+    assert {k for k, v in whole[0].items() if min(v[1:]) >= D.OVERLAP} == set(where) and set(whole[2]) == {3}
+    for cells in (1, 17, 1000):
+        monkeypatch.setattr(D, "CELLS", cells)
+        assert index.search([long, "", item[3], None]) == whole
+    monkeypatch.undo()
+    items = spark.range(25_000).select(F.lit(5).cast("long").alias("item_id"), F.lit(item[5]).alias("text")).select("item_id", *D.split_item())
+    docs = spark.createDataFrame([(1, item[5]), (2, "clean"), (2, None)], "doc_id long, text string")
+    got = D.find_leaks(docs, items)
+    assert got.columns == ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+    assert [tuple(r) for r in got.groupBy("doc_id", "item_id").count().collect()] == [(1, 5, 25_000)]
+    assert [r.doc_id for r in D.drop_leaks(docs, items).collect()] == [2, 2]
