@@ -76,16 +76,16 @@ DISCOUNT = 0.75
 
 
 def doc_pairs(tok: DataFrame, key: str) -> DataFrame:
-    """(key, v, w, n): how often each token w follows v in a document, START before the first token. Written once."""
+    """(key, v, w, n = 1): each token w with the token v before it, START before the first. Written once by the pass that tokenises and
+    without a shuffle: few pairs repeat within a document, so counting them there first would move almost all of them."""
     before = F.concat(F.array(F.lit(START)), F.slice("tk", 1, F.greatest(F.size("tk") - 1, F.lit(0))))
     pairs = F.when(F.size("tk") > 0, F.zip_with(before, "tk", lambda a, b: F.struct(a.alias("v"), b.alias("w"))))
-    long = _tokens_long(tok, key, pairs, "p").select(key, "p.v", "p.w")
-    return materialize(long.groupBy(key, "v", "w").agg(F.count(F.lit(1)).alias("n")), "ppl-doc-pairs")
+    return materialize(_tokens_long(tok, key, pairs, "p").select(key, "p.v", "p.w", F.lit(1).cast("bigint").alias("n")), "ppl-doc-pairs")
 
 
 def bigram_scores(pairs: DataFrame, key: str) -> DataFrame:
     """(doc, sum_lp, n_tokens) under the bigram model (first token scored by the unigram model), from ``doc_pairs``: word and pair
-    counts and both scores read that one table, in which a pair stands once per document."""
+    counts and both scores read that one table."""
     uni = unigram_model(materialize(word_counts(pairs), "ppl-counts"))
     first, later = pairs.where(F.col("v") == START), pairs.where(F.col("v") != START)
     bc = materialize(later.groupBy("v", "w").agg(F.sum("n").alias("c_vw")), "ppl-bigram-counts")
@@ -114,8 +114,10 @@ def kneser_ney_scores(pairs: DataFrame, key: str, discount: float = DISCOUNT) ->
     model = materialize(hot_split_join(with_v, by_w, ["w"], "n_w"), "kn-model")
     tot = by_w.select(F.struct(F.sum("n_w").alias("t"), F.count(F.lit(1)).alias("v"))).scalar()
     own = F.when(F.col("n") == F.col("c_vw"), 1).otherwise(0)
-    rows = hot_split_join(pairs, model, ["v", "w"], "c_vw").withColumn("own", own).repartition(key)
-    in_doc = lambda *cols: Window.partitionBy(key, *cols)  # noqa: E731  (all three use the one partitioning by document)
+    found = hot_split_join(pairs, model, ["v", "w"], "c_vw").repartition(key)  # for the counts and all windows within a document
+    rows = (found.groupBy(key, "v", "w").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("c_vw", "c_v", "n_v", "n_w")])
+            .withColumn("own", own))
+    in_doc = lambda *cols: Window.partitionBy(key, *cols)
     rows = (rows.withColumn("n_dv", F.sum("n").over(in_doc("v"))).withColumn("own_v", F.sum("own").over(in_doc("v")))
             .withColumn("own_w", F.sum("own").over(in_doc("w"))).withColumn("own_d", F.sum("own").over(in_doc())))
     q = (F.col("n_w") - F.col("own_w") + 1) / (tot["t"] - F.col("own_d") + tot["v"] + 1)
@@ -137,7 +139,7 @@ def ngram_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", o
                      keep: list[str] | None = None) -> DataFrame:
     """R-3: per doc ``Perplexity`` (null when the text has no token), plus the ``keep`` columns.
 
-    Order 1 reads per-document word counts, order 2 per-document pair counts, each written once by the pass that tokenises. Corpus
+    Order 1 reads per-document word counts, order 2 the pairs, each written once by the pass that tokenises. Corpus
     counts, read by totals, hot set and cold join, are written once."""
     keep = keep or []
     if order == 1:
