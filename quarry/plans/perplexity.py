@@ -28,11 +28,27 @@ def doc_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, T.py_split(text).alias("tk"))
 
 
+def with_word_counts(tokens: DataFrame, arr: str = "tk", name: str = "words") -> DataFrame:
+    """``tokens`` with ``name`` in place of ``arr``: its distinct tokens as (w, n) structs, from the runs of the sorted array. Nothing is
+    shuffled and the work is that of a sort within the row."""
+    keep = [c for c in tokens.columns if c != arr]
+    s = tokens.select(*keep, F.sort_array(arr).alias("_s"))
+    n = F.size("_s")
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get("_s", i).eqNullSafe(F.get("_s", i - 1)))
+    s = s.select(*keep, "_s", F.when(n > 0, starts).alias("_at"))
+    return s.select(*keep, F.transform("_at", lambda x, i: F.struct(
+        F.get("_s", x).alias("w"), (F.coalesce(F.get("_at", i + 1), n) - x).cast("bigint").alias("n"))).alias(name))
+
+
+def exploded_words(counted: DataFrame, key: str, name: str = "words") -> DataFrame:
+    """(key, w, n) from the ``with_word_counts`` column. Rows of one key are not added up: every reader sums ``n``."""
+    return _tokens_long(counted, key, name, "p").select(key, "p.w", "p.n")
+
+
 def doc_words(tokens: DataFrame, key: str, arr: str = "tk") -> DataFrame:
-    """(key, w, n): word counts per document, written once by the pass that tokenises. A document's tokens share a
-    task, so they are combined before the shuffle and raw token rows never travel."""
-    long = _tokens_long(tokens, key, arr, "w")
-    return materialize(long.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n")), "ppl-doc-words")
+    """(key, w, n): word counts per row of ``tokens``, written once by the pass that tokenises. A row's tokens are counted within it, so
+    neither tokens nor counts are shuffled."""
+    return materialize(exploded_words(with_word_counts(tokens.select(key, arr), arr), key), "ppl-doc-words")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -75,25 +91,37 @@ START = ""  # the context of a text's first token; no token is empty
 DISCOUNT = 0.75
 
 
+def _pairs(tok: DataFrame, key: str) -> DataFrame:
+    before = F.concat(F.array(F.lit(START)), F.slice("tk", 1, F.greatest(F.size("tk") - 1, F.lit(0))))
+    pairs = F.when(F.size("tk") > 0, F.zip_with(before, "tk", lambda a, b: F.struct(a.alias("v"), b.alias("w"))))
+    return _tokens_long(tok, key, pairs, "p").select(key, "p.v", "p.w", F.lit(1).cast("bigint").alias("n"))
+
+
 def doc_pairs(tok: DataFrame, key: str) -> DataFrame:
     """(key, v, w, n = 1): each token w with the token v before it, START before the first. Written once by the pass that tokenises and
     without a shuffle: few pairs repeat within a document, so counting them there first would move almost all of them."""
-    before = F.concat(F.array(F.lit(START)), F.slice("tk", 1, F.greatest(F.size("tk") - 1, F.lit(0))))
-    pairs = F.when(F.size("tk") > 0, F.zip_with(before, "tk", lambda a, b: F.struct(a.alias("v"), b.alias("w"))))
-    return materialize(_tokens_long(tok, key, pairs, "p").select(key, "p.v", "p.w", F.lit(1).cast("bigint").alias("n")), "ppl-doc-pairs")
+    return materialize(_pairs(tok, key), "ppl-doc-pairs")
+
 
+def bigram_scores(tok: DataFrame, key: str) -> DataFrame:
+    """(doc, sum_lp, n_tokens) under the bigram model (first token scored by the unigram model), from token arrays, written once: words and
+    pairs are read off them.
 
-def bigram_scores(pairs: DataFrame, key: str) -> DataFrame:
-    """(doc, sum_lp, n_tokens) under the bigram model (first token scored by the unigram model), from ``doc_pairs``: word and pair
-    counts and both scores read that one table."""
-    uni = unigram_model(materialize(word_counts(pairs), "ppl-counts"))
-    first, later = pairs.where(F.col("v") == START), pairs.where(F.col("v") != START)
-    bc = materialize(later.groupBy("v", "w").agg(F.sum("n").alias("c_vw")), "ppl-bigram-counts")
+    ln p(w|v) = ln(c(v, w) + 1) - ln(c(v) + V), so each half is summed by itself: contexts go by word counts, and only pairs that
+    occur again are looked up; a pair that is not found occurs once. No table of all distinct pairs is written or joined."""
+    tok = materialize(tok, "ppl-tokens")
+    first = tok.where(F.size("tk") > 0).select(key, F.get("tk", F.lit(0)).alias("w"), F.lit(1).cast("bigint").alias("n"))
+    contexts = exploded_words(with_word_counts(tok.select(key, F.slice("tk", 1, F.greatest(F.size("tk") - 1, F.lit(0))).alias("tk"))), key)
+    words = exploded_words(with_word_counts(tok.select(key, "tk")), key)
+    later = _pairs(tok, key).where(F.col("v") != START)
+    uni = unigram_model(materialize(word_counts(words), "ppl-counts"))
+    again = materialize(later.groupBy("v", "w").agg(F.sum("n").alias("c_vw")).where("c_vw > 1"), "ppl-bigram-counts")
     v_size = uni.select(F.count(F.lit(1))).scalar()  # V, a scan of the materialized counts
-    cv = uni.select(F.col("w").alias("v"), F.col("c").alias("c_v"))
-    lp2 = materialize(hot_split_join(bc, cv, ["v"], "c_v").select(
-        "v", "w", "c_vw", F.ln((F.col("c_vw") + 1) / (F.col("c_v") + v_size)).alias("lp")), "ppl-bigram-lp")
-    parts = _score(later, lp2, ["v", "w"], "c_vw", key, "n").unionByName(_score(first, uni, ["w"], "c", key, "n"))
+    pair = hot_split_join(later, again, ["v", "w"], "c_vw", how="left")
+    pair_lp = pair.groupBy(key).agg(F.sum(F.ln(F.coalesce("c_vw", F.lit(1)) + 1)).alias("sum_lp"), F.sum("n").alias("n_tokens"))
+    rest = hot_split_join(contexts, uni.select("w", "c"), ["w"], "c")
+    rest_lp = rest.groupBy(key).agg(F.sum(-F.col("n") * F.ln(F.col("c") + v_size)).alias("sum_lp"), F.lit(0).cast("bigint").alias("n_tokens"))
+    parts = pair_lp.unionByName(rest_lp).unionByName(_score(first, uni.select("w", "c", "lp"), ["w"], "c", key, "n"))
     return parts.groupBy(key).agg(F.sum("sum_lp").alias("sum_lp"), F.sum("n_tokens").alias("n_tokens"))
 
 
@@ -139,13 +167,13 @@ def ngram_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", o
                      keep: list[str] | None = None) -> DataFrame:
     """R-3: per doc ``Perplexity`` (null when the text has no token), plus the ``keep`` columns.
 
-    Order 1 reads per-document word counts, order 2 the pairs, each written once by the pass that tokenises. Corpus
+    Order 1 reads per-document word counts, order 2 the token arrays, each written once by the pass that tokenises. Corpus
     counts, read by totals, hot set and cold join, are written once."""
     keep = keep or []
     if order == 1:
         scores = unigram_scores(doc_words(doc_tokens(docs, key, text), key), key)
     else:
-        scores = bigram_scores(doc_pairs(doc_tokens(docs, key, text), key), key)
+        scores = bigram_scores(doc_tokens(docs, key, text), key)
     return docs.select(key, *keep).join(perplexity_of(scores, key), key, "left")
 
 

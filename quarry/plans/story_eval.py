@@ -23,13 +23,14 @@ FAMILIES = (("base", "src0"), ("fifth", "src1"), ("benign", "src2"))
 
 def story_metrics(stories: DataFrame, key: str = "doc_id", text: str = "text", model: str = "source",
                   category: str = "lang") -> DataFrame:
-    """Per story: model, category, Dist_1..3 and unigram Perplexity. Diversity and tokens come from the same
-    tokenising pass, written once; the result (a few numbers per story) is written too: the summaries, the
+    """Per story: model, category, Dist_1..3 and unigram Perplexity. Diversity and word counts come from the same
+    tokenising pass, written once, without a shuffle; the result (a few numbers per story) is written too: the summaries, the
     family pick and the medians all read it."""
     tokens = stories.select(key, model, category, T.py_split(text).alias("_g1"))
-    both = materialize(M.gram_metrics(tokens, [key, model, category], more=[F.col("_g1").alias("tk")]), "story-tokens")
-    ppl = P.perplexity_of(P.unigram_scores(P.doc_words(both.select(key, "tk"), key), key), key)
-    return materialize(both.drop("tk").join(ppl, key, "left"), "story-metrics")
+    measured = M.gram_metrics(tokens, [key, model, category], more=[F.col("_g1").alias("tk")])
+    both = materialize(P.with_word_counts(measured), "story-words")
+    ppl = P.perplexity_of(P.unigram_scores(P.exploded_words(both, key), key), key)
+    return materialize(both.drop("words").join(ppl, key, "left"), "story-metrics")
 
 
 def model_summary(per_story: DataFrame, group: list[str]) -> DataFrame:
