@@ -16,8 +16,18 @@ from quarry.session import materialize
 HEAD, DETAIL, TAIL = 0, 1, 2
 
 
+MOST_ROWS = 500_000  # of a task, however few cores there are
+TASKS_PER_CORE = 4
+
+
+def _tasks(rows: int, rows_per_task: int, cores: int) -> int:
+    """One task per ``rows_per_task``, but where that gives more than a few per core, only as many as those or as ``MOST_ROWS`` ask for:
+    each task leaves a file in every folder it meets."""
+    return max(1, min(-(-rows // rows_per_task), max(TASKS_PER_CORE * cores, -(-rows // max(rows_per_task, MOST_ROWS)))))
+
+
 def write_nested_documents(heads: DataFrame, details: DataFrame, root: str, by: list[str], order: list[str], name: str = "details",
-                           rows_per_task: int = 500_000) -> str:
+                           rows_per_task: int = MOST_ROWS) -> str:
     """Write one document per row of ``heads`` (unique on ``by``; its other columns are the head fields) with the rows of
     ``details`` of the same ``by`` in ``order`` as the list ``name``, itself without the ``by`` columns.
 
@@ -54,7 +64,7 @@ def write_nested_documents(heads: DataFrame, details: DataFrame, root: str, by:
     lines = (edges.select(*by, F.lit(HEAD).alias("_part"), none.alias("_at"), opened.alias("value"))
              .unionByName(rows.join(f, match).select(*by, F.lit(DETAIL).alias("_part"), "_at", F.concat(comma, "_json").alias("value")))
              .unionByName(edges.select(*by, F.lit(TAIL).alias("_part"), none.alias("_at"), F.lit("]}").alias("value"))))
-    n = max(1, -(-rows.count() // rows_per_task))
+    n = _tasks(rows.count(), rows_per_task, heads.sparkSession.sparkContext.defaultParallelism)
     place = [*by, "_part", "_at"]
     lines.repartitionByRange(n, *place).sortWithinPartitions(*place).select(*by, "value").write.mode("overwrite").partitionBy(*by).text(root)
     return root
