@@ -42,10 +42,14 @@ def test_no_text_goes_through_the_join_or_the_writer_sort(spark, tmpdir_fresh):
 
 
 def test_compressed_files_are_small_and_read_back(spark, tmpdir_fresh):
+    orders, lines = _tables(spark)
+    many = spark.range(300).select((F.col("id") + 100).alias("_n"))
+    orders.crossJoin(many).withColumn("o_orderkey", F.col("o_orderkey") * 1000 + F.col("_n")).drop("_n").write.parquet(f"{tmpdir_fresh}/orders.parquet")
+    lines.crossJoin(many).withColumn("l_orderkey", F.col("l_orderkey") * 1000 + F.col("_n")).drop("_n").write.parquet(f"{tmpdir_fresh}/lineitem.parquet")
     for name in ("snk_csv", "src_csv_multiline", "snk_partitioned", "union_level_files"):
-        got = Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+        got = Q.QUERIES[name](spark, tmpdir_fresh)
         assert got.inputFiles() and all(re.search(r"\.csv\.gz$", f) for f in got.inputFiles())
-    tasks = Q._joined(spark, "/root/testdata/sf0.001")
+    tasks = Q._joined(spark, tmpdir_fresh)
 
     def size(root):
         return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(root) for f in fs)
