@@ -20,6 +20,7 @@ WS_CLASS = (
 SPARK_WS_CLASS = r"[\p{IsWhite_Space}\x1C-\x1F]"
 STRIP_PATTERN = rf"\A{SPARK_WS_CLASS}++|{SPARK_WS_CLASS}++\z"
 SPLIT_PATTERN = rf"{SPARK_WS_CLASS}++"
+RARE_WS_CLASS = r"[\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"  # WS_CLASS but space, tab, newline
 # The same 29 code points as a plain string, for btrim (Python strip() == trim these from both ends).
 PY_WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -46,6 +47,13 @@ def py_split(c) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def py_split_spaces(c) -> Column:
+    """``py_split`` by plain one-character splits, several times cheaper; texts with whitespace besides space, tab and newline go to the
+    regex."""
+    t = F.replace(F.replace(F.coalesce(_col(c), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
+    return F.when(t.rlike(RARE_WS_CLASS), py_split(c)).otherwise(F.filter(F.split(t, " "), lambda x: x != ""))
+
+
 def word_count(c) -> Column:
     return F.size(py_split(c)).cast("bigint")
 
