@@ -16,11 +16,20 @@ no scored token stay null and leave the statistics (ledger Q21).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.joins import hot_split_join
+from quarry.operators.token_blocks import (
+    block_rows,
+    block_scores,
+    count_pairs,
+    pair_parts,
+    token_blocks,
+    word_figures,
+    word_parts,
+)
 from quarry.session import materialize
 
 
@@ -97,12 +106,21 @@ def _pairs(tok: DataFrame, key: str) -> DataFrame:
     return _tokens_long(tok, key, pairs, "p").select(key, "p.v", "p.w", F.lit(1).cast("bigint").alias("n"))
 
 
+def with_start(tokens: Column) -> Column:
+    """``tokens`` after START."""
+    return F.concat(F.array(F.lit(START)), tokens)
+
+
+def code_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``token_blocks`` of each token's 64-bit hash, written once by the pass that tokenises. Two of V words share a code with a chance of V^2 / 2^65
+    (10 million words: 3e-6). Rows of one key are in one block."""
+    tk = docs.select(key, with_start(T.py_split(text)).alias("tk"))
+    return token_blocks(tk.select(key, F.transform("tk", lambda w: F.xxhash64(w)).alias("codes")), key, "codes", "kn-codes", whole_keys=True)
+
+
 def word_codes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, codes): each token's 64-bit hash in text order, START's before the first; null where a text has no token. Written once by the pass that
-    tokenises. Two of V words share a code with a chance of V^2 / 2^65 (10 million words: 3e-6)."""
-    tk = docs.select(key, T.py_split_spaces(text).alias("tk"))
-    codes = F.concat(F.array(F.xxhash64(F.lit(START))), F.transform("tk", lambda w: F.xxhash64(w)))
-    return materialize(tk.select(key, F.when(F.size("tk") > 0, codes).alias("codes")), "kn-codes")
+    """(key, codes): each token's code in text order, START's before the first; no row where a text has no token."""
+    return block_rows(code_blocks(docs, key, text), key, "codes")
 
 
 def code_pairs(codes: DataFrame, key: str) -> DataFrame:
@@ -111,32 +129,20 @@ def code_pairs(codes: DataFrame, key: str) -> DataFrame:
     return _tokens_long(codes, key, pairs, "p").select(key, "p.v", "p.w").where(F.col("w").isNotNull())
 
 
-HOT_PAIRS, HOT_SALTS = 2_000, 64
-HOT_WORDS = 500_000
+HOT_PAIRS = 2_000
+HOT_WORDS = 500_000  # words of blocks, hot or not, that one task answers for
+START_CODE = -7444071767201028348  # xxhash64 of START
 
 
 def hot_pairs(codes: DataFrame, key: str, share: float = 0.05) -> DataFrame:
-    """(v, w): at most HOT_PAIRS pairs that make up more than about 1 / HOT_PAIRS of all tokens, told by a sample of documents. Their rows are dealt
-    to HOT_SALTS tasks each; which pairs are here changes no result."""
+    """(v, w): at most HOT_PAIRS pairs that make up more than about 1 / HOT_PAIRS of all tokens, told by a sample of documents. Their counts
+    are broadcast; which pairs are here changes no result."""
     some = codes.sample(share, 7)
     n_some = some.agg(F.sum(F.size("codes") - 1)).first()[0] or 0
     n = code_pairs(some, key).groupBy("v", "w").agg(F.count(F.lit(1)).alias("_n"))
     return n.where(F.col("_n") > max(1.0, n_some / HOT_PAIRS)).orderBy(F.col("_n").desc(), "v", "w").limit(HOT_PAIRS).select("v", "w")
 
 
-def with_word_figures(rows: DataFrame, by_v: DataFrame, by_w: DataFrame) -> DataFrame:
-    """``rows`` with ``by_v``'s columns by v and ``by_w``'s by w. Rows whose words are both among the HOT_WORDS first are joined where they are
-    read; the others are written, and joined by shuffles on the figures still missing only, so no frequent word is a shuffle key."""
-    cols = [c for f, k in ((by_v, "v"), (by_w, "w")) for c in f.columns if c != k]
-    top = lambda f, k, c: F.broadcast(f.orderBy(F.col(c).desc(), k).limit(HOT_WORDS))
-    t = rows.join(top(by_v, "v", "c_v"), "v", "left").join(top(by_w, "w", "c_w"), "w", "left").select(*rows.columns, *cols)
-    no_v, no_w = F.col("c_v").isNull(), F.col("c_w").isNull()
-    rest = materialize(t.where(no_v | no_w), "kn-rare-words")
-    fill = lambda df, miss, f, k: df.where(~miss).unionByName(
-        df.where(miss).drop(*[c for c in f.columns if c != k]).join(f, k).select(*t.columns))
-    return t.where(~no_v & ~no_w).unionByName(fill(fill(rest, no_v, by_v, "v"), no_w, by_w, "w"))
-
-
 def bigram_scores(tok: DataFrame, key: str) -> DataFrame:
     """(doc, sum_lp, n_tokens) under the bigram model (first token scored by the unigram model), from token arrays, written once: words and
     pairs are read off them.
@@ -159,8 +165,8 @@ def bigram_scores(tok: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.sum("sum_lp").alias("sum_lp"), F.sum("n_tokens").alias("n_tokens"))
 
 
-def kneser_ney_scores(codes: DataFrame, key: str, discount: float = DISCOUNT) -> DataFrame:
-    """(doc, sum_lp, n_tokens) of ``word_codes`` under an interpolated Kneser-Ney bigram model of all other documents.
+def kneser_ney_scores(blocks: DataFrame, key: str, discount: float = DISCOUNT) -> DataFrame:
+    """(doc, sum_lp, n_tokens) of ``code_blocks`` under an interpolated Kneser-Ney bigram model of all other documents.
 
       p(w|v)  = max(c(v,w) - D, 0) / c(v) + D * N(v.) / c(v) * q(w)     (q(w) where v was never seen)
       q(w)    = (N(.w) + 1) / (N(..) + V + 1)                            V distinct words, one place for unseen ones
@@ -168,47 +174,49 @@ def kneser_ney_scores(codes: DataFrame, key: str, discount: float = DISCOUNT) ->
     N(v.), N(.w), N(..) count distinct pairs. Leave one out: each document's own counts are taken off the corpus counts, and pairs that no
     other document holds are taken off the distinct counts, so a text is not scored by itself and words only it has count as unseen.
 
-    Tokens move twice, as codes: by pair, for c(v,w) and whether one document holds them all, and by document, for what it takes off. Hot
-    pairs are counted in parts. Sorts begin with a hash of their groups, so that almost every comparison ends at the first column."""
-    pairs = code_pairs(codes, key)
-    hot = materialize(hot_pairs(codes, key), "kn-hot-pairs").withColumn("hot", F.lit(True))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(key), F.lit(HOT_SALTS))).otherwise(F.lit(0))
-    tagged = pairs.join(F.broadcast(hot), ["v", "w"], "left").withColumn("_h", F.xxhash64("v", "w", salt))
-    one = Window.partitionBy("_h", "v", "w").orderBy("w")
-    pair = one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cold = (tagged.repartition("_h").withColumn("c_vw", F.count(F.lit(1)).over(pair)).withColumn("_k", F.count(key).over(pair))
-            .withColumn("_a", F.min(key).over(pair)).withColumn("_b", F.max(key).over(pair)).withColumn("_i", F.row_number().over(one)))
-    single = (F.col("_k") == 0) | ((F.col("_k") == F.col("c_vw")) & (F.col("_a") == F.col("_b")))  # rows of the null key are one document
-    part = materialize(cold.select(key, "v", "w", "c_vw", "hot", (F.col("_i") == 1).alias("first"), F.coalesce(single, F.lit(False)).alias("single"),
-                                   F.when(F.col("hot"), F.struct("_k", "_a", "_b")).alias("docs")), "kn-pairs")
-    k, c = F.sum("docs._k"), F.sum("c_vw")
-    whole = materialize(part.where("hot AND first").groupBy("v", "w").agg(c.alias("_c"), F.coalesce(
-        (k == 0) | ((k == c) & (F.min("docs._a") == F.max("docs._b"))), F.lit(False)).alias("_single")), "kn-hot-counts")
-    types = part.where("hot IS NULL AND first").select("v", "w", "c_vw").unionByName(whole.select("v", "w", F.col("_c").alias("c_vw")))
-    by_v = materialize(types.groupBy("v").agg(F.sum("c_vw").alias("c_v"), F.count(F.lit(1)).alias("n_v")), "kn-contexts")
-    by_w = materialize(types.groupBy("w").agg(F.sum("c_vw").alias("c_w"), F.count(F.lit(1)).alias("n_w")), "kn-words")
-    tot = by_w.select(F.struct(F.sum("n_w").alias("t"), F.count(F.lit(1)).alias("v"))).scalar()
-    rows = part.join(F.broadcast(whole), ["v", "w"], "left").select(
-        key, "v", "w", F.coalesce("_c", "c_vw").alias("c_vw"), (F.col("first") & F.coalesce("_single", "single")).cast("int").alias("own"))
-    rows = rows.where(F.col(key).isNotNull())  # rows without a key count above; no score is theirs
-    own_d = rows.where("own = 1").groupBy(key).agg(F.count(F.lit(1)).alias("own_d"))
-    rows = with_word_figures(rows, by_v, by_w).drop("c_w").repartition(key).withColumn("_v", F.xxhash64(key, "v"))
-    in_doc = lambda *cols: Window.partitionBy(*cols, key)
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("_v", key, "v", "w")))
-    rows = rows.withColumn("n_dv", F.count(F.lit(1)).over(in_doc("_v", "v"))).withColumn("own_v", F.sum("own").over(in_doc("_v", "v")))
-    rows = rows.withColumn("_w", F.xxhash64(key, "w")).withColumn("own_w", F.sum("own").over(in_doc("_w", "w")))
-    rows = rows.join(own_d.hint("shuffle_hash"), key, "left").withColumn("own_d", F.coalesce("own_d", F.lit(0)))
-    q = (F.col("n_w") - F.col("own_w") + 1) / (tot["t"] - F.col("own_d") + tot["v"] + 1)
-    c_v = F.col("c_v") - F.col("n_dv")
-    seen = (F.greatest(F.col("c_vw") - F.col("n") - F.lit(discount), F.lit(0.0)) + F.lit(discount) * (F.col("n_v") - F.col("own_v")) * q) / c_v
-    p = F.when(c_v > 0, seen).otherwise(q)
-    return rows.groupBy(key).agg(F.sum(F.ln(p)).alias("sum_lp"), F.count(F.lit(1)).alias("n_tokens"))
+    A document is in one block, which asks for c(v,w) of its distinct pairs and the figures of its words (``token_blocks``); a pair is the document's
+    own if it has all c(v,w) of it. The counts of hot pairs are broadcast."""
+    parts, n_word_parts = pair_parts(blocks), word_parts(blocks, HOT_WORDS)
+    hot = hot_pairs(block_rows(blocks, key, "codes"), key).limit(HOT_PAIRS).collect()
+    hot = {"v": [r.v for r in hot], "w": [r.w for r in hot]}
+    pairs = materialize(count_pairs(blocks, START_CODE, parts, "words", hot), "kn-pairs")
+    three = lambda kind, a, b: pairs.where(F.col("kind") == kind).select(F.inline(F.arrays_zip(F.col("a").alias(a), F.col(b).alias(b), "x")))
+    whole = materialize(three("h", "v", "b").select("v", F.col("b").alias("w"), F.col("x").alias("c_vw")), "kn-hot-counts")
+    counted = {(r.v, r.w): r.c_vw for r in whole.collect()}
+    hot["c"] = [counted[p] for p in zip(hot["v"], hot["w"], strict=True)]
+    by = lambda kind, name: (three(kind, name, "y").unionByName(whole.select(name, F.lit(1).cast("long").alias("y"), F.col("c_vw").alias("x")))
+                             .groupBy(name).agg(F.sum("x").alias(f"c_{name}"), F.sum("y").alias(f"n_{name}")))
+    by_v, by_w = materialize(by("v", "v"), "kn-contexts"), materialize(by("w", "w"), "kn-words")
+    t, v_size = (x or 0 for x in by_w.agg(F.sum("n_w"), F.count(F.lit(1))).first())
+    zero = F.lit(0).cast("long")
+    figures = by_v.select("v", "c_v", "n_v", zero.alias("n_w")).unionByName(by_w.select(F.col("w").alias("v"), zero.alias("c_v"), zero.alias("n_v"), "n_w"))
+
+    def score(np, b):
+        n_pairs, n_words, n_docs = len(b["pairs"]), b["n_words"], b["n_docs"]
+        mine, n = np.unique(b["doc"].astype(np.int64) * n_pairs + b["pair"], return_counts=True)  # by document, v and w
+        doc, pair = mine // n_pairs, mine % n_pairs
+        v, w, c_vw = b["pairs"][pair] // n_words, b["pairs"][pair] % n_words, b["c_vw"][pair]
+        own = (n == c_vw).astype(np.int64)
+        dv = doc * n_words + v
+        begin = np.flatnonzero(np.append(True, dv[1:] != dv[:-1]))
+        size = np.diff(np.append(begin, len(dv)))
+        n_dv, own_v = (np.repeat(np.add.reduceat(x, begin), size) for x in (n, own))
+        _, dw = np.unique(doc * n_words + w, return_inverse=True)
+        own_w = np.bincount(dw, weights=own)[dw]
+        own_d = np.bincount(doc, weights=own, minlength=n_docs)[doc]
+        q = (b["z"][w] - own_w + 1) / (t - own_d + v_size + 1)
+        c_v = b["x"][v] - n_dv
+        seen = (np.maximum(c_vw - n - discount, 0.0) + discount * (b["y"][v] - own_v) * q) / np.maximum(c_v, 1)
+        lp = n * np.log(np.where(c_v > 0, seen, q))
+        return np.bincount(doc, weights=lp, minlength=n_docs), np.bincount(doc, weights=n, minlength=n_docs)
+    rows = block_scores(blocks, pairs, word_figures(blocks, n_word_parts, figures, "v"), START_CODE, parts, n_word_parts, score, key, hot)
+    return rows.where(F.col(key).isNotNull())  # rows without a key count in the model; no score is theirs
 
 
 def kneser_ney_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", discount: float = DISCOUNT) -> DataFrame:
     """R-3 with a smoothed model: per document ``Perplexity`` (null when the text has no token) and ``n_tokens``. Rows of one key are
     one document."""
-    scores = kneser_ney_scores(word_codes(docs, key, text), key, discount)
+    scores = kneser_ney_scores(code_blocks(docs, key, text), key, discount)
     ppl = scores.select(key, F.exp(-F.col("sum_lp") / F.col("n_tokens")).alias("Perplexity"), "n_tokens")
     return docs.select(key).join(ppl, key, "left")
 

@@ -85,11 +85,11 @@ def clean_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut lineage at a stage that several consumers read: write it once as Parquet under the shared
     checkpoint folder and return the read-back frame. Lost executors then recompute from this table,
-    not from the raw input, and the consumers share one computation instead of one each."""
+    not from the raw input, and the consumers share one computation instead of one each. ``options`` go to the writer."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.parquet(path)
