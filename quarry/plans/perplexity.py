@@ -8,7 +8,7 @@ Spark on whole texts:
 Unigram scores work on per-document word counts (one tokenising pass, written once). Corpus counts are
 partial+final aggregates, totals are one scalar subquery, and every join on a word key is a ``hot_split_join``: the top-k words by corpus count (a bounded broadcast) join
 without moving token rows, only the long tail is shuffled by word, so no reducer holds a hot word
-and the shuffled volume is the tail's share of the tokens.
+and the shuffled volume is the tail's share of the tokens. Bigram and Kneser-Ney scores look their counts up by blocks of texts (``token_blocks``).
 
 R-2 ``logprob_perplexity``: exp(-mean logprob) per doc from a (doc, token, logprob) table; texts with
 no scored token stay null and leave the statistics (ledger Q21).
@@ -100,12 +100,6 @@ START = ""  # the context of a text's first token; no token is empty
 DISCOUNT = 0.75
 
 
-def _pairs(tok: DataFrame, key: str) -> DataFrame:
-    before = F.concat(F.array(F.lit(START)), F.slice("tk", 1, F.greatest(F.size("tk") - 1, F.lit(0))))
-    pairs = F.when(F.size("tk") > 0, F.zip_with(before, "tk", lambda a, b: F.struct(a.alias("v"), b.alias("w"))))
-    return _tokens_long(tok, key, pairs, "p").select(key, "p.v", "p.w", F.lit(1).cast("bigint").alias("n"))
-
-
 def with_start(tokens: Column) -> Column:
     """``tokens`` after START."""
     return F.concat(F.array(F.lit(START)), tokens)
@@ -144,25 +138,26 @@ def hot_pairs(codes: DataFrame, key: str, share: float = 0.05) -> DataFrame:
 
 
 def bigram_scores(tok: DataFrame, key: str) -> DataFrame:
-    """(doc, sum_lp, n_tokens) under the bigram model (first token scored by the unigram model), from token arrays, written once: words and
-    pairs are read off them.
-
-    ln p(w|v) = ln(c(v, w) + 1) - ln(c(v) + V), so each half is summed by itself: contexts go by word counts, and only pairs that
-    occur again are looked up; a pair that is not found occurs once. No table of all distinct pairs is written or joined."""
-    tok = materialize(tok, "ppl-tokens")
-    first = tok.where(F.size("tk") > 0).select(key, F.get("tk", F.lit(0)).alias("w"), F.lit(1).cast("bigint").alias("n"))
-    contexts = exploded_words(with_word_counts(tok.select(key, F.slice("tk", 1, F.greatest(F.size("tk") - 1, F.lit(0))).alias("tk"))), key)
-    words = exploded_words(with_word_counts(tok.select(key, "tk")), key)
-    later = _pairs(tok, key).where(F.col("v") != START)
-    uni = unigram_model(materialize(word_counts(words), "ppl-counts"))
-    again = materialize(later.groupBy("v", "w").agg(F.sum("n").alias("c_vw")).where("c_vw > 1"), "ppl-bigram-counts")
-    v_size = uni.select(F.count(F.lit(1))).scalar()  # V, a scan of the materialized counts
-    pair = hot_split_join(later, again, ["v", "w"], "c_vw", how="left")
-    pair_lp = pair.groupBy(key).agg(F.sum(F.ln(F.coalesce("c_vw", F.lit(1)) + 1)).alias("sum_lp"), F.sum("n").alias("n_tokens"))
-    rest = hot_split_join(contexts, uni.select("w", "c"), ["w"], "c")
-    rest_lp = rest.groupBy(key).agg(F.sum(-F.col("n") * F.ln(F.col("c") + v_size)).alias("sum_lp"), F.lit(0).cast("bigint").alias("n_tokens"))
-    parts = pair_lp.unionByName(rest_lp).unionByName(_score(first, uni.select("w", "c", "lp"), ["w"], "c", key, "n"))
-    return parts.groupBy(key).agg(F.sum("sum_lp").alias("sum_lp"), F.sum("n_tokens").alias("n_tokens"))
+    """(doc, sum_lp, n_tokens) under the bigram model (first token scored by the unigram model), from token arrays: ln p(w|v) = ln(c(v, w) + 1) -
+    ln(c(v) + V). Blocks of texts, written once, look up the counts of their distinct pairs and words (``token_blocks``); the pairs that come
+    again are the model's table, written as such."""
+    blocks = token_blocks(tok.select(key, with_start(F.col("tk")).alias("tk")), key, "tk", "ppl-tokens")
+    parts, n_word_parts = pair_parts(blocks), word_parts(blocks, HOT_WORDS)
+    words = materialize(word_figures(blocks, n_word_parts), "ppl-words")
+    pairs = materialize(count_pairs(blocks, START, parts, "again"), "ppl-pairs")
+    materialize(pairs.where("kind = 'a'").select(F.inline(F.arrays_zip(F.col("a").alias("v"), F.col("b").alias("w"), F.col("x").alias("c_vw")))),
+                "ppl-bigram-counts")
+    total = words.where("kind = 't'").agg(F.sum(F.get("x", F.lit(0))), F.sum(F.get("x", F.lit(1)))).first()
+    starts = blocks.agg(F.sum(F.size("ends"))).first()[0] or 0
+    v_size, n = (total[0] or 1) - 1, (total[1] or 0) - starts  # without START
+
+    def score(np, b):
+        first = b["v"] == b["start"]
+        c = np.where(first, b["x"][b["w"]], b["c_vw"][b["pair"]]) + 1
+        lp = np.log(c) - np.log(np.where(first, n + v_size, b["x"][b["v"]] + v_size))
+        return np.bincount(b["doc"], weights=lp, minlength=b["n_docs"]), np.bincount(b["doc"], minlength=b["n_docs"])
+    rows = block_scores(blocks, pairs, words, START, parts, n_word_parts, score, key, without_start=True)
+    return rows.groupBy(key).agg(F.sum("sum_lp").alias("sum_lp"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def kneser_ney_scores(blocks: DataFrame, key: str, discount: float = DISCOUNT) -> DataFrame:
@@ -225,8 +220,8 @@ def ngram_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", o
                      keep: list[str] | None = None) -> DataFrame:
     """R-3: per doc ``Perplexity`` (null when the text has no token), plus the ``keep`` columns.
 
-    Order 1 reads per-document word counts, order 2 the token arrays, each written once by the pass that tokenises. Corpus
-    counts, read by totals, hot set and cold join, are written once."""
+    Order 1 reads per-document word counts, order 2 blocks of token arrays, each written once by the pass that tokenises. Corpus
+    counts are written once."""
     keep = keep or []
     if order == 1:
         scores = unigram_scores(doc_words(doc_tokens(docs, key, text), key), key)

@@ -65,6 +65,24 @@ def test_kneser_ney_by_blocks(spark, monkeypatch, sizes):
         assert made["kn-pairs"].where("kind = 'p'").count() <= 3 * 64
 
 
+def test_bigram_by_blocks_without_a_join_of_pairs(spark, monkeypatch, sizes):
+    made = _made(monkeypatch)
+    scores = P.bigram_scores(P.doc_tokens(_docs(spark), "doc_id", "text"), "doc_id")
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    got = {r.doc_id: r for r in scores.collect()}
+    toks = [(k, (t or "").split()) for k, t in ROWS]
+    uni, bi = Counter(w for _, t in toks for w in t), Counter(p for _, t in toks for p in zip(t, t[1:], strict=False))
+    n, v, lp, size = sum(uni.values()), len(uni), Counter(), Counter()
+    for k, t in toks:
+        size[k] += len(t)
+        lp[k] += sum(math.log((uni[w] + 1) / (n + v)) for w in t[:1]) + sum(math.log((bi[p] + 1) / (uni[p[0]] + v)) for p in zip(t, t[1:], strict=False))
+    assert set(got) == {k for k in size if size[k]}
+    for k, r in got.items():
+        assert (r.sum_lp, r.n_tokens) == (pytest.approx(lp[k], rel=1e-9), size[k])
+    assert {(r.v, r.w): r.c_vw for r in made["ppl-bigram-counts"].collect()} == {p: c for p, c in bi.items() if c > 1}
+
+
 def test_blocks_hold_whole_keys(spark, sizes):
     blocks = P.code_blocks(_docs(spark), "doc_id", "text").select("block", "keys", "ends", "tokens", "n").collect()
     keys = [k for b in blocks for k in b["keys"] if k is not None]
